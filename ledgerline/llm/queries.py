@@ -6,16 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm import line_rules
 from ledgerline.llm.common import table
+from ledgerline.llm.fingerprints import edit_likeness
 from ledgerline.llm.ngram_join import ngram_jaccard_join
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
+def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_frequency_rules(table(spark, sf_dir, "documents")).drop("text_hash", "removed_lines")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_order_minhash": op1_order_minhash,
+    "op2_line_frequency": op2_line_frequency,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_frequency": line_rules.ORACLE_SQL,
+}
