@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import line_rules
+from ledgerline.llm import line_rules, mixing, packing, sharding
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
 from ledgerline.llm.ngram_join import ngram_jaccard_join
@@ -20,16 +21,33 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_frequency_rules(table(spark, sf_dir, "documents")).drop("text_hash", "removed_lines")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_line_frequency": op2_line_frequency,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_source_mix": op4_source_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op9_virtual_slots": op9_virtual_slots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_frequency": line_rules.ORACLE_SQL,
+    "op4_source_mix": mixing.ORACLE_SQL,
 }
