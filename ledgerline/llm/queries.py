@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import line_rules, mixing, packing, sharding
+from ledgerline.llm import chat_format, line_rules, mixing, packing, sharding, url_filter
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
 from ledgerline.llm.ngram_join import ngram_jaccard_join
@@ -33,6 +33,15 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.toxic_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_digests(chat_format.with_probe(table(spark, sf_dir, "conversations")))
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -44,10 +53,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mix": op4_source_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_bloom": op6_url_bloom,
+    "op7_chat_round_trip": op7_chat_round_trip,
     "op9_virtual_slots": op9_virtual_slots,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_frequency": line_rules.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
+    "op6_url_bloom": url_filter.ORACLE_SQL,
+    "op7_chat_round_trip": chat_format.ORACLE_SQL,
 }
