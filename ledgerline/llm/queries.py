@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, line_rules, mixing, packing, sharding, url_filter
+from ledgerline.llm import chat_format, line_rules, mixing, packing, sharding, toxicity, url_filter
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
+from ledgerline.llm.html_text import extract_text
 from ledgerline.llm.ngram_join import ngram_jaccard_join
 
 
@@ -42,11 +43,19 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_digests(chat_format.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_line_frequency": op2_line_frequency,
@@ -55,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_bloom": op6_url_bloom,
     "op7_chat_round_trip": op7_chat_round_trip,
+    "op8_line_blocks": op8_line_blocks,
     "op9_virtual_slots": op9_virtual_slots,
+    "op10_toxicity_trees": op10_toxicity_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
