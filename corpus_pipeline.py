@@ -5,31 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.llm.common import checkpointed, table
+from ledgerline.llm.line_rules import without_lines
+from ledgerline.llm.mixing import repeated
 from ledgerline.llm.ngram_join import ngram_jaccard_join
+from ledgerline.llm.packing import best_fit_packing
+from ledgerline.llm.toxicity import toxicity_scores
 
 #: Documents are near copies from this similarity (percent) of their sets of five-word shingles on.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
+TOXIC = 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Frequent lines leave the texts; documents that fail the base rules or are depleted go."""
+    return without_lines(docs)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated score is 0.5 or more go."""
+    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), docs.columns)
+    return scored.where(F.col("toxic_score") < TOXIC).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the least doc_id."""
+    """One document of each group of near copies stays: that with the least doc_id.
+
+    Documents without doc_id stay, and so do all rows that repeat the doc_id that stays.
+    """
     groups = ngram_jaccard_join(docs, NEAR_WIDTH, NEAR_PERCENT)
-    stay = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out as their source's target asks; documents without words go."""
+    return repeated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, n_words, bin_id and start of every piece of a document; repetitions never share a bin."""
+    return best_fit_packing(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("toxicity", drop_toxic),
     ("n-gram Jaccard join", drop_near_copies),
+    ("mixing to target weights", mix_sources),
+    ("best-fit packing", pack),
 ]
 
-#: No SQL can express a stage's classifier; the stages are tested against brute-force versions.
+#: No SQL can express the toxicity stage's trees; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages, each to what its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Apply the stages to documents; what each keeps is written to the checkpoint folder and read by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = checkpointed(docs)
     return docs
