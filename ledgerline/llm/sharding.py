@@ -84,7 +84,7 @@ def stored_map(spark: SparkSession, path: str, version: int | None = None) -> Da
     versions = spark.read.schema(_MAP).parquet(path)
     if version is None:
         version = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == version)
+    return versions.where(F.col("version") == version).select("version", "slot", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:

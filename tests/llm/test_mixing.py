@@ -1,0 +1,92 @@
+import random
+
+import pytest
+
+from ledgerline.llm import mixing
+from ledgerline.llm.mixing import mix_sources, repeated, running_total, source_targets
+from ledgerline.llm.queries import QUERIES
+from tests.conftest import same_rows
+from tests.llm.conftest import odd_rows
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck):
+    same_rows(QUERIES["op4_source_mix"](spark, sf_dir), duck, mixing.ORACLE_SQL)
+
+
+def brute_targets(sizes, weights, most):
+    """Share the words by weight, cap, and share the excess anew until none is above."""
+    total, targets, open_ = sum(sizes.values()), {}, sorted(sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sorted(sizes))}
+    left = total
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * share > most * sizes[s]]
+        if not over:
+            return targets | {s: weight[s] * share for s in open_}
+        for s in over:
+            targets[s] = most * sizes[s]
+            left -= most * sizes[s]
+            open_.remove(s)
+    return targets
+
+
+def test_targets_by_brute_force(spark):
+    rng = random.Random(1)
+    for n in (1, 2, 7, 40):
+        sizes = {f"p{i:02d}": rng.choice([0, 1, 10, 500, 10_000, rng.randrange(1, 10**6)]) for i in range(n)}
+        if not sum(sizes.values()):
+            continue
+        found = source_targets(spark.createDataFrame(list(sizes.items()), "place string, source_size long"), (5, 2, 1), 3)
+        assert {r["place"]: r["target"] for r in found.collect()} == pytest.approx(brute_targets(sizes, (5, 2, 1), 3))
+
+
+def test_running_totals(spark):
+    rows = [(f"g{i % 3}", (7 * i) % 50, i) for i in range(200)]
+    found = running_total(spark.createDataFrame(rows, "g string, o int, v long").repartition(5), ["g"], ["o", "v"], ["v"]).collect()
+    for r in found:
+        assert r["before_v"] == sum(v for g, o, v in rows if g == r["g"] and (o, v) < (r["o"], r["v"]))
+    assert len(found) == 200
+
+
+def some_docs():
+    rng = random.Random(2)
+    return [(i, " ".join("w" for _ in range(rng.randrange(1, 80))), rng.choice(["a", "b", "c", "é", None, "a", "a"])) for i in range(600)]
+
+
+def test_sources_meet_their_targets(make_docs):
+    found = mix_sources(make_docs(some_docs(), clashing=True)).collect()
+    taken, target, source = {}, {}, {i: s for i, _, s in some_docs()}
+    for r in found:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        s = source[r["doc_id"]]
+        taken[s] = taken.get(s, 0) + r["taken"]
+        target[s] = r["target"]
+    assert len(found) == 600 and len(taken) == 5
+    assert all(0 <= target[s] - taken[s] < 1 for s in taken)
+    again = mix_sources(make_docs(some_docs()).repartition(7)).collect()
+    assert {r["doc_id"]: r["taken"] for r in again} == {r["doc_id"]: r["taken"] for r in found}
+
+
+def test_whole_documents_are_repeated(make_docs):
+    docs = make_docs(some_docs())
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in mix_sources(docs, cut=False).collect()}
+    found = {}
+    for r in repeated(docs).collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
+    assert found == {k: v for k, v in taken.items() if v}
+
+
+def test_good_documents_come_first(make_docs):
+    rows = [(i, "w " * 20 if i % 2 else "w### " * 20, "b") for i in range(400)] + [(1000 + i, "w " * 20, "a") for i in range(150)]
+    taken = [(r["doc_id"] % 2, r["taken"]) for r in mix_sources(make_docs(rows)).collect() if r["doc_id"] < 1000]
+    good, bad = sum(t for g, t in taken if g), sum(t for g, t in taken if not g)
+    assert good > 1.5 * bad
+
+
+def test_odd_tables(make_docs):
+    rows = odd_rows()
+    found = mix_sources(make_docs(rows)).collect()
+    assert len(found) == len(rows) and all(r["taken"] == 0 for r in found if r["size"] == 0)
+    assert mix_sources(make_docs([])).count() == 0 and repeated(make_docs([])).count() == 0
+    assert mix_sources(make_docs([(1, None, None), (2, "", "a")])).count() == 2
+    assert repeated(make_docs(rows)).columns == make_docs(rows).columns
