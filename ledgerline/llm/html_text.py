@@ -39,6 +39,8 @@ _NOISE_NAME = re.compile(
 )
 #: Headers hold a site's name outside of an article, and a headline within one.
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
+#: Names that only say what else a page has, such as has-sidebar.
+_MENTION = re.compile(r"(?:^|\s)\S*?(?:has|with|without|no)[_-]\S+", re.I)
 _NOISE_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 
 _TOKEN = re.compile(
@@ -59,6 +61,7 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
         what, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if what == "hidden" or (what == "aria-hidden" and value == "true") or (what == "role" and value in _NOISE_ROLE):
             return True
+        value = _MENTION.sub(" ", value)
         if what in ("class", "id") and name not in ("html", "body", "article", "main") and (_NOISE_NAME.search(value) or (not in_article and _HEADER_NAME.search(value))):
             return True
     return False
