@@ -12,7 +12,8 @@ reaches a threshold. The join is exact and works in four steps.
      link have one subset of that fixed size in common.
    * Heavy: large sets go into inverted lists keyed by the content of one part.
      Lists of single shingles would hold every document with a frequent passage;
-     lists of parts hold next to nothing but near copies.
+     lists of parts hold little but near copies. Frequent shingles, counted over
+     all documents, are left out of the parts where enough others are there.
    The boundary is where enumeration would begin to cost more than a set share
    of what the lists cost, by the number of sets of each size.
 3. Sets that meet under a key are put in one block (stars to the least set of
@@ -41,11 +42,15 @@ from ledgerline.llm.common import WordHashes, as_bytes, checkpointed, mixed, shu
 from ledgerline.llm.components import connected_components
 
 #: Sizes of one class differ by this factor at most.
-CLASS_RATIO = 1.5
+CLASS_RATIO = 1.26
 #: Rows that enumeration may cost, as a share of the rows that the lists cost.
 LIGHT_SHARE = 0.25
+#: A shingle is frequent in a chunk of documents (so many shingles) from this share, and number, of them on.
+COUNTED_SHINGLES, FREQUENT_SHARE, FREQUENT_LEAST = 1 << 22, 0.001, 8
+#: Frequent shingles that are broadcast at most (8 bytes each). Which they are changes the cost, never the result.
+FREQUENT = 1 << 20
 #: Shingles that a task takes in one block, and in all blocks that it takes together.
-BLOCK_SHINGLES, UNIT_SHINGLES = 1 << 22, 1 << 20
+BLOCK_SHINGLES, UNIT_SHINGLES = 1 << 20, 1 << 19
 #: Bytes of text that are worked on together in a task.
 CHUNK_BYTES = 4 << 20
 #: Rows of signatures in a reducing task.
@@ -96,12 +101,25 @@ def class_bounds(largest: int, percent: int) -> list[int]:
     return bounds
 
 
+def _parts(k: int, least: int, untouched: int) -> int:
+    """Parts of which k differences leave `untouched`, and of which sets of `least` elements nearly always fill more than k."""
+    n = k + untouched
+    while n < 4 * (k + untouched):
+        empty = n * math.exp(-least / n)
+        if n - empty - 3 * math.sqrt(empty) >= k + 1:
+            break
+        n += 1 + n // 100
+    return n
+
+
 def class_plan(bounds: list[int], percent: int) -> list[tuple[int, int, int]]:
     """Of each class: most differing elements k, parts for the lists, parts for the subsets."""
     plan = []
-    for above in bounds[1:]:
+    for least, above in zip(bounds[:-1], bounds[1:], strict=True):
         k = 2 * (above - 1) * (100 - percent) // (100 + percent)
-        plan.append((k, k + 2 + (k + 1) // 100, k + 2))
+        # Sets of the class before, of its greatest sizes, are dealt into these parts too.
+        least = -(-percent * least // 100)
+        plan.append((k, _parts(k, least, 1), _parts(k, least, 2)))
     return plan
 
 
@@ -117,8 +135,42 @@ def light_classes(counts: dict[int, int], plan: list[tuple[int, int, int]]) -> i
     return len(plan)
 
 
-def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], plan: list[tuple[int, int, int]], light: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of every set, for its own class and, near the class's end, for the next."""
+def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which elements are in a sorted list."""
+    if not len(listed):
+        return np.zeros(len(x), bool)
+    return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
+
+
+def _class_keys(sets: list[np.ndarray], g: int, plan: list[tuple[int, int, int]], light: int, realm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sets in class g, which of them to use, and which sets have too few filled parts."""
+    k, lists, parts = plan[g]
+    n, m = parts if g < light else lists, len(sets)
+    elements = mixed(np.concatenate(sets) ^ _SALTS[2])
+    doc = np.repeat(np.arange(m), [len(s) for s in sets])
+    cell = doc * n + ((elements >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    elements = mixed(elements ^ _SALTS[3])
+    low = np.bincount(cell, (elements & np.uint64(0xFFFFFFFF)).astype(np.float64), m * n).astype(np.uint64)
+    high = np.bincount(cell, (elements >> np.uint64(32)).astype(np.float64), m * n).astype(np.uint64)
+    content = (low + (high << np.uint64(32))).reshape(m, n)
+    filled = np.bincount(cell, minlength=m * n).reshape(m, n) > 0
+    content = mixed(content + (np.arange(n, dtype=np.uint64) * _SALTS[4] + np.uint64(2 * g + realm)))
+    # With more filled parts than differences, an untouched part has content.
+    sparse = filled.sum(1) <= k
+    if g < light:
+        i, j = np.triu_indices(n, 1)
+        return mixed(content[:, i] + (content[:, j] ^ _SALTS[0])), filled[:, i] | filled[:, j], sparse
+    return content, filled, sparse
+
+
+def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], plan: list[tuple[int, int, int]], light: int, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) of every set, for its own class and, near the class's end, for the next.
+
+    Keys are made of a set's elements that aren't frequent: two sets differ in no
+    more of those than of all. A set that fills too few parts with them has keys of all its
+    elements, empty parts included if need be. Of two sets that link, either one
+    fills enough parts, and an untouched one of them is the other's too, or neither does.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(bounds, sizes, side="right") - 1
     keys, out = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
@@ -132,27 +184,17 @@ def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], pl
             g = int(g) + step
             if g >= len(plan):
                 continue
-            k, lists, parts = plan[g]
-            n = parts if g < light else lists
-            elements = mixed(np.concatenate([sets[i] for i in at]) ^ _SALTS[2])
-            doc = np.repeat(np.arange(len(at)), sizes[at])
-            cell = doc * n + ((elements >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-            elements = mixed(elements ^ _SALTS[3])
-            low = np.bincount(cell, (elements & np.uint64(0xFFFFFFFF)).astype(np.float64), len(at) * n).astype(np.uint64)
-            high = np.bincount(cell, (elements >> np.uint64(32)).astype(np.float64), len(at) * n).astype(np.uint64)
-            content = (low + (high << np.uint64(32))).reshape(len(at), n)
-            filled = np.bincount(cell, minlength=len(at) * n).reshape(len(at), n) > 0
-            # With more filled parts than differences, an untouched part has content.
-            sparse = filled.sum(1) <= k
-            content = mixed(content + (np.arange(n, dtype=np.uint64) * _SALTS[4] + np.uint64(g)))
-            if g < light:
-                i, j = np.triu_indices(n, 1)
-                key, use = mixed(content[:, i] + (content[:, j] ^ _SALTS[0])), filled[:, i] | filled[:, j]
-            else:
-                key, use = content, filled
-            use |= sparse[:, None]
+            rare = [sets[i][~_among(sets[i], frequent)] for i in at]
+            key, use, sparse = _class_keys(rare, g, plan, light, 0)
+            use &= ~sparse[:, None]
             keys.append(key[use])
             out.append(np.repeat(nodes[at], use.sum(1)))
+            if sparse.any():
+                at = at[sparse]
+                key, use, sparse = _class_keys([sets[i] for i in at], g, plan, light, 1)
+                use |= sparse[:, None]
+                keys.append(key[use])
+                out.append(np.repeat(nodes[at], use.sum(1)))
     return np.concatenate(keys), np.concatenate(out)
 
 
@@ -171,24 +213,51 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2): the size and digest of each document's set."""
+    """(doc_id, n_shingles, h1, h2, frequent): size and digest of each document's set; where frequent, a shingle h1 and how many documents of a chunk have it."""
 
     def digests(batches):
         hashes = WordHashes()
+        held, total = [], 0
         for batch in batches:
             rows = []
             for text in as_bytes(batch.column("text")):
                 s = shingles(text, width, hashes)
                 rows.append((len(s), *_digest(s)))
+                if len(s):
+                    held.append(s)
+                    total += len(s)
+                if total >= COUNTED_SHINGLES:
+                    yield often(held)
+                    held, total = [], 0
             n, h1, h2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n_shingles", "h1", "h2"])
+            yield batch_of(batch.column("doc_id"), n, h1, h2, False)
+        if held:
+            yield often(held)
+
+    def often(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(sets), return_counts=True)
+        frequent = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(sets))
+        found, counts = found[frequent].view(np.int64), counts[frequent]
+        return batch_of(pa.nulls(len(found), pa.int64()), counts, found, np.zeros(len(found), np.int64), True)
+
+    def batch_of(doc_id, n, h1, h2, frequent: bool) -> pa.RecordBatch:
+        columns = [doc_id, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([frequent] * len(n), pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "frequent"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digests, "doc_id long, n_shingles long, h1 long, h2 long, frequent boolean")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digests, "doc_id long, n_shingles long, h1 long, h2 long")
+def frequent_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that are frequent in chunks of documents, sorted; `FREQUENT` of them at most, those with the most documents."""
+    counted = sets.where("frequent").groupBy("h1").agg(F.sum("n_shingles").alias("n"))
+    found = counted.orderBy(F.desc("n"), "h1").limit(FREQUENT).select("h1").toPandas()["h1"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int], light: int, tasks: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int], light: int, frequent: np.ndarray, tasks: int) -> DataFrame:
     """(a, b): stars over sets (by h1) that share a signature; a superset's components hold all links."""
     plan = class_plan(bounds, percent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def postings(batches):
         hashes = WordHashes()
@@ -203,7 +272,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int]
                 if not distinct:
                     continue
                 nodes = np.fromiter(distinct, np.int64, len(distinct))
-                key, node, a, b = _stars(*_signatures(list(distinct.values()), nodes, bounds, plan, light, percent))
+                key, node, a, b = _stars(*_signatures(list(distinct.values()), nodes, bounds, plan, light, percent, shared.value))
                 # Sets that met here already go on as pairs with a key of their own,
                 # so a key of many sets costs the shuffle one row for each chunk.
                 pair = mixed(mixed(a.view(np.uint64) ^ _SALTS[0]) + b.view(np.uint64))
@@ -240,8 +309,10 @@ def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
         sets = [shingles(texts[i], width, hashes) for i in order[start:end]]
         m, sizes = len(sets), np.array([len(s) for s in sets])
         elements, which = np.unique(np.concatenate(sets), return_inverse=True)
-        lists = np.bincount(which, minlength=len(elements))
-        doc = np.repeat(np.arange(m), sizes)
+        del sets
+        which = which.astype(np.int32)
+        lists = np.bincount(which, minlength=len(elements)).astype(np.int32)
+        doc = np.repeat(np.arange(m, dtype=np.int32), sizes)
         shared = lists[which] > 1
         which, doc = which[shared], doc[shared]
         by_element = np.argsort(which, kind="stable")
@@ -253,7 +324,8 @@ def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
             if not len(scanned):
                 continue
             lengths = begins[scanned + 1] - begins[scanned]
-            at = np.arange(lengths.sum()) + np.repeat(begins[scanned] - np.r_[0, np.cumsum(lengths)[:-1]], lengths)
+            at = np.repeat((begins[scanned] - np.r_[0, np.cumsum(lengths)[:-1]]).astype(np.int32), lengths)
+            at += np.arange(len(at), dtype=np.int32)
             common = np.bincount(posted[at], minlength=m)[x + 1 :]
             linked = 100 * common >= percent * (sizes[x] + sizes[x + 1 :] - common)
             sides = side[start + x + 1 : end]
@@ -294,7 +366,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links, n_links the number of other documents that a document links with.
     """
     spark = docs.sparkSession
-    sets = checkpointed(shingle_sets(docs, width))
+    counted = checkpointed(shingle_sets(docs, width))
+    sets = counted.where("not frequent").drop("frequent")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     largest = sets.agg(F.max("n_shingles")).first()[0] or 0
     bounds = class_bounds(largest, percent)
@@ -306,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     rows = sum(n * 1.5 * (math.comb(plan[g][2], 2) if g < light else plan[g][1]) for g, n in counts.items())
     tasks = max(shuffle_partitions(spark), math.ceil(rows / TASK_ROWS))
 
-    blocks = connected_components(candidate_edges(docs, width, percent, bounds, light, tasks))
+    blocks = connected_components(candidate_edges(docs, width, percent, bounds, light, frequent_shingles(counted), tasks))
     members = classes.join(blocks, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "n_shingles", "copies", F.col("component").alias("block"))
     members = checkpointed(members)
     totals = members.groupBy("block").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", F.ceil(F.col("total") / BLOCK_SHINGLES))
