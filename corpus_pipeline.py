@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import checkpointed, table
 from ledgerline.llm.line_rules import without_lines
 from ledgerline.llm.mixing import repeated
-from ledgerline.llm.ngram_join import ngram_jaccard_join
+from ledgerline.llm.ngram_join import ngram_jaccard_join, without
 from ledgerline.llm.packing import best_fit_packing
 from ledgerline.llm.toxicity import toxicity_scores
 
@@ -26,8 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score is 0.5 or more go."""
-    scored = toxicity_scores(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return scored.where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    return toxicity_scores(docs, table(spark, sf_dir, "labels")).where(F.col("score") < TOXIC).select("doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without doc_id stay, and so do all rows that repeat the doc_id that stays.
     """
     groups = ngram_jaccard_join(docs, NEAR_WIDTH, NEAR_PERCENT)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return without(docs, checkpointed(groups.where("component_id <> doc_id").select("doc_id")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,9 +167,10 @@ def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], pl
     """(key, node) of every set, for its own class and, near the class's end, for the next.
 
     Keys are made of a set's elements that aren't frequent: two sets differ in no
-    more of those than of all. A set that fills too few parts with them has keys of all its
-    elements, empty parts included if need be. Of two sets that link, either one
-    fills enough parts, and an untouched one of them is the other's too, or neither does.
+    more of those than of all. Of two sets that link, if one fills more than k parts
+    with them, an untouched one of these is the other's too. A set that fills fewer
+    has keys of all its elements besides, for partners that do as well; and if even
+    these fill too few parts, keys of its empty parts.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     own = np.searchsorted(bounds, sizes, side="right") - 1
@@ -186,7 +187,6 @@ def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], pl
                 continue
             rare = [sets[i][~_among(sets[i], frequent)] for i in at]
             key, use, sparse = _class_keys(rare, g, plan, light, 0)
-            use &= ~sparse[:, None]
             keys.append(key[use])
             out.append(np.repeat(nodes[at], use.sum(1)))
             if sparse.any():
@@ -349,21 +349,33 @@ def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array(out_links, pa.int64())})
 
 
-def _maybe(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text) without most rows whose doc_id is not among `ids`; a filter of fixed size, broadcast."""
-    position = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 as int))")
-    words = ids.select(position("doc_id").alias("at")).select(F.expr("at >> 6").alias("word"), bit("at").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    probed = docs.withColumn("at", position("doc_id"))
-    return probed.join(F.broadcast(words), F.expr("at >> 6 = word")).where(F.expr("bits & shiftleft(1L, cast(at & 63 as int)) <> 0")).select("doc_id", "text")
+def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each row of `docs` whole, as the column doc, and possible: false where its doc_id is not among `ids` (doc_id), true of the others and a few more.
+
+    A filter of fixed size over `ids` is broadcast: 64-bit words, one bit for each id.
+    """
+    position = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    words = ids.select(position("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+    rows, at = docs.select(F.struct("*").alias("doc")), position("doc.doc_id")
+    probed = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("word"), "left")
+    return probed.select("doc", F.coalesce(F.col("bits").bitwiseAND(bit(at)) != 0, F.lit(False)).alias("possible"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` but for those whose doc_id is among `ids`; only rows that the filter flags are shuffled for the exact test."""
+    probed = flagged(docs, ids)
+    exact = probed.where("possible").join(ids.select(F.col("doc_id").alias("gone")), F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti")
+    return probed.where("not possible").union(exact).select("doc.*")
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every document.
+    """doc_id, n_shingles, component_id, class_id and n_links of every document.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets
     of `width`-word shingles. component_id is the least doc_id reachable over
-    links, n_links the number of other documents that a document links with.
+    links, class_id the least with an equal set, n_links the number of other
+    documents that a document links with.
     """
     spark = docs.sparkSession
     counted = checkpointed(shingle_sets(docs, width))
@@ -383,7 +395,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     members = classes.join(blocks, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "n_shingles", "copies", F.col("component").alias("block"))
     members = checkpointed(members)
     totals = members.groupBy("block").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", F.ceil(F.col("total") / BLOCK_SHINGLES))
-    units = math.ceil((totals.where("chunks = 1").agg(F.sum("total")).first()[0] or 0) / UNIT_SHINGLES) or 1
+    units = max(4 * shuffle_partitions(spark), math.ceil((totals.where("chunks = 1").agg(F.sum("total")).first()[0] or 0) / UNIT_SHINGLES))
     dealt = members.join(totals, "block").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)"))
     small = dealt.where("chunks = 1").select("doc_id", "copies", "block", F.lit(None).cast("int").alias("side"), F.expr(f"pmod(xxhash64(block), {units}L)").alias("unit"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
     other = F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
@@ -391,7 +403,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         "doc_id", "copies", "block", F.expr("case when other = chunk then null when chunk < other then 0 else 1 end").cast("int").alias("side"), F.col("block").alias("unit"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
     work = small.union(large)
-    texts = _maybe(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), members)
+    texts = flagged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), members).where("possible").select("doc.*")
 
     def linked(rows: pa.Table) -> pa.Table:
         return block_links(rows, width, percent)
@@ -401,8 +413,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     of_class = (
         classes.join(components, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
-        .select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("n_shingles", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     return sets.join(of_class, ["n_shingles", "h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

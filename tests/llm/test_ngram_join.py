@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from ledgerline.llm import ngram_join
@@ -120,4 +121,25 @@ def test_odd_tables(make_docs):
     assert by[7]["component_id"] == 6 and by[6]["n_links"] == 1
     assert ngram_jaccard_join(make_docs([]), 3, 90).count() == 0
     copies = ngram_jaccard_join(make_docs([(i, "exactly the same words", "s") for i in range(9)]), 3, 90).collect()
-    assert {(r["component_id"], r["n_links"]) for r in copies} == {(0, 8)}
+    assert {(r["component_id"], r["class_id"], r["n_links"]) for r in copies} == {(0, 0, 8)}
+
+
+@pytest.mark.parametrize(("percent", "light"), [(90, 0), (90, 99), (80, 0), (80, 3), (50, 0)])
+def test_sets_that_link_share_a_key_whatever_is_frequent(percent, light):
+    """On the edge of the threshold, with any share of a pair's elements listed as frequent."""
+    rng = np.random.default_rng(percent + light)
+    bounds = class_bounds(700, percent)
+    plan = class_plan(bounds, percent)
+    for trial in range(400):
+        size = int(rng.integers(bounds[0], 600 if light < 99 else 80))
+        larger = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        # The most that can go from, or be swapped in, a set that still links.
+        swaps = max(n for n in range(len(larger)) if 100 * (len(larger) - n) >= percent * (len(larger) + n)) if trial % 2 else 0
+        drops = 0 if swaps else max(n for n in range(len(larger)) if 100 * (len(larger) - n) >= percent * len(larger))
+        kept = rng.permutation(larger)[: len(larger) - swaps - drops]
+        other = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, swaps, np.uint64)]))
+        pool = np.union1d(larger, other)
+        # Frequent ones may all be on one side's own part, which makes that side alone sparse.
+        frequent = np.sort(rng.choice(pool, int(rng.uniform(0, 1) * len(pool)), replace=False)) if trial % 3 else np.sort(kept[: int(rng.uniform(0.7, 1) * len(kept))])
+        keys = [set(ngram_join._signatures([s], np.zeros(1, np.int64), bounds, plan, light, percent, frequent)[0].tolist()) for s in (larger, other)]
+        assert keys[0] & keys[1] or (larger == other).all()
