@@ -77,11 +77,11 @@ def _measured(docs: DataFrame) -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
             kind = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))
             names = ["doc_id", "host", *(x.split()[0] for x in _MEASURES.split(", ")), "text_hash", "lines"]
-            text_hash = pa.array([xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, text_hash, pa.array(lines, kind)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, batch.column("text_hash"), pa.array(lines, kind)], names)
 
     host = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
-    rows = docs.select(F.col("doc_id").cast("long"), host.alias("host"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), host.alias("host"), text, F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(measure, f"doc_id long, host string, {_MEASURES}, text_hash long, lines array<struct<hash: long, words: long>>").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -108,28 +108,24 @@ def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
 
     def strip(batches):
         for batch in batches:
+            rows = batch.column("doc")
             kept = []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("removed_lines").to_pylist(), strict=True):
+            for text, gone in zip(rows.field("text").to_pylist(), batch.column("removed_lines").to_pylist(), strict=True):
                 gone = set(gone or ())
                 kept.append("\n".join(x for x in text.split("\n") if line_hash(x.encode()) not in gone) if gone and text else text)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(kept, pa.string())).drop_columns(["removed_lines"])
-
-    verdicts = line_frequency_rules(docs, limit).where("kept").select(F.col("doc_id").alias("_doc_id"), "text_hash", "removed_lines").dropDuplicates(["_doc_id", "text_hash"])
-    hashed = docs.withColumn("_doc_id", F.col("doc_id").cast("long")).mapInArrow(_with_text_hash, f"{_ddl(docs)}, _doc_id long, text_hash long")
-    joined = hashed.join(verdicts, hashed["_doc_id"].eqNullSafe(verdicts["_doc_id"]) & (hashed["text_hash"] == verdicts["text_hash"]))
-    changed = joined.select(*[hashed[c] for c in docs.columns], verdicts["removed_lines"]).mapInArrow(strip, docs.schema)
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else changed
-
-
-def _ddl(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-
-def _with_text_hash(batches):
-    for batch in batches:
-        found = [xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column("text").to_pylist()]
-        yield batch.append_column("text_hash", pa.array(found, pa.int64()))
+            changed = {"text": pa.array(kept, pa.string())}
+            if rows.type.get_field_index("n_chars") >= 0:
+                changed["n_chars"] = pa.array([None if t is None else len(t) for t in kept], pa.int64()).cast(rows.type.field("n_chars").type)
+            names = [f.name for f in rows.type]
+            doc = pa.StructArray.from_arrays([changed.get(n, rows.field(i)) for i, n in enumerate(names)], names)
+            yield pa.RecordBatch.from_arrays([doc], ["doc"])
+
+    verdicts = line_frequency_rules(docs, limit).where("kept").select("doc_id", "text_hash", "removed_lines").dropDuplicates(["doc_id", "text_hash"])
+    # The row goes whole, as one column, so that no column of it can clash with ours.
+    rows = docs.select(F.struct("*").alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
+    joined = rows.join(verdicts, same).select("doc", "removed_lines")
+    return joined.mapInArrow(strip, rows.schema).select("doc.*")
 
 
 _N = r"[^\x20\x09-\x0D]+"

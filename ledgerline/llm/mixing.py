@@ -94,9 +94,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """`docs`, each row as many times as the mix takes it whole."""
     mixed = mix_sources(docs, weights, most, cut=False).where("taken > 0")
-    copies = mixed.groupBy(F.col("doc_id").alias("_id"), "text_hash").agg(F.max(F.expr("cast(taken div size as int)")).alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("text_hash")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixed.groupBy("doc_id", "text_hash").agg(F.max(F.expr("cast(taken div size as int)")).alias("copies"))
+    # The row goes whole, as one column, so that no column of it can clash with ours.
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
+    joined = docs.select(F.struct("*").alias("doc")).join(copies, same)
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 ORACLE_SQL = rf"""

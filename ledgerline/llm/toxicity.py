@@ -30,6 +30,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.llm.common import checkpointed
 
@@ -133,7 +134,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20))
     drawn = known.where(draw < int((1 << 20) * min(1.0, 0.95 * most / max(1, known.count()))))
     # As many rows as the sample has at most, so their broadcast is bounded.
-    rows = docs.join(F.broadcast(drawn), F.col("doc_id").cast("long") == F.col("_id")).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     bits = F.xxhash64("text", F.lit("half"))
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
     return checkpointed(once.select("text", "toxic", F.pmod(bits, F.lit(2)).cast("int").alias("half"), (F.pmod(F.shiftright(bits, 8), F.lit(5)) == 0).alias("calibrates")))
@@ -169,44 +171,50 @@ def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float
     return half(0), half(1), {r["term"]: r["w2"] for r in kept if r["w2"] >= 1}
 
 
-def _with_features(rows: DataFrame, lexicons: list[dict[str, float]], keep: list[str]) -> DataFrame:
-    """Columns `keep` of `rows` and their texts' features, by the lexicon that the column _lexicon numbers."""
+def _with_features(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """(doc, vector): rows with their texts' features, by the lexicon that the column lexicon numbers.
+
+    A row goes whole, as the column doc, so that no column of it can clash with ours.
+    """
 
     def features(batches):
         tokens = [Tokens(x) for x in shared.value]
         for batch in batches:
-            found = [tokens[i].features(t) for i, t in zip(batch.column("_lexicon").to_pylist(), batch.column("_text").to_pylist(), strict=True)]
-            yield batch.drop_columns(["_lexicon", "_text"]).append_column("_features", pa.array(found, pa.list_(pa.float64())))
+            texts = batch.column("doc").field("text").to_pylist()
+            found = [tokens[i].features(t) for i, t in zip(batch.column("lexicon").to_pylist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.float64()))], ["doc", "features"])
 
     shared = rows.sparkSession.sparkContext.broadcast(lexicons)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.select(*keep, "_lexicon", F.col("text").cast("string").alias("_text")).mapInArrow(features, f"{fields}, _features array<double>")
+    schema = rows.select("doc").schema.add("features", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(features, schema).select("doc", array_to_vector("features").alias("vector"))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keep: list[str], sample: int = SAMPLE) -> DataFrame:
-    """Columns `keep` of `docs`, and toxic_score: 0 to 1, higher where label 1 is likelier."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc, score): each row of `docs` whole, and 0 to 1, higher where label 1 is likelier."""
+    whole = docs.select(F.struct("*").alias("doc"), F.lit(0).alias("lexicon"))
     rows = labelled_sample(docs, labels, sample)
     rate = rows.agg(F.avg("toxic")).first()[0]
     if rate in (None, 0.0, 1.0):
-        return docs.select(*keep, F.lit(float(rate or 0)).alias("toxic_score"))
+        return whole.select("doc", F.lit(float(rate or 0)).alias("score"))
     *halves, full = learn_lexicons(rows)
-    learn = checkpointed(_with_features(rows.withColumn("_lexicon", 1 - F.col("half")), halves, ["toxic", "calibrates"]).select(F.col("toxic").cast("double"), "calibrates", array_to_vector("_features").alias("_vector")).coalesce(4))
-    trees = GBTClassifier(featuresCol="_vector", labelCol="toxic", predictionCol="_prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1)
-    model = trees.setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(learn.where("not calibrates"))
+    training = rows.select(F.struct("*").alias("doc"), (1 - F.col("half")).alias("lexicon"))
+    learn = checkpointed(_with_features(training, halves).select(F.col("doc.toxic").cast("double").alias("toxic"), "doc.calibrates", "vector").coalesce(4))
+    trees = GBTClassifier(featuresCol="vector", labelCol="toxic", predictionCol="prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1)
+    model = trees.setRawPredictionCol("raw").setProbabilityCol("probability").fit(learn.where("not calibrates"))
 
     def with_probability(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("_p", vector_to_array("_probability")[1])
+        return model.transform(df).withColumn("p", vector_to_array("probability")[1])
 
-    calibration = with_probability(learn.where("calibrates")).select("toxic", "_p")
+    calibration = with_probability(learn.where("calibrates")).select("toxic", "p")
     isotonic = None
     if calibration.agg(F.countDistinct("toxic")).first()[0] == 2:
-        isotonic = IsotonicRegression(featuresCol="_p", labelCol="toxic", predictionCol="_calibrated").fit(calibration)
-    scored = with_probability(_with_features(docs.withColumn("_lexicon", F.lit(0)), [full], keep).withColumn("_vector", array_to_vector("_features")))
-    scored = isotonic.transform(scored) if isotonic else scored.withColumn("_calibrated", F.col("_p"))
-    return scored.select(*keep, ((1 - ORDER_SHARE) * F.col("_calibrated") + ORDER_SHARE * F.col("_p")).alias("toxic_score"))
+        isotonic = IsotonicRegression(featuresCol="p", labelCol="toxic", predictionCol="calibrated").fit(calibration)
+    scored = with_probability(_with_features(whole, [full]))
+    scored = isotonic.transform(scored) if isotonic else scored.withColumn("calibrated", F.col("p"))
+    return scored.select("doc", ((1 - ORDER_SHARE) * F.col("calibrated") + ORDER_SHARE * F.col("p")).alias("score"))
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    scored = toxicity_scores(docs.select(F.col("doc_id").cast("long"), "text"), labels, ["doc_id"])
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity_scores(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), labels).select("doc.doc_id", "score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
