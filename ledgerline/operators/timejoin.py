@@ -34,18 +34,28 @@ def band_join(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
     return a.join(b, "bucket").where(apart <= seconds * 1_000_000).select("left_id", "right_id", "left_ts", "right_ts")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
     """Each left row (key, id, ts) with the latest right row of its key at or before its ts.
 
-    One pass over the union of both, sorted by key and ts; of right rows at one
-    time that with the greatest id counts. The result has key, left_id, left_ts,
-    right_id and right_ts, null where there is none.
+    Of right rows at one time that with the greatest id counts. The result has
+    key, left_id, left_ts, right_id and right_ts, null where there is none.
+
+    Rows of a key are cut into stretches of `seconds`, so that a key with a third of
+    all rows is many tasks' work. A stretch finds the latest within it by one pass
+    over both sides, and gets the latest from before it from one row for each stretch.
     """
     a = left.select(key, "ts", F.col("id").alias("left_id"), F.lit(None).cast(right.schema["id"].dataType).alias("right_id"), F.lit(1).alias("side"))
-    b = right.select(key, "ts", F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("side"))
-    seen = Window.partitionBy(key).orderBy("ts", "side", "right_id").rowsBetween(Window.unboundedPreceding, 0)
-    latest = F.last(F.when(F.col("side") == 0, F.struct(F.col("right_id"), F.col("ts").alias("right_ts"))), ignorenulls=True).over(seen)
-    return a.unionByName(b).withColumn("latest", latest).where("side = 1").select(key, "left_id", F.col("ts").alias("left_ts"), "latest.right_id", "latest.right_ts")
+    b = right.where("ts is not null").select(key, "ts", F.lit(None).cast(left.schema["id"].dataType).alias("left_id"), F.col("id").alias("right_id"), F.lit(0).alias("side"))
+    both = a.unionByName(b).withColumns({"stretch": F.floor(_seconds("ts") / seconds), "found": F.when(F.col("side") == 0, F.struct(F.col("ts").alias("right_ts"), "right_id"))})
+    seen = Window.partitionBy(key, "stretch").orderBy("ts", "side", "right_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("within", F.last("found", ignorenulls=True).over(seen)).where("side = 1")
+    earlier = Window.partitionBy(key).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = both.groupBy(key, "stretch").agg(F.max("found").alias("last"))
+    before = stretches.select(F.col(key).alias("_key"), F.col("stretch").alias("_stretch"), F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    joined = within.join(before, F.col(key).eqNullSafe(F.col("_key")) & F.col("stretch").eqNullSafe(F.col("_stretch")), "left")
+    # A left row without a time has nothing before it.
+    latest = F.when(F.col("ts").isNotNull(), F.coalesce("within", "before"))
+    return joined.select(key, "left_id", F.col("ts").alias("left_ts"), latest["right_id"].alias("right_id"), latest["right_ts"].alias("right_ts"))
 
 
 def mutual_best(pairs: DataFrame, distance: str) -> DataFrame:

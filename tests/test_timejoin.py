@@ -17,10 +17,10 @@ def make(spark, drawn):
 
 
 @QUICK
-@given(ROWS, ROWS)
-def test_asof_takes_the_latest_before(spark, a, b):
+@given(ROWS, ROWS, st.sampled_from([10, 100, 86_400]))
+def test_asof_takes_the_latest_before(spark, a, b, seconds):
     (left, l), (right, r) = make(spark, a), make(spark, b)
-    found = {x["left_id"]: x["right_id"] for x in timejoin.asof_join(l, r, "key").collect()}
+    found = {x["left_id"]: x["right_id"] for x in timejoin.asof_join(l, r, "key", seconds).collect()}
     for key, i, ts in left:
         before = [(t, j) for k, j, t in right if k == key and t <= ts]
         assert found[i] == (max(before)[1] if before else None)
@@ -35,6 +35,13 @@ def test_band_join_is_the_nested_loop(spark, a, b, seconds):
     assert found == sorted((i, j) for _, i, s in left for _, j, t in right if abs((t - s).total_seconds()) <= seconds)
 
 
+def test_asof_with_nulls(spark):
+    left = spark.createDataFrame([(None, 1, START), (1, 2, None), (1, 3, START)], SCHEMA)
+    right = spark.createDataFrame([(None, 7, START), (1, 8, None), (1, 9, START - timedelta(days=9))], SCHEMA)
+    found = {x["left_id"]: (x["right_id"], x["right_ts"]) for x in timejoin.asof_join(left, right, "key").collect()}
+    assert found == {1: (7, START), 2: (None, None), 3: (9, START - timedelta(days=9))}
+
+
 def test_band_join_has_no_nested_loop(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id as id", "ts")
     plan = timejoin.band_join(events, events, 5)._jdf.queryExecution().executedPlan().toString()
