@@ -22,16 +22,6 @@ class Profile:
     days_tolerance: int = 0
 
 
-def _one_per_key(side: DataFrame, profile: Profile, name: str) -> DataFrame:
-    """The least row of each key and how many there are.
-
-    An aggregate that combines before its shuffle, so repeats of one key don't
-    meet in one task, and both sides of the join have unique keys.
-    """
-    least = F.min(F.struct(profile.amount, profile.when))
-    return side.groupBy(*[F.col(c).alias(f"{name}_{c}") for c in profile.key]).agg(least.alias(name), F.count("*").alias(f"{name}_rows"))
-
-
 def flags(profile: Profile, tolerance: Column | None = None) -> dict[str, Column]:
     """Every fault that a joined row can have, whatever its class."""
     off = F.abs(F.col("right_amount") - F.col("left_amount"))
@@ -63,18 +53,20 @@ def classified(joined: DataFrame, profile: Profile, tolerance: Column | None = N
     return joined.withColumns({"delta": delta.cast("decimal(18,2)"), "class": cls, "flags": listed})
 
 
-def joined_sides(left: DataFrame, right: DataFrame, profile: Profile) -> DataFrame:
-    """Both sides by key (null keys equal null keys), one row for each key that either has."""
-    a, b = _one_per_key(left, profile, "left"), _one_per_key(right, profile, "right")
-    on = None
-    for c in profile.key:
-        same = F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}"))
-        on = same if on is None else on & same
-    keys = [F.coalesce(f"left_{c}", f"right_{c}").alias(c) for c in profile.key]
-    return a.join(b, on, "full_outer").select(
-        *keys, F.col(f"left.{profile.amount}").alias("left_amount"), F.col(f"right.{profile.amount}").alias("right_amount"),
-        F.col(f"left.{profile.when}").alias("left_ts"), F.col(f"right.{profile.when}").alias("right_ts"), "left_rows", "right_rows",
-    )
+def joined_sides(left: DataFrame, right: DataFrame, profile: Profile, also: tuple[str, ...] = ()) -> DataFrame:
+    """Both sides by key (null keys equal null keys), one row for each key that either has.
+
+    Of a key's rows on a side: how many there are, the least amount and the
+    earliest time; of columns `also`, the least over both sides. This is one
+    aggregate over both sides in place of a full outer join: a single shuffle, before which
+    repeats of a key are combined.
+    """
+    columns = [*profile.key, profile.amount, profile.when, *also]
+    both = left.select(*columns, F.lit(True).alias("is_left")).unionByName(right.select(*columns, F.lit(False).alias("is_left")))
+    found = []
+    for side, here in (("left", F.col("is_left")), ("right", ~F.col("is_left"))):
+        found += [F.min(F.when(here, F.col(profile.amount))).alias(f"{side}_amount"), F.min(F.when(here, F.col(profile.when))).alias(f"{side}_ts"), F.nullif(F.count(F.when(here, 1)), F.lit(0)).alias(f"{side}_rows")]
+    return both.groupBy(*profile.key).agg(*found, *[F.min(c).alias(c) for c in also])
 
 
 def reconcile(left: DataFrame, right: DataFrame, profile: Profile = Profile()) -> DataFrame:
@@ -90,8 +82,7 @@ def reconcile_by_kind(left: DataFrame, right: DataFrame, tolerances: DataFrame,
     """
     if tolerances.limit(broadcast_rows + 1).count() <= broadcast_rows:
         tolerances = F.broadcast(tolerances)
-    kinds = left.select(*profile.key, "kind").unionByName(right.select(*profile.key, "kind")).groupBy(*profile.key).agg(F.min("kind").alias("kind"))
-    joined = joined_sides(left, right, profile).join(kinds, list(profile.key), "left").join(tolerances, "kind", "left")
+    joined = joined_sides(left, right, profile, ("kind",)).join(tolerances, "kind", "left")
     return classified(joined, profile, F.coalesce("tolerance", F.lit(profile.amount_tolerance).cast("decimal(18,2)")))
 
 

@@ -34,8 +34,8 @@ right_side as (
 
 def _reconciled(tolerance: str = "0.01", extra: str = "") -> str:
     return f"""{_SIDES},
-l as (select * from (select *, count(*) over (partition by record_id) as n, row_number() over (partition by record_id order by amount, event_ts) as i from left_side) where i = 1),
-r as (select * from (select *, count(*) over (partition by record_id) as n, row_number() over (partition by record_id order by amount, event_ts) as i from right_side) where i = 1),
+l as (select record_id, count(*) as n, min(amount) as amount, min(event_ts) as event_ts, min(kind) as kind from left_side group by record_id),
+r as (select record_id, count(*) as n, min(amount) as amount, min(event_ts) as event_ts, min(kind) as kind from right_side group by record_id),
 joined as (
   select coalesce(l.record_id, r.record_id) as record_id, coalesce(l.kind, r.kind) as kind, l.amount as left_amount, r.amount as right_amount, l.event_ts as left_ts, r.event_ts as right_ts, l.n as left_rows, r.n as right_rows
   from l full outer join r on l.record_id = r.record_id
