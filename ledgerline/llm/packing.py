@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import checkpointed, word_count
+from ledgerline.llm.common import WORD, checkpointed, word_count
 
 CAPACITY, GROUP_ROWS = 2048, 8192
 #: Share of a group's documents from which on a source has an index of its own.
@@ -135,3 +135,14 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, group_rows: int
     pieces = rows.where("size > 0").select(group, "doc_id", "size", "source", "cluster").groupBy("group").applyInArrow(packed, "doc_id long, piece long, n_words long, bin_id long, start long")
     none = F.lit(None).cast("long")
     return pieces.union(rows.where("size = 0").select("doc_id", F.lit(0).cast("long"), "size", none, none))
+
+
+def bin_texts(docs: DataFrame, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(bin_id, n_words, doc_ids, text): the words of each bin's pieces in their places, one space between.
+
+    doc_id has to be unique. A group is a bin, whose words are bounded by its capacity.
+    """
+    words = docs.select(F.col("doc_id").cast("long"), F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0)).alias("words"))
+    cut = pieces.where("bin_id is not null").join(words, "doc_id").select("bin_id", "n_words", F.struct("start", "doc_id", F.array_join(F.slice("words", F.col("piece") * capacity + 1, F.col("n_words")), " ").alias("text")).alias("part"))
+    bins = cut.groupBy("bin_id").agg(F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list("part")).alias("parts"))
+    return bins.select("bin_id", "n_words", F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.text", " ").alias("text"))

@@ -105,3 +105,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     return rows.withColumn("place", place).join(F.broadcast(starts), "virtual_slot").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "virtual_slot", F.col("version").alias("map_version")
     )
+
+
+def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
+    """Write the rows of `docs` as Parquet, a folder for each shard of a version of the map.
+
+    Every task writes what it has of each shard; no shard passes one task.
+    """
+    where = slot_map.select(F.col("slot").alias("_slot"), "shard")
+    rows = docs.select(F.struct("*").alias("doc"))
+    placed = rows.join(F.broadcast(where), slot_of(F.col("doc.doc_id"), slots) == F.col("_slot"))
+    placed.select("doc", "shard").write.partitionBy("shard").parquet(path)

@@ -1,6 +1,6 @@
 import random
 
-from ledgerline.llm.packing import best_fit_packing, pack
+from ledgerline.llm.packing import best_fit_packing, bin_texts, pack
 from tests.llm.conftest import odd_rows
 
 
@@ -56,6 +56,17 @@ def test_bins_of_a_table(make_docs):
     assert sum(r["n_words"] for r in pieces) == sum(len(t.split()) for _, t, _ in rows)
 
 
+def test_bins_hold_all_words(make_docs):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.randrange(0, 150))), f"s{rng.randrange(9)}") for i in range(60)]
+    docs = make_docs(rows)
+    bins = bin_texts(docs, best_fit_packing(docs, capacity=64, group_rows=30), capacity=64).collect()
+    assert sorted(w for r in bins for w in r["text"].split()) == sorted(w for _, t, _ in rows for w in t.split())
+    for r in bins:
+        assert len(r["text"].split()) == r["n_words"] <= 64
+        assert list(dict.fromkeys(int(w[1:].split("w")[0]) for w in r["text"].split())) == r["doc_ids"]
+
+
 def test_copies_never_share_a_bin(make_docs):
     rows = [(i, "same words in all of them", f"s{i}") for i in range(30)]
     pieces = best_fit_packing(make_docs(rows), capacity=64).collect()

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerline.llm.sharding import edited, first_map, rebalanced, shard_documents, slot_of, store_map, stored_map
+from ledgerline.llm.sharding import edited, first_map, rebalanced, shard_documents, slot_of, store_map, stored_map, write_shards
 from tests.llm.conftest import odd_rows
 
 
@@ -57,6 +57,14 @@ def test_map_versions_are_kept(spark, tmp_path):
     assert stored_map(spark, path).where("shard = 4").count() > 0 and stored_map(spark, path).count() == 64
 
 
+def test_shards_are_written_whole(spark, make_docs, tmp_path):
+    docs = make_docs(odd_rows() + [(100 + i, f"text {i}", "s") for i in range(300)], clashing=True)
+    write_shards(docs, first_map(spark), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.select("doc.*").exceptAll(docs).count() == 0 and written.count() == docs.count()
+    assert sorted(r[0] for r in written.select("shard").distinct().collect()) == list(range(8))
+
+
 def test_odd_tables(make_docs):
     rows = odd_rows()
     found = shard_documents(make_docs(rows)).collect()
