@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import shuffle_partitions
+from ledgerline.llm.common import shuffle_partitions, slices
 
 OPEN, CLOSE, BEGIN, END = "<s>", "</s>", "[INST]", "[/INST]"
 #: Those of the grammar, and others that tokenizers take for control strings.
@@ -110,7 +110,7 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
 
     def render(batches):
         last, n = None, 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 n = n + 1 if last == (conv,) else 0
@@ -129,7 +129,7 @@ def format_digests(conversations: DataFrame) -> DataFrame:
 
     def digest(batches):
         state, out = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for conv, rendered, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "mask_start", "mask_end")), strict=True):
                 if state is None or state[0] != conv:
                     if state is not None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Arrow's batches in parts of few rows: what Python makes of one is freed before the next.
+
+    What Arrow has freed goes back to the system at the end, for the worker lives on.
+    """
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 of each text of an Arrow string column, without decoding it."""
     return column.cast(pa.binary()).to_pylist()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import mixed, shuffle_partitions
+from ledgerline.llm.common import mixed, shuffle_partitions, slices
 
 #: Code points of a k-mer (a power of two), k-mers of a tuple, functions.
 KMER, TUPLE, HASHES = 8, 2, 64
@@ -122,7 +122,7 @@ def order_minhash(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
 
     def signatures(batches):
         minhash = OrderMinHash(hashes)
-        for batch in batches:
+        for batch in slices(batches):
             found = [_text_of(minhash.signature(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
@@ -141,7 +141,7 @@ def edit_likeness(docs: DataFrame, share: int = 4, hashes: int = HASHES) -> Data
     def compared(batches):
         minhash = OrderMinHash(hashes)
         waiting, out = None, []
-        for batch in batches:
+        for batch in slices(batches):
             for rng, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 signature = minhash.signature(text)
                 if waiting is not None and waiting[0] == rng:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import slices
+
 #: Lines of a window, and what a window's characters have to exceed in a surge.
 WINDOW, SURGE = 3, 60
 #: Lines without length that a span of text may bridge.
@@ -192,7 +194,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [main_text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

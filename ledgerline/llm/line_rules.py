@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WHITE, checkpointed
+from ledgerline.llm.common import WHITE, checkpointed, slices
 
 #: Documents of a host that a line may stand in; words that have to be left, and percent of all words.
 LINE_LIMIT, LEAST_LEFT, LEAST_LEFT_PERCENT = 20, 20, 10
@@ -67,7 +67,7 @@ def _measured(docs: DataFrame) -> DataFrame:
     """Measures of each row, a number of its own, its host and text hash, and its lines' hashes and words."""
 
     def measure(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             rows = [measures(t) for t in texts]
             lines = []
@@ -107,7 +107,7 @@ def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """
 
     def strip(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column("doc")
             kept = []
             for text, gone in zip(rows.field("text").to_pylist(), batch.column("removed_lines").to_pylist(), strict=True):

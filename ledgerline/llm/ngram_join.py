@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, as_bytes, checkpointed, mixed, shuffle_partitions, signed
+from ledgerline.llm.common import WordHashes, as_bytes, checkpointed, mixed, shuffle_partitions, signed, slices
 from ledgerline.llm.components import connected_components
 
 #: Sizes of one class differ by this factor at most.
@@ -46,13 +46,13 @@ CLASS_RATIO = 1.26
 #: Rows that enumeration may cost, as a share of the rows that the lists cost.
 LIGHT_SHARE = 0.25
 #: A shingle is frequent in a chunk of documents (so many shingles) from this share, and number, of them on.
-COUNTED_SHINGLES, FREQUENT_SHARE, FREQUENT_LEAST = 1 << 22, 0.001, 8
+COUNTED_SHINGLES, FREQUENT_SHARE, FREQUENT_LEAST = 1 << 21, 0.001, 8
 #: Frequent shingles that are broadcast at most (8 bytes each). Which they are changes the cost, never the result.
 FREQUENT = 1 << 20
 #: Shingles that a task takes in one block, and in all blocks that it takes together.
 BLOCK_SHINGLES, UNIT_SHINGLES = 1 << 20, 1 << 19
 #: Bytes of text that are worked on together in a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows of signatures in a reducing task.
 TASK_ROWS = 1 << 20
 #: Bits of the filter that keeps most texts out of the last shuffle.
@@ -218,7 +218,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def digests(batches):
         hashes = WordHashes()
         held, total = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in as_bytes(batch.column("text")):
                 s = shingles(text, width, hashes)
@@ -261,7 +261,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int]
 
     def postings(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             texts = as_bytes(batch.column("text"))
             for start, end in _chunks(texts):
                 distinct = {}

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import checkpointed
+from ledgerline.llm.common import checkpointed, slices
 
 #: Labelled rows to learn from, and terms of a lexicon.
 SAMPLE, LEXICON = 20_000, 20_000
@@ -146,7 +146,7 @@ def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float
 
     def count(batches):
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
                 for term in {t for word in {plain(x) for x in text.split()} if word for t in terms(word)}:
                     found[term, toxic, half] += 1
@@ -179,7 +179,7 @@ def _with_features(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFra
 
     def features(batches):
         tokens = [Tokens(x) for x in shared.value]
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("doc").field("text").to_pylist()
             found = [tokens[i].features(t) for i, t in zip(batch.column("lexicon").to_pylist(), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.list_(pa.float64()))], ["doc", "features"])
