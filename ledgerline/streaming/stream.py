@@ -24,10 +24,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(rows: DataFrame, ts: str, delay: str) -> DataFrame:
+def staged(rows: DataFrame, ts: str, delay: str, files_at_once: int | None = None) -> DataFrame:
     """`rows` as a stream with a watermark on `ts`, closed by a row at CLOSING.
 
     A stream's watermark needs timestamps with a zone, which `ts` is cast to.
+    `files_at_once` makes micro-batches of so many files.
     """
     spark = rows.sparkSession
     path = new_folder(spark, "stream")
@@ -35,20 +36,32 @@ def staged(rows: DataFrame, ts: str, delay: str) -> DataFrame:
     zoned.write.parquet(f"{path}/part=0")
     closing = spark.range(1).select(*[(F.lit(CLOSING) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in zoned.schema])
     closing.write.parquet(f"{path}/part=1")
-    return spark.readStream.schema(zoned.schema).parquet(f"{path}/part=*").withWatermark(ts, delay)
+    reader = spark.readStream.schema(zoned.schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(f"{path}/part=*").withWatermark(ts, delay)
 
 
 def before_closing(ts: str) -> Column:
     return F.col(ts) < F.lit(CLOSING).cast("timestamp")
 
 
-def run_to_end(stream: DataFrame) -> DataFrame:
-    """Process all that a stream has now, in append mode, and read what came out."""
+def run_counting_late(stream: DataFrame) -> tuple[DataFrame, int]:
+    """Process all that a stream has now, in append mode: what came out, and how many rows were too late.
+
+    Late rows are counted as Spark does, after rows of one batch and key are combined.
+    """
     spark = stream.sparkSession
     out = new_folder(spark, "stream-out")
     query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    return spark.read.schema(stream.schema).parquet(out), late
+
+
+def run_to_end(stream: DataFrame) -> DataFrame:
+    """What came out of a stream, however many rows were late."""
+    return run_counting_late(stream)[0]
 
 
 def windowed_totals(stream: DataFrame, ts: str, width: str, by: str) -> DataFrame:

@@ -25,3 +25,15 @@ def test_full_outer_join_gives_rows_without_a_partner(spark):
     joined = stream.interval_joined(stream.staged(a, "left_ts", "1 hour"), stream.staged(b, "right_ts", "1 hour"), "key", "10 minutes", "full_outer")
     found = stream.run_to_end(joined).where(stream.before_closing("left_ts") | stream.before_closing("right_ts"))
     assert sorted((r["key"] or 0, r["right_key"] or 0) for r in found.collect()) == [(0, 3), (1, 1), (2, 0)]
+
+
+def test_rows_beyond_the_delay_are_reported(spark):
+    """Files come in any order, so what a short delay loses differs; that it loses some is always told."""
+    rows = [("a", START + timedelta(hours=h)) for h in range(48)] + [("a", START + timedelta(minutes=1))]
+    df = spark.createDataFrame([(k, i, t) for i, (k, t) in enumerate(rows)], "kind string, i int, ts timestamp_ntz").selectExpr("kind", "cast(1 as decimal(18,2)) as amount", "ts", "i")
+    ordered = df.repartitionByRange(7, "i").sortWithinPartitions("i").drop("i")
+    for delay, late in (("2 hours", True), ("60 hours", False)):
+        found, dropped = stream.run_counting_late(stream.windowed_totals(stream.staged(ordered, "ts", delay, files_at_once=1), "ts", "1 day", "kind"))
+        counted = found.where(stream.before_closing("window_start")).groupBy().sum("n").first()[0]
+        assert (dropped > 0) == (counted < 49)
+        assert late or counted == 49
