@@ -63,6 +63,11 @@ def test_broken_markup():
     assert main_text("<script>never closed " + P1) == ""
 
 
+def test_broken_tags_take_no_longer():
+    for piece in ("<a ", '<a "', "<a '<b \"", "</", "<!--<a ", "<script ", "<p class='"):
+        main_text(piece * 200_000)
+
+
 def test_the_longest_span_wins():
     links = "".join(f"<li><a href='/{i}'>A link with a rather long text number {i}</a></li>" for i in range(12))
     page = f"<div><p>{P1}</p></div><ul>{links}</ul><div>" + "".join(f"<p>{P2} {i}</p>" for i in range(5)) + f"</div><ul>{links}</ul>"
