@@ -1,4 +1,4 @@
-from ledgerline.functions.vectorised import Instalments
+from ledgerline.functions.vectorised import Instalments, drawdowns
 from ledgerline.plans import evaluation
 from ledgerline.sources import connector, ingest, profiles
 from ledgerline.sources.store import EvaluationStore
@@ -53,3 +53,10 @@ def test_instalments_add_up(spark):
     spark.udtf.register("instalments", Instalments)
     found = spark.sql("select units, sum(due_units) as total, count(*) as n from due, lateral instalments(units, parts) group by units").collect()
     assert sorted((r["units"], r["total"], r["n"]) for r in found) == [(2, 2, 4), (10, 10, 3)]
+
+
+def test_drawdowns_of_each_key(spark):
+    rows = [("a", 1, 5), ("a", 3, -9), ("a", 2, 4), ("a", 4, 1), ("b", 1, -3), ("b", 2, -1), ("c", 1, 2)]
+    found = drawdowns(spark.createDataFrame(rows, "k string, o int, u long"), "k", "o", "u").collect()
+    assert sorted(map(tuple, found)) == [("a", 9), ("b", 4), ("c", 0)]
+    assert drawdowns(spark.createDataFrame([], "k string, o int, u long"), "k", "o", "u").count() == 0
