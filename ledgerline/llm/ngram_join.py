@@ -418,3 +418,31 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return sets.join(of_class, ["n_shingles", "h1", "h2"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
+
+
+#: The join of three-word shingles at 90 %, by joining all shingles of all documents with one another.
+ORACLE_SQL = r"""
+with recursive docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), words as (
+  select doc_id, len(w) as n, unnest(w) as a, generate_subscripts(w, 1) as i from docs
+), windows as (
+  select doc_id, n, i, a, lead(a) over (partition by doc_id order by i) as b, lead(a, 2) over (partition by doc_id order by i) as c from words
+), shingles as (
+  select distinct doc_id, case when n < 3 then concat_ws(' ', n, a, b) else a || ' ' || b || ' ' || c end as s from windows where i = 1 or c is not null
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), pairs as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id
+), links as (
+  select a, b, pairs.n = p.n and pairs.n = q.n as equal_sets from pairs join sizes p on a = p.doc_id join sizes q on b = q.doc_id where 100 * pairs.n >= 90 * (p.n + q.n - pairs.n)
+), reached as (
+  select a as doc_id, a as other from links union select doc_id, b from reached join links on other = a
+), components as (
+  select doc_id, min(other) as least from reached group by doc_id
+), counted as (
+  select a as doc_id, count(*) as n, min(case when equal_sets then b end) as least_equal from links group by a
+)
+select d.doc_id, coalesce(sizes.n, 0) as n_shingles, coalesce(components.least, d.doc_id) as component_id, least(d.doc_id, coalesce(counted.least_equal, d.doc_id)) as class_id, coalesce(counted.n, 0) as n_links
+from documents d left join sizes on d.doc_id = sizes.doc_id left join components on d.doc_id = components.doc_id left join counted on d.doc_id = counted.doc_id
+"""

@@ -7,11 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, line_rules, mixing, packing, sharding, toxicity, url_filter
+from ledgerline.llm import chat_format, line_rules, mixing, ngram_join, packing, sharding, toxicity, url_filter
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
 from ledgerline.llm.html_text import extract_text
-from ledgerline.llm.ngram_join import ngram_jaccard_join
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
 def op6_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_line_frequency": line_rules.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
+    "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op6_url_bloom": url_filter.ORACLE_SQL,
     "op7_chat_round_trip": chat_format.ORACLE_SQL,
 }

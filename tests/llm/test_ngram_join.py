@@ -8,9 +8,15 @@ import pytest
 from ledgerline.llm import ngram_join
 from ledgerline.llm.components import connected_components
 from ledgerline.llm.ngram_join import class_bounds, class_plan, light_classes, ngram_jaccard_join
+from ledgerline.llm.queries import QUERIES
+from tests.conftest import same_rows
 from tests.llm.conftest import odd_rows
 
 
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck):
+    same_rows(QUERIES["op5_ngram_jaccard_join"](spark, sf_dir), duck, ngram_join.ORACLE_SQL)
+
+
 def brute(rows, width, percent):
     def shingles(text):
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
