@@ -411,7 +411,9 @@ def _cents(column: str) -> Column:
     return (money(column) * 100).cast("long")
 
 
-@query()
+@query("""with c as (select o_orderkey, string_split(reverse(cast(o_orderkey as varchar)), '') as c from orders),
+d as (select o_orderkey, cast(unnest(c) as integer) as d, generate_subscripts(c, 1) as i from c)
+select o_orderkey, cast((10 - sum(case when i % 2 = 0 then d when d > 4 then 2 * d - 9 else 2 * d end) % 10) % 10 as integer) as digit from d group by o_orderkey""")
 def check_digits(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", vectorised.check_digit("o_orderkey").alias("digit"))
 
