@@ -200,3 +200,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+
+
+#: SQL can't tell surge from dive; this reads the articles of the test tables by their regular layout.
+ORACLE_SQL = r"""
+with articles as (
+  select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) as a from pages
+), parts as (
+  select page_id, unnest(string_split(regexp_replace(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>', chr(0), 'g'), chr(0))) as part,
+    generate_subscripts(string_split(regexp_replace(regexp_replace(replace(a, '<br>', ' '), '</?b>', '', 'g'), '</?(p|h1)>', chr(0), 'g'), chr(0)), 1) as i
+  from articles
+), blocks as (
+  select page_id, i, trim(regexp_replace(replace(regexp_replace(replace(replace(replace(part, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp(;|$)', '&', 'g'), '&copy;', chr(169)), '[\x20\x09-\x0D]+', ' ', 'g')) as block from parts
+), texts as (
+  select page_id, string_agg(block, chr(10) || chr(10) order by i) as text from blocks where block <> '' group by page_id
+)
+select pages.page_id, url, coalesce(text, '') as text, cast(length(coalesce(text, '')) as bigint) as n_chars from pages left join texts using (page_id)
+"""

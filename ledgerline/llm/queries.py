@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, line_rules, mixing, ngram_join, packing, sharding, toxicity, url_filter
+from ledgerline.llm import chat_format, html_text, line_rules, mixing, ngram_join, packing, sharding, toxicity, url_filter
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
-from ledgerline.llm.html_text import extract_text
 
 
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +42,7 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages"))
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +73,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op6_url_bloom": url_filter.ORACLE_SQL,
     "op7_chat_round_trip": chat_format.ORACLE_SQL,
+    "op8_line_blocks": html_text.ORACLE_SQL,
 }

@@ -3,8 +3,10 @@ import re
 
 import pytest
 
+from ledgerline.llm import html_text
 from ledgerline.llm.html_text import extract_text, main_text
 from ledgerline.llm.queries import QUERIES
+from tests.conftest import same_rows
 
 P1, P2 = "The first paragraph of the article is long enough to be a surge of text.", "The second one follows it and is about as long as the first one was."
 
@@ -23,6 +25,10 @@ def test_pages_of_the_test_tables(spark, sf_dir):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck):
+    same_rows(QUERIES["op8_line_blocks"](spark, sf_dir), duck, html_text.ORACLE_SQL)
+
+
 NOISE = [
     "<nav><ul><li><a href='/'>Home page of this site</a><li>Other entries of the menu here</ul></nav>", "<header><h1>The Site's own name and motto, rather long</h1></header>", "<footer>&copy; All rights of this page are reserved by us</footer>",
     "<aside><p>A sidebar with some text that isn't of the article</p></aside>", '<div class="cookie-notice"><p>We use cookies to make this page work well for you</p></div>', '<div id="ad-1" class="ad">Buy this thing now, it is cheap and good</div>',
