@@ -5,8 +5,10 @@ menus, headers, footers, sidebars, notices, adverts, forms and comments stay as
 lines without length, and so do characters of links. Lengths are summed over a
 sliding window of lines; text begins at a surge of these sums and ends where they
 dive. The span between them with the most text is kept, with the marked lines
-inside it taken out. Where a page marks its article, lines outside of it have
-no length.
+inside it taken out. Other spans of the same article, or of the container that
+has most of the span, are joined to it with what is between; so are short blocks
+and a headline beside it. Where a page marks its article, spans end at its
+borders and text outside of it weighs less.
 
 A null or empty page has an empty text; a page without a surge keeps its longest
 span of whatever length. Repeated pages come out alike. Extra columns are not
@@ -28,6 +30,8 @@ from ledgerline.llm.common import slices
 WINDOW, SURGE = 3, 60
 #: Lines without length that a span of text may bridge.
 BRIDGE = 4
+#: What a character outside of a page's article weighs when the longest span is chosen.
+OUTSIDE = 0.25
 
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
@@ -54,6 +58,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r]+")
 _ARTICLE = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _marked(name: str, attributes: str, in_article: bool) -> bool:
@@ -71,28 +76,38 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("article", "link", "marked", "parts")
+    __slots__ = ("article", "container", "heading", "length", "link", "marked", "parts", "words")
 
-    def __init__(self, marked: bool, article: bool):
-        self.parts, self.link, self.marked, self.article = [], 0, marked, article
+    def __init__(self, marked: bool, article: bool, container: int):
+        self.parts, self.link, self.marked, self.article, self.container, self.heading = [], 0, marked, article, container, False
 
 
-def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, length, marked) of each block in page order, and whether the page marks its article.
+class _Container:
+    """A container of the page: `end` is the number after its last descendant's; number 0 is the page itself."""
 
-    A length is that of text outside links and marked blocks.
+    __slots__ = ("end", "marked", "parent")
+
+    def __init__(self, parent: int, marked: bool):
+        self.parent, self.marked, self.end = parent, marked, 1 << 62
+
+
+def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
+    """The blocks with words in page order, and the containers in order of their beginnings.
+
+    A line's length is that of its text outside links, 0 if the line is marked.
     """
     lines: list[_Line] = []
-    open_: list[tuple[str, bool]] = []  # open containers and whether they are marked
-    marked = articles = links = 0
+    containers = [_Container(-1, False)]
+    open_: list[tuple[str, int]] = []  # open containers by name and number
+    articles = links = 0
     inline = ""  # the marked element that isn't a container, such as a paragraph
-    line = _Line(False, False)
+    line = _Line(False, False, 0)
 
     def end_line() -> None:
         nonlocal line
         if line.parts:
             lines.append(line)
-        line = _Line(bool(marked or inline), articles > 0)
+        line = _Line(bool(inline), articles > 0, open_[-1][1] if open_ else 0)
 
     def text(raw: str) -> None:
         line.parts.append(raw)
@@ -120,25 +135,25 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if closing:
                 for i in range(len(open_) - 1, -1, -1):
                     if open_[i][0] == name:
-                        for gone, was in open_[i:]:
-                            marked -= was
+                        for gone, number in open_[i:]:
+                            containers[number].end = len(containers)
                             articles -= gone in _ARTICLE
                         del open_[i:]
                         break
             else:
-                if name in _ARTICLE and not articles and marked and not any(n in _NOISE for n, was in open_ if was):
+                if name in _ARTICLE and not articles and any(containers[i].marked for _, i in open_) and not any(n in _NOISE for n, _ in open_):
                     # What was left open before an article doesn't hold it.
-                    open_, marked = [], 0
-                is_marked = _marked(name, m[4], articles > 0)
-                open_.append((name, is_marked))
-                marked += is_marked
+                    open_ = []
+                containers.append(_Container(open_[-1][1] if open_ else 0, _marked(name, m[4], articles > 0)))
+                open_.append((name, len(containers) - 1))
                 articles += name in _ARTICLE
             inline, links = "", 0
-            line.marked, line.article = bool(marked), articles > 0
+            line.marked, line.article, line.container = False, articles > 0, open_[-1][1] if open_ else 0
         elif name in _BLOCKS:
             inline = "" if closing or not _marked(name, m[4], articles > 0) else name
             links = 0
             end_line()
+            line.heading = not closing and name in _HEADINGS
         elif closing:
             if name == inline:
                 inline = ""
@@ -152,26 +167,48 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool]], bool]:
         cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
         text(rest[: cut.start()] if cut else rest)
     end_line()
-    whole = any(x.article and not x.marked for x in lines)
     found = []
     for x in lines:
-        words = _SPACE.sub(" ", unescape("".join(x.parts))).strip(" ")
-        if words:
-            apart = x.marked or (whole and not x.article)
-            found.append((words, 0 if apart else max(0, len(words) - x.link), apart))
-    return found, whole
+        x.words = _SPACE.sub(" ", unescape("".join(x.parts))).strip(" ")
+        if x.words:
+            found.append(x)
+    apart = [False] * len(containers)
+    for i, c in enumerate(containers):
+        apart[i] = c.marked or (c.parent >= 0 and apart[c.parent])
+    for x in found:
+        x.marked = x.marked or apart[x.container]
+        x.length = 0 if x.marked else max(0, len(x.words) - x.link)
+    return found, containers
+
+
+def _home(lines: list[_Line], containers: list[_Container], first: int, last: int) -> tuple[int, int]:
+    """Numbers from and to (without) which containers are inside the deepest one with more than half of a span's text; none if it is the page."""
+    held = [0] * len(containers)
+    for x in lines[first : last + 1]:
+        held[x.container] += x.length
+    half, home = sum(held) / 2, 0
+    for i in range(len(containers) - 1, 0, -1):
+        if held[i] > half:
+            home = i
+            break
+        held[containers[i].parent] += held[i]
+    return (home, containers[home].end) if home else (0, 0)
 
 
 def main_text(html: str | None) -> str:
-    """The blocks between the surge and the dive that hold the most text, joined by empty lines."""
-    lines, whole = page_lines(html or "")
-    if not lines:
-        return ""
-    lengths = [n for _, n, _ in lines]
+    """The blocks of the span, between surge and dive, that holds the most text, and what belongs to it; joined by empty lines."""
+    lines, containers = page_lines(html or "")
+    lengths = [x.length for x in lines]
+    if not any(lengths):
+        # All text is links; those of an article are all that there is of it.
+        return "\n\n".join(x.words for x in lines if x.article and not x.marked)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     least = SURGE if max(sums) > SURGE else 0
     spans, begin, last = [], None, 0
     for i, n in enumerate(lengths):
+        if begin is not None and lines[i].article != lines[begin].article:
+            spans.append((begin, last))
+            begin = None
         if begin is None:
             if sums[i] > least and n:
                 begin = last = i
@@ -182,13 +219,30 @@ def main_text(html: str | None) -> str:
             begin = None
     if begin is not None:
         spans.append((begin, last))
-    if not spans and not whole:
-        return ""
-    first, last = max(spans, key=lambda s: sum(lengths[s[0] : s[1] + 1]), default=(0, 0))
-    if whole:
-        # An article is marked to its ends: spans and blocks of links within it belong to it.
-        first, last = 0, len(lines) - 1
-    return "\n\n".join(words for words, _, apart in lines[first : last + 1] if not apart)
+    outside = OUTSIDE if any(x.article and x.length for x in lines) else 1
+    first, last = max(spans, key=lambda s: sum(lengths[s[0] : s[1] + 1]) * (1 if lines[s[0]].article else outside))
+    article = lines[first].article
+    begin, end = (0, 0) if article else _home(lines, containers, first, last)
+    here = [x.article == article and (article or begin <= x.container < end) for x in lines]
+    # What surges in the same article or container is the same text.
+    joined = [s for s in spans if here[s[0]]]
+    first, last = min([first, *(s[0] for s in joined)]), max([last, *(s[1] for s in joined)])
+    # Short blocks before a surge, or after the last of several, belong to it; those of the same container over a gap too.
+    for step in (-1, 1):
+        at, gap = (first if step < 0 else last) + step, 0
+        while 0 <= at < len(lines) and lines[at].article == article and gap < BRIDGE and (lengths[at] or here[at]):
+            gap = 0 if lengths[at] else gap + 1
+            if lengths[at]:
+                first, last = min(first, at), max(last, at)
+            at += step
+    # A headline may be a link.
+    for at in range(first - 1, max(-1, first - 1 - BRIDGE), -1):
+        if lines[at].article != article or not (here[at] or at == first - 1):
+            break
+        if lines[at].heading and not lines[at].marked:
+            first = at
+            break
+    return "\n\n".join(x.words for x in lines[first : last + 1] if not x.marked)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -89,3 +89,27 @@ def test_odd_tables(spark):
     assert (by[1]["text"], by[2]["n_chars"], by[3]["text"], by[None]["text"]) == ("", 0, "short", "no markup")
     assert by[4]["n_chars"] == 20_000 * (len(P1) + 2) - 2
     assert extract_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_the_test_tables_without_article_tags(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        assert main_text(re.sub(r"<(/?)article>", r"<\1div>", r["html"])) == article_of(r["html"])
+
+
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>A link with a rather long text number {i}</a></li>" for i in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_surge_and_dive_choose_the_span(tag):
+    """The same with an article and without: links at the ends go, and what surges in one container, short blocks and the headline stay."""
+    inside = f"{LINKS}<h1><a href='/'>Headline</a></h1><p>By me</p><p>At ten</p><p>Now</p><p>{P1}</p>{LINKS}<p>{P2}</p><p>{P1}</p><p><a href='/'>More</a></p><p>End.</p>{LINKS}"
+    links = re.findall("<a [^>]*>(.*?)</a>", LINKS)
+    assert main_text(f"<div>Site</div>{LINKS}<{tag}>{inside}</{tag}>{LINKS}<div>{P1}</div>") == "\n\n".join(["Headline", "By me", "At ten", "Now", P1, *links, P2, P1, "More", "End."])
+
+
+def test_an_article_mark_is_a_weight():
+    text = [f"{P2} {i}" for i in range(20)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    assert main_text(f"<article><p>{P1}</p></article><div>{body}</div>") == "\n\n".join(text)
+    assert main_text(f"<div><p>{P1}</p><p>{P2}</p></div><article><p>{P1}</p></article><div><p>{P2}</p></div>") == P1
+    assert main_text("<article><p><a href='/'>All of it is a link</a></p></article>") == "All of it is a link"
