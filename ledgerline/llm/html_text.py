@@ -7,7 +7,8 @@ sliding window of lines; text begins at a surge of these sums and ends where the
 dive. The span between them with the most text is kept, with the marked lines
 inside it taken out. Other spans of the same article, or of the container that
 has most of the span, are joined to it with what is between; so are short blocks
-and a headline beside it. Where a page marks its article, spans end at its
+and a headline beside it. A container that would be apart, but holds the article or
+nearly all of the page's text, is a wrapper and isn't. Where a page marks its article, spans end at its
 borders and text outside of it weighs less.
 
 A null or empty page has an empty text; a page without a surge keeps its longest
@@ -43,6 +44,8 @@ _NOISE_NAME = re.compile(
     r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|footer|foot|comments?|commentlist|respond|replies|reply|disqus|discussion|reader-comments|related|recommended|recommendations|share|sharing|social|widget|toolbar|pagination|pager|search|form|hidden|skip)(?:$|[\s_-])""",
     re.I,
 )
+_NOISE_ELEMENTS = _NOISE - {"form"} | {"header"}
+_DISCUSSION_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus|discussion)(?:$|[\s_-])", re.I)
 #: Headers hold a site's name outside of an article, and a headline within one.
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.I)
 #: Names that only say what else a page has, such as has-sidebar.
@@ -76,19 +79,83 @@ def _marked(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class _Line:
-    __slots__ = ("article", "container", "heading", "length", "link", "marked", "parts", "words")
+    __slots__ = ("article", "container", "heading", "length", "link", "marked", "parts", "title", "words")
 
     def __init__(self, marked: bool, article: bool, container: int):
-        self.parts, self.link, self.marked, self.article, self.container, self.heading = [], 0, marked, article, container, False
+        self.parts, self.link, self.marked, self.article, self.container = [], 0, marked, article, container
+        self.heading = self.title = False
 
 
 class _Container:
     """A container of the page: `end` is the number after its last descendant's; number 0 is the page itself."""
 
-    __slots__ = ("end", "marked", "parent")
+    __slots__ = ("discussion", "end", "hidden", "marked", "named", "parent", "starts_article")
 
-    def __init__(self, parent: int, marked: bool):
-        self.parent, self.marked, self.end = parent, marked, 1 << 62
+    def __init__(self, name: str, attributes: str, parent: int, in_article: bool):
+        self.parent, self.end, self.starts_article = parent, 1 << 62, name in _ARTICLE
+        self.marked, self.named = _marked(name, attributes, in_article), name in _NOISE_ELEMENTS
+        self.hidden = self.discussion = False
+        for m in _ATTRIBUTE.finditer(attributes) if self.marked and attributes else ():
+            what, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+            self.hidden |= what == "hidden" or (what == "aria-hidden" and value == "true")
+            self.discussion |= what in ("class", "id") and bool(_DISCUSSION_NAME.search(value))
+
+
+def _unmark_wrappers(lines: list[_Line], containers: list[_Container]) -> None:
+    """Take the mark from containers that hold the page's article, or nearly all of its text, and so can't be apart from it.
+
+    Discussions don't count, for they can be longer than what they are about.
+    Steps go inwards, one marked container in another, so this is linear.
+    """
+    if not any(c.marked for c in containers):
+        return
+    n = len(containers)
+    own, own_article, heads = [0] * n, [0] * n, [0] * n
+    for x in lines:
+        own[x.container] += x.length
+        own_article[x.container] += x.length if x.article else 0
+        heads[x.container] += x.title
+
+    def upward(values: list[int]) -> list[int]:
+        sums = values[:]
+        for i in range(n - 1, 0, -1):
+            sums[containers[i].parent] += sums[i]
+        return sums
+
+    heads = upward(heads)
+    has_heads = [heads[0] > 0 and h == heads[0] for h in heads]
+    discussed = [False] * n
+    for i, c in enumerate(containers[1:], 1):
+        discussed[i] = discussed[c.parent] or (c.discussion and not has_heads[i])
+    if any(v for v, d in zip(own, discussed, strict=True) if not d):
+        own = [0 if d else v for v, d in zip(own, discussed, strict=True)]
+        own_article = [0 if d else v for v, d in zip(own_article, discussed, strict=True)]
+    text, article = upward(own), upward(own_article)
+    # Sums by the innermost marked container, and the marked ones directly in it.
+    near, inner = [0] * n, {}
+    free, free_article, starts = [0] * n, [0] * n, [0] * n
+    for i, c in enumerate(containers):
+        if i and c.marked:
+            inner.setdefault(near[c.parent], []).append(i)
+        near[i] = i if c.marked or not i else near[c.parent]
+        free[near[i]] += own[i]
+        free_article[near[i]] += own_article[i]
+        starts[near[i]] += c.starts_article
+    scope, outside, outside_article, articles = 0, free[0], free_article[0], starts[0]
+    while scope in inner:
+        found = None
+        for i in (max(inner[scope], key=article.__getitem__), max(inner[scope], key=text.__getitem__)):
+            c, small = containers[i], outside <= SURGE
+            holds_article = article[i] and not c.named and article[i] >= max(outside, 9 * outside_article) and (small or has_heads[i] or not outside_article)
+            # Of the text that isn't apart, or where that doesn't surge and no headline tells, of all.
+            holds_text = text[i] and not articles and ((has_heads[i] and text[i] >= 9 * outside) or (small and 10 * text[i] >= 9 * text[0]))
+            if not c.hidden and (holds_article or holds_text):
+                found = i
+                break
+        if found is None:
+            break
+        containers[found].marked = False
+        scope, outside, outside_article, articles = found, outside + free[found], outside_article + free_article[found], articles + starts[found]
 
 
 def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
@@ -97,7 +164,7 @@ def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
     A line's length is that of its text outside links, 0 if the line is marked.
     """
     lines: list[_Line] = []
-    containers = [_Container(-1, False)]
+    containers = [_Container("", "", -1, False)]
     open_: list[tuple[str, int]] = []  # open containers by name and number
     articles = links = 0
     inline = ""  # the marked element that isn't a container, such as a paragraph
@@ -141,10 +208,7 @@ def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
                         del open_[i:]
                         break
             else:
-                if name in _ARTICLE and not articles and any(containers[i].marked for _, i in open_) and not any(n in _NOISE for n, _ in open_):
-                    # What was left open before an article doesn't hold it.
-                    open_ = []
-                containers.append(_Container(open_[-1][1] if open_ else 0, _marked(name, m[4], articles > 0)))
+                containers.append(_Container(name, m[4], open_[-1][1] if open_ else 0, articles > 0))
                 open_.append((name, len(containers) - 1))
                 articles += name in _ARTICLE
             inline, links = "", 0
@@ -153,7 +217,7 @@ def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
             inline = "" if closing or not _marked(name, m[4], articles > 0) else name
             links = 0
             end_line()
-            line.heading = not closing and name in _HEADINGS
+            line.heading, line.title = not closing and name in _HEADINGS, not closing and name == "h1"
         elif closing:
             if name == inline:
                 inline = ""
@@ -171,13 +235,15 @@ def page_lines(html: str) -> tuple[list[_Line], list[_Container]]:
     for x in lines:
         x.words = _SPACE.sub(" ", unescape("".join(x.parts))).strip(" ")
         if x.words:
+            x.length = 0 if x.marked else max(0, len(x.words) - x.link)
             found.append(x)
+    _unmark_wrappers(found, containers)
     apart = [False] * len(containers)
     for i, c in enumerate(containers):
         apart[i] = c.marked or (c.parent >= 0 and apart[c.parent])
     for x in found:
-        x.marked = x.marked or apart[x.container]
-        x.length = 0 if x.marked else max(0, len(x.words) - x.link)
+        if apart[x.container]:
+            x.marked, x.length = True, 0
     return found, containers
 
 

@@ -113,3 +113,29 @@ def test_an_article_mark_is_a_weight():
     assert main_text(f"<article><p>{P1}</p></article><div>{body}</div>") == "\n\n".join(text)
     assert main_text(f"<div><p>{P1}</p><p>{P2}</p></div><article><p>{P1}</p></article><div><p>{P2}</p></div>") == P1
     assert main_text("<article><p><a href='/'>All of it is a link</a></p></article>") == "All of it is a link"
+
+
+WRAPPERS = ["<div class='container sidebar-right'>{}</div>", "<div class='nav-open'>{}</div>", "<form id='aspnetForm'>{}</form>", "<div class='nav-open'><form id='aspnetForm'>{}</form></div>", "<div id='page-comments-open'>{}</div>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>", "{}"])
+def test_a_wrapper_of_the_text_is_no_noise(wrapper, inner):
+    text = inner.format(f"<h1>Headline</h1><p>{P1}</p><p>{P2}</p>")
+    noise = "".join(x for x in NOISE if "<h1>" not in x)
+    for page in (wrapper.format(text), wrapper.format(noise + text + noise), "<div>A motto</div>" + wrapper.format(text + noise) + noise, f"<article>{wrapper.format(text)}</article>"):
+        # What stands right before a headline, unmarked and outside of an article, is a short block of it.
+        found = main_text(page).removeprefix("A motto\n\n")
+        assert found == f"Headline\n\n{P1}\n\n{P2}", page
+
+
+def test_noise_of_much_text_stays_noise():
+    many = "".join(f"<p>{P2} {i}</p>" for i in range(40))
+    for noise in (f"<section class='comments'>{many}</section>", f"<div class='related'><article>{P1}</article></div>", f"<ol class='commentlist'><li><article>{many}</article></ol>", f"<div class='consent'>{many}</div>", f"<div hidden>{many}</div>"):
+        for inner in ("<article>{}</article>", "<div>{}</div>"):
+            assert main_text(inner.format(f"<h1>Headline</h1><p>{P1}</p><p>{P2}</p>") + noise) == f"Headline\n\n{P1}\n\n{P2}", noise
+    assert main_text(f"<div class='ad'>{P1}</div><article></article>") == ""
+
+
+def test_deep_marked_containers_take_no_longer():
+    assert main_text("<div class='ad'>" * 50_000 + f"<article>{P1}") == P1
