@@ -3,7 +3,8 @@
 Lines are normalised (A-Z lower-cased, digits as 0, white space collapsed) and
 hashed. A line that stands in more than `limit` distinct documents of a host is
 boilerplate there. Copies count once, so that copying a document doesn't make
-boilerplate of it. A document that loses nearly all its words with its
+boilerplate of it. Where texts are cleaned (`without_lines`), so do depleted
+texts that are near copies of one another. A document that loses nearly all its words with its
 boilerplate is depleted and rejected, beside those that fail the base rules.
 
 Null texts have no words and fail; a null host (source) is a host of its own;
@@ -19,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WHITE, checkpointed, slices
+from ledgerline.llm.ngram_join import ngram_jaccard_join
 
 #: Documents of a host that a line may stand in; words that have to be left, and percent of all words.
 LINE_LIMIT, LEAST_LEFT, LEAST_LEFT_PERCENT = 20, 20, 10
 #: Base rules: fewest words, highest percent of words in repeated windows, words of a window.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 
+#: Depleted texts with this similarity (percent) of their sets of shingles, or more, count a line once.
+COPY_WIDTH, COPY_PERCENT = 5, 50
+
 SYMBOLS = "#*$%&|<>"
 _ZERO = bytes.maketrans(b"123456789", b"0" * 9)
 
@@ -85,15 +90,36 @@ def _measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(measure, f"doc_id long, host string, {_MEASURES}, text_hash long, lines array<struct<hash: long, words: long>>").withColumn("row", F.monotonically_increasing_id())
 
 
-def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """doc_id, measures, base_failed, kept, n_left_words and the hashes of the lines to remove, for each row."""
+def _depleted(left: F.Column) -> F.Column:
+    return (left < LEAST_LEFT) | (100 * left < LEAST_LEFT_PERCENT * F.col("n_words"))
+
+
+def _beyond_copies(docs: DataFrame, rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """The lines of `found`, which are frequent, that stay so when depleted texts that are near copies count once."""
+    lost = found.groupBy("row").agg(F.sum("words").alias("lost"))
+    depleted = checkpointed(rows.join(lost, "row").where(_depleted(F.col("n_words") - F.col("lost"))).select("text_hash").distinct())
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).join(depleted.withColumnRenamed("text_hash", "doc_id"), "doc_id", "left_semi")
+    groups = ngram_jaccard_join(checkpointed(texts.dropDuplicates(["doc_id"])), COPY_WIDTH, COPY_PERCENT).select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("copies_of"))
+    counted = found.join(groups, "text_hash", "left").groupBy("host", "hash").agg(F.countDistinct(F.coalesce("copies_of", "text_hash")).alias("n"))
+    return checkpointed(counted.where(F.col("n") > limit))
+
+
+def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT, copies_once: bool = False) -> DataFrame:
+    """doc_id, measures, base_failed, kept, n_left_words and the hashes of the lines to remove, for each row.
+
+    With `copies_once`, depleted texts that are near copies of one another count as one.
+    """
     rows = checkpointed(_measured(docs))
     lines = rows.select("row", "host", "text_hash", F.inline("lines"))
     frequent = lines.groupBy("host", "hash").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > limit)
+    if copies_once:
+        lines = checkpointed(lines.join(frequent.drop("n"), ["host", "hash"]))
+        frequent = _beyond_copies(docs, rows, lines, limit)
     removed = lines.join(frequent, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("hash")).alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     base_failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words")
-    depleted = (left < LEAST_LEFT) | (100 * left < LEAST_LEFT_PERCENT * F.col("n_words"))
+    depleted = _depleted(left)
     return rows.join(removed, "row", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
         left.alias("n_left_words"), "text_hash", F.coalesce("removed_lines", F.expr("array()").cast("array<long>")).alias("removed_lines"),
@@ -120,7 +146,7 @@ def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
             doc = pa.StructArray.from_arrays([changed.get(n, rows.field(i)) for i, n in enumerate(names)], names)
             yield pa.RecordBatch.from_arrays([doc], ["doc"])
 
-    verdicts = line_frequency_rules(docs, limit).where("kept").select("doc_id", "text_hash", "removed_lines").dropDuplicates(["doc_id", "text_hash"])
+    verdicts = line_frequency_rules(docs, limit, copies_once=True).where("kept").select("doc_id", "text_hash", "removed_lines").dropDuplicates(["doc_id", "text_hash"])
     # The row goes whole, as one column, so that no column of it can clash with ours.
     rows = docs.select(F.struct("*").alias("doc"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))

@@ -40,6 +40,22 @@ def test_run_applies_all_stages(spark, sf_dir, tmp_path):
     assert found.exceptAll(packed.select(*found.columns)).count() == 0 and found.count() == packed.count()
 
 
+def test_one_of_many_edited_copies_in_a_host_survives(spark, make_docs, sf_dir):
+    lines = [[f"line{i}word{j}" for j in range(12)] for i in range(12)]
+
+    def edited(n):
+        return "\n".join(" ".join(w if (i, j) != (n % 12, n // 12) else f"edit{n}" for j, w in enumerate(line)) for i, line in enumerate(lines))
+
+    banner = "a banner that stands in all of the other pages"
+    rows = [(n, edited(n), "s") for n in range(100)] + [(500 + n, banner + "\n" + " ".join(f"own{n}x{j}" for j in range(60)), "s") for n in range(30)]
+    quality = corpus_pipeline.quality_rules(spark, make_docs(rows, clashing=True), sf_dir)
+    texts = {r["doc_id"]: r["text"] for r in quality.collect()}
+    assert [texts.get(n) for n in range(100)] == [edited(n) for n in range(100)]
+    assert all(banner not in texts[500 + n] for n in range(30))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, quality, sf_dir).collect()}
+    assert kept == {0} | set(range(500, 530))
+
+
 @pytest.mark.parametrize("i", range(len(corpus_pipeline.STAGES)))
 def test_odd_tables(spark, make_docs, sf_dir, i):
     name, stage = corpus_pipeline.STAGES[i]
