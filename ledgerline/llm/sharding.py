@@ -11,6 +11,8 @@ ids. Extra columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -87,16 +89,23 @@ def stored_map(spark: SparkSession, path: str, version: int | None = None) -> Da
     return versions.where(F.col("version") == version).select("version", "slot", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (place within the shard), virtual_slot and map_version of every row.
 
     Places are numbered within each virtual slot, by doc_id, from where the
-    shard's earlier slots end, so that no shard is sorted as a whole.
+    shard's earlier slots end, so that no shard is sorted as a whole. Version 1 of
+    the map and its edit are stored at `map_path`, which has to be new (unless given,
+    a folder of the session's checkpoint folder), and documents placed by what is stored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = checkpointed(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot")))
     per_slot = checkpointed(rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
-    slot_map = rebalanced(first_map(docs.sparkSession, shards, slots), per_slot.select(F.col("virtual_slot").alias("slot"), "bytes"), shards)
+    spark = docs.sparkSession
+    # checkpointed() has seen to it that there is a shared folder.
+    path = map_path or f"{spark.sparkContext.getCheckpointDir()}/slot-map-{uuid.uuid4().hex}"
+    store_map(first_map(spark, shards, slots), path)
+    store_map(rebalanced(stored_map(spark, path), per_slot.select(F.col("virtual_slot").alias("slot"), "bytes"), shards), path)
+    slot_map = stored_map(spark, path)
     # One row for each virtual slot, whose number is fixed.
     counted = slot_map.withColumnRenamed("slot", "virtual_slot").join(F.broadcast(per_slot), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)

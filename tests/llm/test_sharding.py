@@ -57,6 +57,15 @@ def test_map_versions_are_kept(spark, tmp_path):
     assert stored_map(spark, path).where("shard = 4").count() > 0 and stored_map(spark, path).count() == 64
 
 
+def test_documents_are_placed_by_a_stored_map(spark, make_docs, tmp_path):
+    path = str(tmp_path / "map")
+    found = shard_documents(make_docs([(i, "x" * (i % 90), "s") for i in range(300)]), map_path=path).collect()
+    assert stored_map(spark, path, 1).exceptAll(first_map(spark)).count() == 0
+    newest = {r["slot"]: (r["shard"], r["version"]) for r in stored_map(spark, path).collect()}
+    assert len(newest) == 4096 and len(found) == 300
+    assert all(newest[r["virtual_slot"]] == (r["shard"], r["map_version"]) for r in found)
+
+
 def test_shards_are_written_whole(spark, make_docs, tmp_path):
     docs = make_docs(odd_rows() + [(100 + i, f"text {i}", "s") for i in range(300)], clashing=True)
     write_shards(docs, first_map(spark), str(tmp_path / "out"))
