@@ -11,23 +11,50 @@ LANE, LANES = 15, 4
 
 
 def normalised_key(column: Column) -> Column:
-    """A key as it is compared: trimmed, lower case, runs of other than letters and digits as one dash."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """A key as it is compared: trimmed, lower case, runs of other than letters, marks and digits of any script as one dash."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), r"[^\p{L}\p{M}\p{N}]+", "-"), r"^-+|-+$", "")
+
+
+#: Types whose cast to string tells all values apart and depends on no setting.
+_PLAIN = (T.StringType, T.IntegralType, T.DecimalType, T.BooleanType, T.DateType)
+
+
+def _text(value: Column, kind: T.DataType) -> Column:
+    """A value that isn't null as text; nested values are encoded one by one."""
+    if isinstance(kind, T.TimestampNTZType):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(kind, T.TimestampType):
+        # An instant, whatever the session's zone.
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _encoded(x, kind.elementType)), "|"), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: _escaped(F.concat_ws("|", _encoded(e["key"], kind.keyType), _encoded(e["value"], kind.valueType)))
+        return F.concat(F.lit("<"), F.array_join(F.array_sort(F.transform(F.map_entries(value), entry)), "|"), F.lit(">"))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.concat(F.lit("{"), F.concat_ws("|", *[_encoded(value[f.name], f.dataType) for f in kind]), F.lit("}")))
+    if isinstance(kind, _PLAIN):
+        return value.cast("string")
+    raise TypeError(f"values of type {kind.simpleString()} have no canonical text; cast floating-point values to decimal first")
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
+
+
+def _encoded(value: Column, kind: T.DataType) -> Column:
+    return F.coalesce(F.concat(F.lit("="), _escaped(_text(value, kind))), F.lit("~"))
 
 
 def encoded(column: str, kind: T.DataType) -> Column:
-    """A value as text that no other value has: nulls apart from all text, separators escaped."""
-    c = F.col(column)
-    if isinstance(kind, T.TimestampNTZType | T.TimestampType):
-        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    elif isinstance(kind, T.DoubleType | T.FloatType):
-        raise TypeError(f"{column}: floating-point values have no canonical text; cast them to decimal first")
-    elif isinstance(kind, T.ArrayType):
-        text = F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("~"))), ",")
-    else:
-        text = c.cast("string")
-    text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\p"))
-    return F.coalesce(F.concat(F.lit("="), text), F.lit("~"))
+    """A value as text that no other value of its type has.
+
+    Nulls are apart from all text, separators are escaped, and elements of arrays, maps
+    (in order of their keys' text) and structs are encoded in the same way.
+    """
+    return _encoded(F.col(f"`{column}`"), kind)
 
 
 def canonical_row(df: DataFrame, columns: list[str] | None = None) -> Column:
@@ -40,13 +67,24 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.sha2(canonical_row(df, columns), 256)
 
 
-def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(n_rows, digest): one row that depends on a table's rows, repeats included, and not on their order.
+def table_digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """(part, n_rows, digest): for each table one row that depends on its rows, repeats included, and not on their order.
 
     Lanes of the row hashes are summed, so that partial sums combine and no
-    task collects rows.
+    task collects rows; all tables are read in one job.
     """
-    hashed = df.select(row_hash(df, columns).alias("h"))
     lane = lambda i: F.conv(F.substring("h", 1 + LANE * i, LANE), 16, 10).cast("decimal(20,0)")
-    sums = hashed.agg(F.count("*").alias("n_rows"), *[F.coalesce(F.sum(lane(i)), F.lit(0)).cast("decimal(38,0)").alias(f"s{i}") for i in range(LANES)])
-    return sums.select("n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LANES)]), 256).alias("digest"))
+    hashed = None
+    for part, df in tables.items():
+        one = df.select(F.lit(part).alias("part"), row_hash(df).alias("h"))
+        hashed = one if hashed is None else hashed.union(one)
+    sums = hashed.groupBy("part").agg(F.count("*").alias("n_rows"), *[F.sum(lane(i)).cast("decimal(38,0)").alias(f"s{i}") for i in range(LANES)])
+    parts = F.explode(F.array(*[F.lit(p) for p in tables])).alias("part")
+    all_sums = hashed.sparkSession.range(1).select(parts).join(sums, "part", "left")  # a table without rows has a digest too
+    filled = [F.coalesce("n_rows", F.lit(0)).alias("n_rows"), *[F.coalesce(f"s{i}", F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(LANES)]]
+    return all_sums.select("part", *filled).select("part", "n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(LANES)]), 256).alias("digest"))
+
+
+def table_digest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(n_rows, digest) of one table, of the given columns."""
+    return table_digests({"table": df.select(*columns) if columns else df}).drop("part")

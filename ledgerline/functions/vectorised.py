@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.sources.shared import checkpointed, shuffle_partitions
+
+#: Rows of a group that one worker takes at a time.
+GROUP_ROWS = 1 << 17
+
 
 @F.pandas_udf(T.IntegerType())
 def check_digit(numbers: pd.Series) -> pd.Series:
@@ -25,32 +32,48 @@ def check_digit(numbers: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.LongType())
-def net_position(units: pd.Series) -> int:
-    """A custom aggregate: the sum of units beyond their own most frequent value (the least, in ties)."""
-    units = units.dropna().astype("int64")
-    if units.empty:
+def net_position(units: pd.Series, rows: pd.Series) -> int:
+    """A custom aggregate over distinct values and how many rows have each: the sum of units beyond their most frequent value (the least, in ties).
+
+    A key's rows are counted by value first, so that what a worker gets is its distinct values.
+    """
+    known = units.notna()
+    units, rows = units[known].to_numpy(np.int64), rows[known].to_numpy(np.int64)
+    if not len(units):
         return 0
-    return int(units.sum() - len(units) * units.mode().iloc[0])
+    most = units[rows == rows.max()].min()
+    return int((units * rows).sum() - rows.sum() * most)
 
 
-def drawdowns(rows: DataFrame, key: str, order: str, amount: str) -> DataFrame:
+def drawdowns(rows: DataFrame, key: str, order: str, amount: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(key, drawdown_units): of each key, how far its running sum of whole units falls below an earlier peak at most.
 
-    Keys are dealt into a few groups for each shuffle partition and worked on
-    together, for a call of Python for each key would cost more than the sums.
+    Rows are dealt by ranges of (key, order) into groups of about `group_rows`, whatever the
+    number of rows and however many a key has. A group gives one row for each key
+    in it, its total, highest and lowest running sum and own fall, and those
+    are put in order natively.
     """
-    groups = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def worst(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([key, order])
-        by = group[key]
-        running = group.groupby(by, dropna=False)[amount].cumsum()
-        peak = running.groupby(by, dropna=False).cummax().clip(lower=0)
-        fall = (peak - running).groupby(by, dropna=False).max().clip(lower=0)
-        return pd.DataFrame({key: fall.index, "drawdown_units": fall.to_numpy(np.int64)})
-
-    dealt = rows.select(key, order, amount, F.pmod(F.hash(key), F.lit(groups)).alias("_group")).groupBy("_group")
-    return dealt.applyInPandas(worst, f"{key} {rows.schema[key].dataType.simpleString()}, drawdown_units long")
+    groups = max(shuffle_partitions(rows.sparkSession), math.ceil(rows.count() / group_rows))
+    units = rows.select(key, order, F.coalesce(F.col(amount), F.lit(0)).cast("long").alias("units"))
+    dealt = units.repartitionByRange(groups, key, order, "units").withColumn("_group", F.spark_partition_id())
+
+    def summed(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(key, "ascending"), (order, "ascending"), ("units", "ascending")])
+        # Keys as Arrow has them: pandas would make floats of whole numbers beside a null.
+        keys = group[key].combine_chunks().dictionary_encode(null_encoding="encode")
+        by = keys.indices.to_numpy()
+        running = group["units"].to_pandas().groupby(by).cumsum()
+        fall = running.groupby(by).cummax() - running
+        found = [group["units"].to_pandas().groupby(by).sum(), running.groupby(by).max(), running.groupby(by).min(), fall.groupby(by).max()]
+        columns = [keys.dictionary, *[pa.array(c.to_numpy(np.int64)) for c in found], pa.array([group["_group"][0].as_py()] * len(keys.dictionary), pa.int32())]
+        return pa.table(columns, names=[key, "total", "highest", "lowest", "fall", "_group"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    pieces = checkpointed(dealt.groupBy("_group").applyInArrow(summed, f"{key} {kind}, total long, highest long, lowest long, fall long, _group int"))
+    before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    started = pieces.withColumn("start", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    peaked = started.withColumn("peak", F.greatest(F.lit(0), F.max(F.col("start") + F.col("highest")).over(before)))
+    return peaked.groupBy(key).agg(F.max(F.greatest("fall", F.col("peak") - F.col("start") - F.col("lowest"), F.lit(0))).alias("drawdown_units"))
 
 
 @F.udtf(returnType=T.StructType().add("part", T.IntegerType()).add("due_units", T.LongType()))

@@ -56,17 +56,19 @@ def classified(joined: DataFrame, profile: Profile, tolerance: Column | None = N
 def joined_sides(left: DataFrame, right: DataFrame, profile: Profile, also: tuple[str, ...] = ()) -> DataFrame:
     """Both sides by key (null keys equal null keys), one row for each key that either has.
 
-    Of a key's rows on a side: how many there are, the least amount and the
-    earliest time; of columns `also`, the least over both sides. This is one
-    aggregate over both sides in place of a full outer join: a single shuffle, before which
-    repeats of a key are combined.
+    Of a key's rows on a side: how many there are, and the amount and time of one
+    of them, the first by amount and time (nulls last); of columns `also`, the least
+    over both sides. This is one aggregate over both sides in place of a full outer
+    join: a single shuffle, before which repeats of a key are combined.
     """
     columns = [*profile.key, profile.amount, profile.when, *also]
     both = left.select(*columns, F.lit(True).alias("is_left")).unionByName(right.select(*columns, F.lit(False).alias("is_left")))
+    first, kept = F.struct(F.col(profile.amount).isNull(), F.col(profile.amount).alias("amount"), F.col(profile.when).isNull(), F.col(profile.when).alias("ts")), []
     found = []
     for side, here in (("left", F.col("is_left")), ("right", ~F.col("is_left"))):
-        found += [F.min(F.when(here, F.col(profile.amount))).alias(f"{side}_amount"), F.min(F.when(here, F.col(profile.when))).alias(f"{side}_ts"), F.nullif(F.count(F.when(here, 1)), F.lit(0)).alias(f"{side}_rows")]
-    return both.groupBy(*profile.key).agg(*found, *[F.min(c).alias(c) for c in also])
+        found += [F.min(F.when(here, first)).alias(f"_{side}"), F.nullif(F.count(F.when(here, 1)), F.lit(0)).alias(f"{side}_rows")]
+        kept += [F.col(f"_{side}.amount").alias(f"{side}_amount"), F.col(f"_{side}.ts").alias(f"{side}_ts"), f"{side}_rows"]
+    return both.groupBy(*profile.key).agg(*found, *[F.min(c).alias(c) for c in also]).select(*profile.key, *kept, *also)
 
 
 def reconcile(left: DataFrame, right: DataFrame, profile: Profile = Profile()) -> DataFrame:
@@ -77,9 +79,11 @@ def reconcile(left: DataFrame, right: DataFrame, profile: Profile = Profile()) -
 def reconcile_by_kind(left: DataFrame, right: DataFrame, tolerances: DataFrame, profile: Profile = Profile(), broadcast_rows: int = 10_000) -> DataFrame:
     """As reconcile, with the amount tolerance of each record's kind from `tolerances` (kind, tolerance).
 
-    That table is broadcast if it has no more than `broadcast_rows` rows, and
-    joined as Spark sees fit if it has.
+    A kind that is listed more than once has its least tolerance. That table is
+    broadcast if it has no more than `broadcast_rows` rows, and joined as Spark sees
+    fit if it has.
     """
+    tolerances = tolerances.groupBy("kind").agg(F.min("tolerance").alias("tolerance"))
     if tolerances.limit(broadcast_rows + 1).count() <= broadcast_rows:
         tolerances = F.broadcast(tolerances)
     joined = joined_sides(left, right, profile, ("kind",)).join(tolerances, "kind", "left")

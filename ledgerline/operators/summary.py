@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.shared import checkpointed, shuffle_partitions
+
 
 def _totals() -> list[Column]:
     return [F.count("*").alias("n"), F.sum("delta").cast("decimal(38,2)").alias("sum_delta")]
@@ -43,12 +45,37 @@ def duplicates(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return numbered.where("copies > 1")
 
 
-def ranked(rows: DataFrame, key: str, order: Column, ties: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    exact = Window.partitionBy(key).orderBy(order, ties)
-    return rows.withColumns({
-        "place": F.row_number().over(exact).cast("int"), "rank": F.rank().over(w).cast("int"), "dense_rank": F.dense_rank().over(w).cast("int"), "quarter": F.ntile(4).over(exact).cast("int"),
-    })
+def ranked(rows: DataFrame, key: str, order: str, ties: str) -> DataFrame:
+    """`rows` with place, rank, dense_rank and quarter within their key, by descending `order`, then `ties`.
+
+    Rows are dealt by ranges of (key, order, ties) and numbered within each, so that a key, or
+    a value, with a third of all rows is many tasks' work. What came before is told
+    by one row for each range and key: how many rows and values, and where the range's
+    first value began, if in an earlier range. Nulls come last.
+    """
+    by, value = [key, F.col(order).desc_nulls_last(), F.col(ties)], F.struct(order)
+    n = shuffle_partitions(rows.sparkSession)
+    parts = checkpointed(rows.repartitionByRange(n, *by).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", key)
+    inside = parts.withColumns({"_place": F.row_number().over(within.orderBy(*by[1:])), "_rank": F.rank().over(within.orderBy(by[1])), "_dense": F.dense_rank().over(within.orderBy(by[1]))})
+    ranges = inside.groupBy("_part", key).agg(
+        F.count("*").alias("rows"), F.max("_dense").alias("values"), F.min_by(value, "_place").alias("first"), F.max_by(value, "_place").alias("last"), F.max("_rank").alias("last_begins")
+    )
+    across = Window.partitionBy(key).orderBy("_part")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumns({"start": F.coalesce(F.sum("rows").over(before), F.lit(0)), "goes_on": F.coalesce(F.col("first").eqNullSafe(F.lag("last").over(across)), F.lit(False))})
+    ranges = ranges.withColumn("begins", F.when(~F.col("goes_on") | (F.col("values") > 1), F.col("start") + F.col("last_begins")))
+    ranges = ranges.select(
+        F.col("_part").alias("_p"), F.col(key).alias("_k"), "start", "goes_on", F.last("begins", ignorenulls=True).over(before).alias("began"),
+        (F.coalesce(F.sum(F.col("values") - F.col("goes_on").cast("int")).over(before), F.lit(0)) - F.col("goes_on").cast("int")).alias("dense"), F.sum("rows").over(Window.partitionBy(key)).alias("of"),
+    )
+    joined = inside.join(ranges, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_k")))
+    place, each, left = F.col("start") + F.col("_place"), F.floor(F.col("of") / 4), F.col("of") % 4
+    # As ntile(4): the first `left` quarters have one row more.
+    larger = left * (each + 1)
+    quarter = F.when(place <= larger, F.ceil(place / (each + 1))).otherwise(left + F.ceil((place - larger) / each))
+    rank = F.when(F.col("goes_on") & (F.col("_dense") == 1), F.col("began")).otherwise(F.col("start") + F.col("_rank"))
+    return joined.select(*rows.columns, *[c.cast("int").alias(name) for name, c in (("place", place), ("rank", rank), ("dense_rank", F.col("dense") + F.col("_dense")), ("quarter", quarter))])
 
 
 def movements(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

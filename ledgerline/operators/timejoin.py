@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """Pairs with an equal key whose right ts is between `before` and `after` around the left ts.
+def _seconds(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
 
-    Both have (key, id, ts); the result has key, left_id, right_id, left_ts, right_ts.
-    The key is an equality, so Spark hashes or sorts; the interval is a residual filter.
-    """
-    a = left.select(key, F.col("id").alias("left_id"), F.col("ts").alias("left_ts"))
-    b = right.select(key, F.col("id").alias("right_id"), F.col("ts").alias("right_ts"))
-    return a.join(b, key).where(F.expr(f"right_ts between left_ts - interval {before} and left_ts + interval {after}"))
 
+def interval_join(left: DataFrame, right: DataFrame, key: str, before: int, after: int) -> DataFrame:
+    """Pairs with an equal key whose right ts is from `before` seconds before to `after` seconds after the left ts.
 
-def _seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
+    Both have (key, id, ts); the result has key, left_id, right_id, left_ts, right_ts.
+    Time falls into buckets as long as the interval and a left row looks into the two that
+    its interval touches, so that key and bucket are an equality: the rows of a hot key
+    meet those near in time alone.
+    """
+    width = max(1, before + after)
+    a = left.select(key, F.col("id").alias("left_id"), F.col("ts").alias("left_ts")).where("left_ts is not null")
+    b = right.select(key, F.col("id").alias("right_id"), F.col("ts").alias("right_ts")).where("right_ts is not null")
+    reached = F.sequence(F.floor((_seconds("left_ts") - before) / width), F.floor((_seconds("left_ts") + after) / width))
+    joined = a.withColumn("bucket", F.explode(reached)).join(b.withColumn("bucket", F.floor(_seconds("right_ts") / width)), [key, "bucket"])
+    later = F.unix_micros(F.col("right_ts").cast("timestamp")) - F.unix_micros(F.col("left_ts").cast("timestamp"))
+    return joined.where(later.between(-before * 1_000_000, after * 1_000_000)).drop("bucket")
 
 
 def band_join(left: DataFrame, right: DataFrame, seconds: int) -> DataFrame:
@@ -58,6 +64,39 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, seconds: int = 86_400
     return joined.select(key, "left_id", F.col("ts").alias("left_ts"), latest["right_id"].alias("right_id"), latest["right_ts"].alias("right_ts"))
 
 
+def nearest_join(left: DataFrame, right: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
+    """Each left row (key, id, ts) with the right row of its key whose ts is nearest; of several that with the least id.
+
+    The result has left_id, right_id and apart (microseconds); left rows without a
+    partner are left out. The nearest is the latest at or before, or the earliest at or after: two
+    passes in order of time, within stretches as in asof_join, and never the pairs of a key.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    a = left.where("ts is not null").select(key, micros.alias("at"), F.col("id").alias("left_id"), F.lit(1).alias("side"))
+    # Of rows at one time only that with the least id can be a partner.
+    b = right.where("ts is not null").groupBy(key, micros.alias("at")).agg(F.min("id").alias("right_id")).withColumn("side", F.lit(0))
+    both = a.unionByName(b, allowMissingColumns=True).withColumns({"stretch": F.floor(F.col("at") / (seconds * 1_000_000)), "found": F.when(F.col("side") == 0, F.struct("at", "right_id"))})
+    stretches = both.groupBy(key, "stretch").agg(F.min("found").alias("first"), F.max("found").alias("last"))
+    w = Window.partitionBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = stretches.select(
+        F.col(key).alias("_key"), F.col("stretch").alias("_stretch"),
+        F.last("last", ignorenulls=True).over(w.orderBy("stretch")).alias("outer_before"), F.last("first", ignorenulls=True).over(w.orderBy(F.desc("stretch"))).alias("outer_after"),
+    )
+    w = Window.partitionBy(key, "stretch").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"before": F.last("found", ignorenulls=True).over(w.orderBy("at", "side")), "after": F.last("found", ignorenulls=True).over(w.orderBy(F.desc("at"), "side"))})
+    joined = seen.where("side = 1").join(beyond, F.col(key).eqNullSafe(F.col("_key")) & (F.col("stretch") == F.col("_stretch")))
+    apart = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["at"] - F.col("at")).alias("apart"), c["right_id"].alias("right_id")))
+    best = F.least(apart(F.coalesce("before", "outer_before")), apart(F.coalesce("after", "outer_after")))
+    return joined.select("left_id", best.alias("best")).where("best is not null").select("left_id", "best.right_id", "best.apart")
+
+
+def mutual_nearest(left: DataFrame, right: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
+    """(left_id, right_id, apart): rows of equal key that are each other's nearest in time; ties by id."""
+    of_left = nearest_join(left, right, key, seconds)
+    of_right = nearest_join(right, left, key, seconds).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"))
+    return of_left.join(of_right, ["left_id", "right_id"])
+
+
 def mutual_best(pairs: DataFrame, distance: str) -> DataFrame:
     """Of candidate pairs (left_id, right_id, distance), those in which each is the other's nearest; ties by id.
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.canonical import table_digest
+from ledgerline.functions.canonical import table_digests
 from ledgerline.operators.reconcile import Profile, reconcile
 
-VERSION = "1"
+VERSION = "2"
 RESULT = ["record_id", "left_amount", "right_amount", "left_ts", "right_ts", "delta", "class", "flags"]
+PARTS = ["left", "right", "output"]
 
 
 def evaluate(left: DataFrame, right: DataFrame, profile: Profile = Profile()) -> DataFrame:
@@ -17,21 +18,22 @@ def evaluate(left: DataFrame, right: DataFrame, profile: Profile = Profile()) ->
 
 
 def manifest(left: DataFrame, right: DataFrame, results: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """One row: the digests of both inputs and the output, the profile, and the version that made it."""
-    sides = {"left": table_digest(left), "right": table_digest(right), "output": table_digest(results)}
-    row = None
-    for name, digest in sides.items():
-        one = digest.select(F.col("n_rows").alias(f"{name}_rows"), F.col("digest").alias(f"{name}_digest"))
-        # Each side is a single row by construction, an aggregate without a key.
-        row = one if row is None else row.crossJoin(one)
+    """One row: the digests of both inputs and the output, the profile, and the version that made it.
+
+    Lazy: whoever reads it more than once should keep it, as the store does.
+    """
+    digests = table_digests(dict(zip(PARTS, (left, right, results), strict=True)))
+    of = lambda part, column: F.max(F.when(F.col("part") == part, F.col(column))).alias(f"{part}_{column.removeprefix('n_')}")
+    # Three rows, one for each part.
+    row = digests.groupBy().agg(*[of(p, c) for p in PARTS for c in ("n_rows", "digest")])
     described = f"{'+'.join(profile.key)};{profile.amount_tolerance};{profile.days_tolerance}"
-    whole = F.sha2(F.concat_ws("|", F.lit(VERSION), F.lit(described), "left_digest", "right_digest", "output_digest"), 256)
+    whole = F.sha2(F.concat_ws("|", F.lit(VERSION), F.lit(described), *[f"{p}_digest" for p in PARTS]), 256)
     return row.select(whole.alias("evaluation_id"), F.lit(described).alias("profile"), F.lit(VERSION).alias("engine_version"), *row.columns)
 
 
 def replay(left: DataFrame, right: DataFrame, stored: DataFrame, profile: Profile = Profile()) -> DataFrame:
     """Evaluate anew and hold each digest against the stored manifest: part, stored, replayed, reproduced."""
     now = manifest(left, right, evaluate(left, right, profile), profile)
-    parts = ["left_digest", "right_digest", "output_digest", "evaluation_id"]
+    parts = [*[f"{p}_digest" for p in PARTS], "evaluation_id"]
     unpivot = lambda df, name: df.unpivot([], parts, "part", name)
     return unpivot(stored.select(*parts), "stored").join(unpivot(now.select(*parts), "replayed"), "part").withColumn("reproduced", F.col("stored") == F.col("replayed"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions import canonical, vectorised
+from ledgerline.functions import canonical, scalars, vectorised
 from ledgerline.operators import reconcile as rec
 from ledgerline.operators import summary, timejoin
 from ledgerline.plans import evaluation
@@ -34,8 +34,8 @@ right_side as (
 
 def _reconciled(tolerance: str = "0.01", extra: str = "") -> str:
     return f"""{_SIDES},
-l as (select record_id, count(*) as n, min(amount) as amount, min(event_ts) as event_ts, min(kind) as kind from left_side group by record_id),
-r as (select record_id, count(*) as n, min(amount) as amount, min(event_ts) as event_ts, min(kind) as kind from right_side group by record_id),
+l as (select * from (select *, count(*) over (partition by record_id) as n, row_number() over (partition by record_id order by amount nulls last, event_ts nulls last) as i from left_side) where i = 1),
+r as (select * from (select *, count(*) over (partition by record_id) as n, row_number() over (partition by record_id order by amount nulls last, event_ts nulls last) as i from right_side) where i = 1),
 joined as (
   select coalesce(l.record_id, r.record_id) as record_id, coalesce(l.kind, r.kind) as kind, l.amount as left_amount, r.amount as right_amount, l.event_ts as left_ts, r.event_ts as right_ts, l.n as left_rows, r.n as right_rows
   from l full outer join r on l.record_id = r.record_id
@@ -130,7 +130,7 @@ _E = "select user_id, event_id as id, ts from events where event_type = 'error'"
 
 @query(f"with p as ({_P}), e as ({_E}) select user_id, p.id as left_id, e.id as right_id, p.ts as left_ts, e.ts as right_ts from p join e using (user_id) where e.ts between p.ts - interval 1 day and p.ts + interval 1 day")
 def interval_join_keyed(spark, sf_dir):
-    return timejoin.interval_join(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id", "1 day", "1 day")
+    return timejoin.interval_join(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id", 86_400, 86_400)
 
 
 @query(f"with p as ({_P}), e as ({_E}) select p.id as left_id, e.id as right_id, p.ts as left_ts, e.ts as right_ts from p join e on e.ts between p.ts - interval 60 seconds and p.ts + interval 60 seconds")
@@ -148,10 +148,7 @@ def asof_latest_prior(spark, sf_dir):
 ), a as (select *, row_number() over (partition by left_id order by apart, right_id) as i, row_number() over (partition by right_id order by apart, left_id) as j from pairs)
 select left_id, right_id, cast(apart as bigint) as apart from a where i = 1 and j = 1""")
 def mutual_best_assignment(spark, sf_dir):
-    p, e = _events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error")
-    pairs = timejoin.interval_join(p, e, "user_id", "100 years", "100 years")
-    apart = F.abs(F.unix_micros(F.col("right_ts").cast("timestamp")) - F.unix_micros(F.col("left_ts").cast("timestamp")))
-    return timejoin.mutual_best(pairs.select("left_id", "right_id", apart.alias("apart")), "apart")
+    return timejoin.mutual_nearest(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id")
 
 
 # Summaries
@@ -187,12 +184,12 @@ def distinct_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.countDistinct("o_custkey").alias("accounts"), F.countDistinct("o_orderpriority").alias("priorities"))
 
 
-@query("select o_orderstatus as kind, true as close from orders group by o_orderstatus")
+@query("select o_orderstatus as kind, count(distinct o_custkey) as accounts, true as close from orders group by o_orderstatus")
 def approximate_distinct(spark, sf_dir):
-    """Whether the approximate count is within three of its standard errors of the exact one."""
+    """The exact number of accounts, and whether the approximate one is within three of its standard errors."""
     error = 0.02
-    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.approx_count_distinct("o_custkey", error).alias("a"), F.countDistinct("o_custkey").alias("n"))
-    return counts.select("kind", (F.abs(F.col("a") - F.col("n")) <= 3 * error * F.col("n")).alias("close"))
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("kind")).agg(F.approx_count_distinct("o_custkey", error).alias("a"), F.countDistinct("o_custkey").alias("accounts"))
+    return counts.select("kind", "accounts", (F.abs(F.col("a") - F.col("accounts")) <= 3 * error * F.col("accounts")).alias("close"))
 
 
 @query(f"{_reconciled()} select class, string_agg(distinct flags, ';' order by flags) as listed from result group by class")
@@ -209,7 +206,7 @@ def duplicate_evidence(spark, sf_dir):
 @query(f"""with o as ({_ORDERS}) select record_id, kind, amount, cast(row_number() over (partition by kind order by amount desc, record_id) as integer) as place, cast(rank() over (partition by kind order by amount desc) as integer) as rank,
   cast(dense_rank() over (partition by kind order by amount desc) as integer) as dense_rank, cast(ntile(4) over (partition by kind order by amount desc, record_id) as integer) as quarter from o""")
 def ranked_records(spark, sf_dir):
-    return summary.ranked(order_records(spark, sf_dir).select("record_id", "kind", "amount"), "kind", F.desc("amount"), "record_id")
+    return summary.ranked(order_records(spark, sf_dir).select("record_id", "kind", "amount"), "kind", "amount", "record_id")
 
 
 @query(f"""with o as ({_ORDERS}) select record_id, account, amount, event_ts, cast(sum(amount) over (w rows between unbounded preceding and current row) as decimal(38,2)) as balance, lag(amount) over w as previous, lead(amount) over w as following,
@@ -284,7 +281,7 @@ def set_digest(spark, sf_dir):
     return canonical.table_digest(order_records(spark, sf_dir), ["account", "amount", "event_ts", "kind", "record_id"])
 
 
-@query("select p_partkey, trim(regexp_replace(lower(trim(p_name || ' / ' || p_type)), '[^a-z0-9]+', '-', 'g'), '-') as part_key from part")
+@query("select p_partkey, trim(regexp_replace(lower(trim(p_name || ' / ' || p_type)), '[^\\p{L}\\p{M}\\p{N}]+', '-', 'g'), '-') as part_key from part")
 def normalised_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", canonical.normalised_key(F.concat_ws(" / ", "p_name", "p_type")).alias("part_key"))
 
@@ -292,21 +289,20 @@ def normalised_keys(spark, sf_dir):
 @query("select event_id, coalesce(try_cast(case when event_id % 10 = 0 then 'n/a' else cast(event_id as varchar) || case when event_id % 7 = 0 then '000000000000000000000' else '' end end as bigint), -1) as units from events")
 def safe_typing(spark, sf_dir):
     raw = F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 7 == 0, "0" * 21).otherwise("")))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(raw.try_cast("bigint"), F.lit(-1)).alias("units"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.typed(raw, "bigint", -1).alias("units"))
 
 
 @query("select event_id, json_extract_string(props, '$.k') as k, try_cast(json_extract_string(props, '$.k') as integer) * 2 as doubled from events")
 def json_fields(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), (F.from_json("props", "k int")["k"] * 2).alias("doubled"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.json_text("props", "k").alias("k"), (scalars.json_field("props", "k", "int") * 2).alias("doubled"))
 
 
 @query("""select o_orderkey, date_trunc('month', o_orderdate) as month, date_trunc('month', o_orderdate) + interval 1 month - interval 1 day as month_end, cast(extract(year from o_orderdate) as integer) as year,
   cast(extract(quarter from o_orderdate) as integer) as quarter, o_orderdate + interval 36 hours as due, cast(date_diff('day', date_trunc('month', o_orderdate), o_orderdate) as integer) as day_no from orders""")
 def calendar_fields(spark, sf_dir):
     d = F.col("o_orderdate")
-    month = F.date_trunc("month", d).cast("timestamp_ntz")
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", month.alias("month"), (month + F.expr("interval 1 month") - F.expr("interval 1 day")).alias("month_end"), F.year(d).alias("year"), F.quarter(d).alias("quarter"), (d + F.expr("interval 36 hours")).alias("due"), F.datediff(d, month).alias("day_no")
+        "o_orderkey", scalars.month_start(d).alias("month"), scalars.month_end(d).alias("month_end"), F.year(d).alias("year"), F.quarter(d).alias("quarter"), (d + F.expr("interval 36 hours")).alias("due"), scalars.day_of_month(d).alias("day_no")
     )
 
 
@@ -314,19 +310,14 @@ def calendar_fields(spark, sf_dir):
 select l_orderkey, len(q) as n, coalesce(cast(list_sum(list_filter(q, lambda x: x > 10)) as bigint), 0) as large, array_to_string(list_transform(q, lambda x: x * 2), ',') as doubled, list_contains(q, 7) as has_seven from a""")
 def array_helpers(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("long"))).alias("q"))
-    large = F.filter("q", lambda x: x > 10)
-    return rows.select(
-        "l_orderkey", F.size("q").cast("long").alias("n"), F.aggregate(large, F.lit(0).cast("long"), lambda s, x: s + x).alias("large"),
-        F.array_join(F.transform("q", lambda x: (x * 2).cast("string")), ",").alias("doubled"), F.array_contains("q", 7).alias("has_seven"),
-    )
+    return rows.select("l_orderkey", F.size("q").cast("long").alias("n"), scalars.sum_above("q", 10).alias("large"), scalars.joined_text("q", lambda x: x * 2).alias("doubled"), F.array_contains("q", 7).alias("has_seven"))
 
 
 @query("""select o_custkey, count(*) as n, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as n_f from orders where o_totalprice > 1000 and o_orderstatus <> 'P' group by o_custkey""")
 def map_helpers(spark, sf_dir):
     """Counts of each status as a map, and one looked up in it."""
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 1000 and o_orderstatus <> 'P'").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
-    maps = rows.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("by_status"), F.sum("n").alias("n"))
-    return maps.select("o_custkey", "n", F.coalesce(F.try_element_at("by_status", F.lit("F")), F.lit(0)).cast("long").alias("n_f"))
+    maps = scalars.counts_map(table(spark, sf_dir, "orders").where("o_totalprice > 1000 and o_orderstatus <> 'P'"), "o_custkey", "o_orderstatus")
+    return maps.select("o_custkey", "n", scalars.looked_up("counts", "F").alias("n_f"))
 
 
 # Sources
@@ -378,30 +369,66 @@ def evaluation_store(spark, sf_dir):
     found = evaluation.evaluate(left, right)
     for name, rows in (("a", found), ("b", found.where("class <> 'matched'"))):
         store.append(name, rows, evaluation.manifest(left, right, rows))
-    return store.results().groupBy("evaluation_id", "class").agg(F.count("*").alias("n"))
+    return store.results().groupBy(F.col("evaluation").alias("evaluation_id"), "class").agg(F.count("*").alias("n"))
+
+
+def _text_of(column: str) -> str:
+    """A value's canonical text in SQL; null is a tilde."""
+    return f"coalesce('=' || {column}, '~')"
+
+
+def _time_of(column: str) -> str:
+    return _text_of(f"strftime({column}, '%Y-%m-%d %H:%M:%S.%f')")
+
+
+_SIDE_TEXT = " || '|' || ".join([_text_of("account"), _text_of("cast(amount as varchar)"), _time_of("event_ts"), _text_of("kind"), _text_of("record_id")])
+#: Flags are an array: its elements' separators are escaped within the row.
+_FLAGS_TEXT = r"'=[' || case when flags = '' then '' else '=' || replace(flags, ',', '\p=') end || ']'"
+_RESULT_TEXT = " || '|' || ".join([_text_of("class"), _text_of("cast(delta as varchar)"), _FLAGS_TEXT, _text_of("cast(left_amount as varchar)"), _time_of("left_ts"), _text_of("record_id"), _text_of("cast(right_amount as varchar)"), _time_of("right_ts")])
+_LANES = ", ".join(f"cast(coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::bigint), 0) as varchar) as s{i}" for i in range(4))
+
+
+def _digests(changed: bool = False) -> str:
+    """SQL with a row m of the digests of both sides and of the result."""
+    ctes, sides = _reconciled(), []
+    if changed:
+        ctes = ctes.replace("right_side as (", "right_before as (", 1).replace("),\nl as (", "), right_side as (select record_id, account, kind, cast(amount + case when record_id = 1 then 1 else 0 end as decimal(18,2)) as amount, event_ts from right_before),\nl as (", 1)
+    for part, text, rows in (("left", _SIDE_TEXT, "left_side"), ("right", _SIDE_TEXT, "right_side"), ("output", _RESULT_TEXT, "result")):
+        sides.append(f"{part}_h as (select sha256({text}) as h from {rows}), {part}_s as (select count(*) as n, {_LANES} from {part}_h), {part}_d as (select n as {part}_rows, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3) as {part}_digest from {part}_s)")
+    return f"{ctes}, {', '.join(sides)}, m as (select sha256('2|record_id;0.01;0|' || left_digest || '|' || right_digest || '|' || output_digest) as evaluation_id, * from left_d, right_d, output_d)"
+
+
+_PARTS = "(select unnest(['left_digest', 'right_digest', 'output_digest', 'evaluation_id']) as part, unnest([left_digest, right_digest, output_digest, evaluation_id]) as digest from m)"
 
 
-@query(f"{_reconciled()} select (select count(*) from left_side) as left_rows, (select count(*) from right_side) as right_rows, count(*) as output_rows from result")
+@query(f"{_digests()} select evaluation_id, 'record_id;0.01;0' as profile, '2' as engine_version, left_rows, left_digest, right_rows, right_digest, output_rows, output_digest from m")
 def evaluation_manifest(spark, sf_dir):
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
-    return evaluation.manifest(left, right, evaluation.evaluate(left, right)).select("left_rows", "right_rows", "output_rows")
+    return evaluation.manifest(left, right, evaluation.evaluate(left, right))
 
 
-@query("select * from (values ('left_digest', true), ('right_digest', false), ('output_digest', false), ('evaluation_id', false)) t(part, reproduced)")
+def _stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the reconciled orders, as a store gives it back."""
+    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+    store = EvaluationStore(spark, stream.new_folder(spark, "store"))
+    found = evaluation.evaluate(left, right)
+    store.append("orders", found, evaluation.manifest(left, right, found))
+    return store.manifests("orders")
+
+
+@query(f"with a as ({_digests()} select * from {_PARTS}), b as ({_digests(True)} select * from {_PARTS}) select part, a.digest as stored, b.digest as replayed, part = 'left_digest' as reproduced from a join b using (part)")
 def replay_of_changed_evidence(spark, sf_dir):
     """A replay finds that one entry of the evidence has changed since."""
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
-    stored = evaluation.manifest(left, right, evaluation.evaluate(left, right))
     changed = right.withColumn("amount", F.when(F.col("record_id") == 1, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
-    return evaluation.replay(left, changed, stored).select("part", "reproduced")
+    return evaluation.replay(left, changed, _stored_manifest(spark, sf_dir))
 
 
-@query("select * from (values ('left_digest', true), ('right_digest', true), ('output_digest', true), ('evaluation_id', true)) t(part, reproduced)")
+@query(f"{_digests()} select part, digest as stored, digest as replayed, true as reproduced from {_PARTS}")
 def replay_of_same_evidence(spark, sf_dir):
-    """A replay from shuffled inputs comes to the same digests."""
+    """A replay from shuffled inputs comes to the same digests, and the same id, as were stored."""
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
-    stored = evaluation.manifest(left, right, evaluation.evaluate(left, right))
-    return evaluation.replay(left.repartition(5, "account"), right.repartition(3, "amount"), stored).select("part", "reproduced")
+    return evaluation.replay(left.repartition(5, "account"), right.repartition(3, "amount"), _stored_manifest(spark, sf_dir))
 
 
 # Extensions
@@ -437,7 +464,8 @@ def instalments(spark, sf_dir):
 m as (select l_suppkey, q, row_number() over (partition by l_suppkey order by n desc, q) as i from c)
 select u.l_suppkey, cast(sum(u.q) - count(*) * max(m.q) as bigint) as net from u join m on u.l_suppkey = m.l_suppkey and m.i = 1 group by u.l_suppkey""")
 def net_positions(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(vectorised.net_position(F.round("l_quantity").cast("long")).alias("net"))
+    counted = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.round("l_quantity").cast("long").alias("q")).agg(F.count("*").alias("n"))
+    return counted.groupBy("l_suppkey").agg(vectorised.net_position("q", "n").alias("net"))
 
 
 # Streams
@@ -456,12 +484,38 @@ def stream_windowed_totals(spark, sf_dir):
 
 @query("select user_id, count(*) as n from events group by user_id")
 def stream_deduplicated(spark, sf_dir):
-    """Every event sent twice, counted once."""
+    """Every event sent twice, counted once: some at once, some with a later batch."""
     rows = _valued_events(spark, sf_dir).select("event_id", "user_id", "ts")
-    found = stream.run_to_end(stream.deduplicated(_stream(rows.union(rows)), "event_id"))
+    again = rows.where("event_id % 2 = 0")
+    found = stream.run_arrivals([rows.union(rows.where("event_id % 2 = 1")), again], "ts", "1 hour", lambda s: stream.deduplicated(s, "event_id"))
     return found.where(stream.before_closing("ts")).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+#: Days of events that arrive together, days that some rows are late, and hours for which the stream waits.
+_ARRIVE, _LATE, _WAIT = 10, 12, 30
+
+
+@query(f"""with e as ({_EVENTS}), b as (select date_trunc('day', min(ts)) as first from e), a as (
+  select event_type, amount, ts, cast(date_diff('day', first, ts + case when event_id % 9 = 0 then interval {_LATE} days when event_id % 10 = 0 then interval 1 day else interval 0 days end) // {_ARRIVE} as integer) as arrival from e, b
+), marks as (
+  select n.i as arrival, max(ts) - interval {_WAIT} hours as mark from (select distinct arrival as i from a) n left join a on a.arrival < n.i group by n.i
+), kept as (
+  select a.*, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as window_start from a join marks using (arrival) where mark is null or time_bucket(interval 6 hours, ts, timestamp '1970-01-01') + interval 6 hours > mark
+)
+select window_start, event_type, count(*) as n, cast(sum(amount) as decimal(38,2)) as total from kept group by all""")
+def stream_late_rows(spark, sf_dir):
+    """Events in several arrivals, a part of them late: those that the watermark has passed are dropped, the others counted."""
+    events = _valued_events(spark, sf_dir)
+    first = events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("first"))
+    sent = F.col("ts") + F.when(F.col("event_id") % 9 == 0, F.expr(f"interval {_LATE} days")).when(F.col("event_id") % 10 == 0, F.expr("interval 1 day")).otherwise(F.expr("interval 0 days"))
+    # The earliest time is one row.
+    dealt = events.crossJoin(F.broadcast(first)).withColumn("arrival", F.floor(F.datediff(sent, F.col("first")) / _ARRIVE).cast("int")).drop("event_id", "user_id", "first")
+    last = dealt.agg(F.max("arrival")).first()[0]
+    arrivals = [dealt.where(F.col("arrival") == i).drop("arrival") for i in range(last + 1)]
+    found = stream.run_arrivals(arrivals, "ts", f"{_WAIT} hours", lambda s: stream.windowed_totals(s, "ts", "6 hours", "event_type"))
+    return found.where(stream.before_closing("window_start")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def _two_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = _events(spark, sf_dir, "purchase").select("user_id", F.col("id").alias("left_id"), F.col("ts").alias("left_ts"))
     e = _events(spark, sf_dir, "error").select(F.col("user_id").alias("right_key"), F.col("id").alias("right_id"), F.col("ts").alias("right_ts"))
@@ -486,7 +540,5 @@ select o_custkey, count(*) as rows, cast(sum(units) as bigint) as units, case wh
 def stream_positions(spark, sf_dir):
     units = _cents("o_totalprice") * F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
     rows = table(spark, sf_dir, "orders").select("o_custkey", units.alias("units"), F.col("o_orderdate").alias("ts"))
-    found = stream.run_to_end(stream.running_positions(_stream(rows).where("o_custkey is not null"), "o_custkey"))
-    # A key has a row for each micro-batch; the last has seen all its rows.
-    last = F.max(F.struct("rows", "units", "position")).alias("last")
-    return found.groupBy("o_custkey").agg(last).select("o_custkey", "last.*")
+    with stream.rocksdb_state(spark):
+        return stream.run_to_end(stream.closed_positions(_stream(rows), "o_custkey", "ts", idle_seconds=30 * 86_400))

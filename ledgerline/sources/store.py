@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both can write: the session's checkpoint folder, a temporary one if it has none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
+#: The column that says under which name an evaluation is stored.
+NAME = "evaluation"
 
 
 class EvaluationStore:
@@ -22,19 +16,35 @@ class EvaluationStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def append(self, evaluation_id: str, results: DataFrame, manifest: DataFrame) -> None:
-        """Add an evaluation; those there stay as they are."""
+    def append(self, name: str, results: DataFrame, manifest: DataFrame) -> None:
+        """Add an evaluation under a new name; those there stay as they are.
+
+        The manifest is written last and completes the evaluation. What an
+        attempt that failed before has left of the same name is written over.
+        """
+        if self.has(name):
+            raise ValueError(f"there is an evaluation {name!r} already")
         for part, rows in (("results", results), ("manifests", manifest)):
-            kept = rows.drop("evaluation_id").withColumn("evaluation_id", F.lit(evaluation_id))
-            kept.write.mode("append").partitionBy("evaluation_id").parquet(f"{self.path}/{part}")
+            named = rows.withColumn(NAME, F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            named.partitionBy(NAME).parquet(f"{self.path}/{part}")
+
+    def has(self, name: str) -> bool:
+        try:
+            return not self.manifests(name).isEmpty()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
 
-    def results(self, evaluation_id: str | None = None) -> DataFrame:
-        return self._read("results", evaluation_id)
+    def results(self, name: str | None = None) -> DataFrame:
+        return self._read("results", name)
 
-    def manifests(self, evaluation_id: str | None = None) -> DataFrame:
-        return self._read("manifests", evaluation_id)
+    def manifests(self, name: str | None = None) -> DataFrame:
+        return self._read("manifests", name)
 
-    def _read(self, part: str, evaluation_id: str | None) -> DataFrame:
+    def _read(self, part: str, name: str | None) -> DataFrame:
+        # Names are text, whatever they look like.
         rows = self.spark.read.option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
+        rows = rows.withColumn(NAME, F.col(NAME).cast("string"))
         # A predicate on the partition column: other evaluations' files aren't opened.
-        return rows if evaluation_id is None else rows.where(F.col("evaluation_id") == evaluation_id)
+        return rows if name is None else rows.where(F.col(NAME) == name)

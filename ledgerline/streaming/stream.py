@@ -7,23 +7,32 @@ future, which moves the watermark past all others and is dropped from results.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
-from ledgerline.sources.store import shared_folder
+from ledgerline.sources.shared import shared_folder
 
 CLOSING = "2100-01-01 00:00:00"
+#: State that has timers is kept in RocksDB, whose size isn't bounded by the executors' heaps.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _closed_by(zoned: DataFrame, ts: str) -> DataFrame:
+    """One row at CLOSING, null but for its time."""
+    return zoned.sparkSession.range(1).select(*[(F.lit(CLOSING) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in zoned.schema])
+
+
 def staged(rows: DataFrame, ts: str, delay: str, files_at_once: int | None = None) -> DataFrame:
     """`rows` as a stream with a watermark on `ts`, closed by a row at CLOSING.
 
@@ -34,34 +43,89 @@ def staged(rows: DataFrame, ts: str, delay: str, files_at_once: int | None = Non
     path = new_folder(spark, "stream")
     zoned = rows.withColumn(ts, F.col(ts).cast("timestamp"))
     zoned.write.parquet(f"{path}/part=0")
-    closing = spark.range(1).select(*[(F.lit(CLOSING) if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in zoned.schema])
-    closing.write.parquet(f"{path}/part=1")
+    _closed_by(zoned, ts).write.parquet(f"{path}/part=1")
     reader = spark.readStream.schema(zoned.schema)
     if files_at_once:
         reader = reader.option("maxFilesPerTrigger", files_at_once)
     return reader.parquet(f"{path}/part=*").withWatermark(ts, delay)
 
 
+def run_arrivals(arrivals: list[DataFrame], ts: str, delay: str, change) -> DataFrame:
+    """What comes out of a stream whose rows arrive one table after the other, and then the closing row.
+
+    `change` makes the streaming result from the stream. Each arrival is processed
+    to its end, and state and watermark go on from one to the next, so that rows which an arrival
+    brings too late are dropped as they would be in a stream that never stops.
+    """
+    spark = arrivals[0].sparkSession
+    path, out = new_folder(spark, "stream"), new_folder(spark, "stream-out")
+    zoned = [rows.withColumn(ts, F.col(ts).cast("timestamp")) for rows in arrivals]
+    result = None
+    for i, rows in enumerate([*zoned, _closed_by(zoned[0], ts)]):
+        rows.write.parquet(f"{path}/part={i}")
+        result = change(spark.readStream.schema(zoned[0].schema).parquet(f"{path}/part=*").withWatermark(ts, delay))
+        _start(result, out).awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
 def before_closing(ts: str) -> Column:
     return F.col(ts) < F.lit(CLOSING).cast("timestamp")
 
 
+def _start(stream: DataFrame, out: str):
+    return stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+
+
+class _LateRows(StreamingQueryListener):
+    """Adds up the late rows of every batch of one query."""
+
+    def __init__(self):
+        self.batches: dict[str, dict[int, int]] = {}
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.setdefault(str(p.runId), {})[p.batchId] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def of_run(self, run: str, seconds: int = 120) -> int:
+        """Late rows of a run that is over. Events come in order, so the end is heard of after all batches."""
+        with self.changed:
+            if not self.changed.wait_for(lambda: run in self.ended, seconds):
+                raise RuntimeError("the listener has not heard of all batches, so late rows can't be counted")
+        return sum(self.batches.get(run, {}).values())
+
+
 def run_counting_late(stream: DataFrame) -> tuple[DataFrame, int]:
     """Process all that a stream has now, in append mode: what came out, and how many rows were too late.
 
-    Late rows are counted as Spark does, after rows of one batch and key are combined.
+    Late rows are counted as Spark does, after rows of one batch and key are combined,
+    over all batches: a listener hears of each, where the query itself remembers the last alone.
     """
     spark = stream.sparkSession
-    out = new_folder(spark, "stream-out")
-    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
-    return spark.read.schema(stream.schema).parquet(out), late
+    out, late = new_folder(spark, "stream-out"), _LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = _start(stream, out)
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out), late.of_run(str(query.runId))
+    finally:
+        spark.streams.removeListener(late)
 
 
 def run_to_end(stream: DataFrame) -> DataFrame:
     """What came out of a stream, however many rows were late."""
-    return run_counting_late(stream)[0]
+    out = new_folder(stream.sparkSession, "stream-out")
+    _start(stream, out).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def windowed_totals(stream: DataFrame, ts: str, width: str, by: str) -> DataFrame:
@@ -84,15 +148,57 @@ def interval_joined(left: DataFrame, right: DataFrame, key: str, within: str, ho
     return left.join(right, near, how)
 
 
-def running_positions(stream: DataFrame, key: str) -> DataFrame:
-    """A keyed state machine: after each batch, how many rows a key has had, their units, and whether it is overdrawn."""
+class _Positions(StatefulProcessor):
+    """A key's state: how many rows it has had, their units, and when it will have been idle for too long."""
+
+    def __init__(self, key: str, ts: str, idle_ms: int):
+        self.key, self.ts, self.idle_ms = key, ts, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("position", "rows long, units long, ends long")
 
-    def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, units = state.get if state.exists else (0, 0)
-        for batch in batches:
-            rows, units = rows + len(batch), units + int(batch["units"].sum())
-        state.update((rows, units))
-        yield pd.DataFrame({key: [keys[0]], "rows": [rows], "units": [units], "position": ["overdrawn" if units < 0 else "covered"]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, units, ends = self.state.get() if self.state.exists() else (0, 0, 0)
+        last = ends - self.idle_ms
+        for batch in rows:
+            n, units = n + len(batch), units + int(batch["units"].fillna(0).sum())
+            last = max(last, int(batch[self.ts].max().value // 1_000_000))
+        if ends:
+            self.handle.deleteTimer(ends)
+        ends = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(ends)
+        self.state.update((n, units, ends))
+        return iter(())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, units, _ = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({self.key: [key[0]], "rows": [n], "units": [units], "position": ["overdrawn" if units < 0 else "covered"]})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_positions(stream: DataFrame, key: str, ts: str, idle_seconds: int) -> DataFrame:
+    """A keyed state machine with timers: of each key, when it has been idle for so long, its rows, units, and whether it is overdrawn.
+
+    State goes with the timer that ends it, so what is kept are the keys of late;
+    a key that comes back begins anew. Rows of a null key are left out. Start it within `rocksdb_state`.
+    """
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, rows long, units long, position string", "rows long, units long", "append", GroupStateTimeout.NoTimeout)
+    # One condition that has to see the time, so that no part of it is pushed below the watermark, which the closing row moves.
+    told = F.when(before_closing(ts), F.col(key).isNotNull()).otherwise(False)
+    return stream.where(told).groupBy(key).transformWithStateInPandas(_Positions(key, ts, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries that start within keep their state in RocksDB, as state with timers has to."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -34,7 +34,24 @@ def test_the_entry_imports_without_the_language_model_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
 
 
+def test_a_broken_dependency_of_the_operators_is_told(tmp_path):
+    shutil.copytree(ROOT / "ledgerline", tmp_path / "ledgerline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_nobody_has")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode and "a_module_that_nobody_has" in said.stderr
+
+
 def test_the_console_lists_queries():
     said = subprocess.run([sys.executable, "-m", "ledgerline", "list"], cwd=ROOT, capture_output=True, text=True, check=True)
     assert "reconcile_orders" in said.stdout.split()
     assert subprocess.run([sys.executable, "-m", "ledgerline", "run", "nothing", "x"], cwd=ROOT, capture_output=True).returncode == 2
+
+
+def test_the_console_stores_and_replays_evaluations(spark, sf_dir, tmp_path, capsys):
+    from ledgerline.__main__ import main
+
+    store = str(tmp_path / "store")
+    assert main(["evaluate", sf_dir, store, "first"]) == 0 and main(["evaluations", store]) == 0
+    assert main(["replay", sf_dir, store, "first"]) == 0 and main(["show", store, "first", "3"]) == 0
+    assert "amount_mismatch" in capsys.readouterr().out

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.canonical import row_hash, table_digest
-from ledgerline.operators.reconcile import Profile, reconcile
+from ledgerline.operators.reconcile import Profile, reconcile, reconcile_by_kind
 from ledgerline.plans import evaluation
 from ledgerline.sources.tables import left_records, right_evidence
 
@@ -25,6 +25,19 @@ def test_every_class(spark):
     }
 
 
+def test_a_repeated_key_gives_a_row_that_somebody_sent(spark):
+    first, third = "2024-01-01 00:00:00", "2024-01-03 00:00:00"
+    left, right = rows(spark, [(1, "5.00", first)]), rows(spark, [(1, "5.00", third), (1, "6.00", first), (1, None, first)])
+    found = reconcile(left, right).first()
+    assert (str(found["right_amount"]), found["right_ts"].day, found["class"], found["flags"]) == ("5.00", 3, "duplicate_right", ["duplicate_right", "date_mismatch"])
+
+
+def test_a_kind_listed_twice_has_its_least_tolerance(spark):
+    side = lambda amount: rows(spark, [(1, amount, "2024-01-01 00:00:00")]).withColumn("kind", F.lit("F"))
+    tolerances = spark.createDataFrame([("F", "0.50"), ("F", "2.00")], "kind string, tolerance string").select("kind", F.col("tolerance").cast("decimal(18,2)"))
+    assert [r["class"] for r in reconcile_by_kind(side("5.00"), side("6.00"), tolerances).collect()] == ["amount_mismatch"]
+
+
 def test_each_key_has_one_class_and_sides_mirror(spark, sf_dir):
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
     there = reconcile(left, right)

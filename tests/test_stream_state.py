@@ -1,0 +1,26 @@
+from datetime import datetime, timedelta
+
+from ledgerline.streaming import stream
+
+START = datetime(2024, 1, 1)
+
+
+def test_positions_close_when_a_key_is_idle_and_begin_anew(spark):
+    rows = lambda values: spark.createDataFrame([(k, u, START + timedelta(hours=h)) for k, u, h in values], "key long, units long, ts timestamp_ntz")
+    arrivals = [rows([(1, 5, 0), (1, -9, 1), (2, 4, 2), (None, 7, 2)]), rows([(2, 1, 20), (3, 1, 90)]), rows([(1, 2, 95)])]
+    with stream.rocksdb_state(spark):
+        found = stream.run_arrivals(arrivals, "ts", "1 hour", lambda s: stream.closed_positions(s, "key", "ts", 24 * 3600))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2, "covered"), (1, 2, -4, "overdrawn"), (2, 2, 5, "covered"), (3, 1, 1, "covered")]
+
+
+def test_late_rows_are_counted_over_more_batches_than_a_query_remembers(spark):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        rows = [("a", i, START + timedelta(hours=(48 if i == 0 else i))) for i in range(8)]
+        df = spark.createDataFrame(rows, "kind string, i int, ts timestamp_ntz").selectExpr("kind", "cast(1 as decimal(18,2)) as amount", "ts", "i")
+        ordered = df.repartitionByRange(8, "i").sortWithinPartitions("i").drop("i")
+        found, late = stream.run_counting_late(stream.windowed_totals(stream.staged(ordered, "ts", "1 hours", files_at_once=1), "ts", "1 hour", "kind"))
+        counted = found.where(stream.before_closing("window_start")).groupBy().sum("n").first()[0] or 0
+        assert late == 8 - counted
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
