@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.shared import checkpointed, shared_folder, shuffle_partitions
+
+__all__ = ["A_TO_Z", "WHITE", "WORD", "WordHashes", "as_bytes", "ascii_lower", "checkpointed", "mixed", "shared_folder", "shuffle_partitions", "signed", "slices", "table", "text_hashes", "word_count"]
+
 #: ASCII white space as the contracts define it: space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = " \t\n\x0b\x0c\r"
@@ -19,23 +22,6 @@ A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CACHED_WORDS = 1 << 18
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and cut its lineage there.
-
-    The folder is the session's; a temporary one is set only where the session
-    names none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,6 +35,11 @@ def ascii_lower(text) -> F.Column:
     return F.translate(text, A_TO_Z, A_TO_Z.lower())
 
 
+def text_hashes(text: F.Column) -> tuple[F.Column, F.Column]:
+    """128 bits that tell texts apart, as two longs; null is apart from all text."""
+    return F.xxhash64(text, text.isNull()), F.xxhash64(F.lit("second"), text)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes); forgets what it has when it has grown large."""
 

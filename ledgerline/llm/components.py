@@ -7,39 +7,54 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import checkpointed
 
-#: The number of rounds is logarithmic in a component's diameter; this only stops a defect.
+#: The number of rounds is logarithmic in a component's diameter; more of them are a defect.
 MOST_ROUNDS = 60
+#: A node with more than this part of all edges is a hub; there are fewer than `HUBS`.
+HUBS = 1024
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """`edges` with the least `other` end of those that share `key`.
+
+    Minima are combined before their shuffle. Those of hubs are broadcast, fewer than
+    `HUBS` rows, so that a hub's edges stay where they are; the others' are joined.
+    """
+    least = edges.groupBy(key).agg(F.min(other).alias("least"), F.count("*").alias("n"))
+    hub = F.col("n") * HUBS > total
+    hubs = least.where(hub).select(F.col(key).alias("hub"), F.col("least").alias("of_hub"))
+    marked = edges.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left")
+    others = marked.where("hub is null").select("a", "b").join(least.where(~hub).select(key, "least"), key)
+    return marked.where("hub is not null").select("a", "b", F.col("of_hub").alias("least")).unionByName(others)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("least"))
-    return both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b").where("a <> b")
+    least = _with_least(both, "a", "b", 2 * total).where("b > a")
+    return least.select(F.least("a", "least").alias("a"), "b").where("a <> b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them. Edges have a < b."""
-    least = edges.groupBy("b").agg(F.min("a").alias("least"))
-    joined = edges.join(least, "b")
-    return joined.select(F.col("least").alias("a"), F.col("a").alias("b")).where("a <> b").union(least.select(F.col("least").alias("a"), "b"))
+    joined = _with_least(edges, "b", "a", total)
+    return joined.select(F.col("least").alias("a"), F.col("a").alias("b")).where("a <> b").union(joined.select(F.col("least").alias("a"), "b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a, b), component being the least node.
 
     Loops and rows with a null end are ignored; a node with loops only gives no
-    row. Minima are combined before each shuffle, so a hub with a third of all
-    edges costs one row for each task. Every round is written to the shared
-    checkpoint folder.
+    row, nor does an empty table; repeated edges count once. A hub with a third of all edges
+    is many tasks' work. Every round is written to the shared checkpoint folder.
     """
     stars = checkpointed(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
+    total, before = stars.count(), None
     for _ in range(MOST_ROUNDS):
         # Stars are the fixed point: every node has one link, to a node without one.
-        stars = checkpointed(_small_star(_large_star(stars)).distinct())
+        large = checkpointed(_large_star(stars, total).distinct())
+        stars = checkpointed(_small_star(large, total).distinct())
         state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if state == before:
-            break
-        before = state
-    return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+            return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        before, total = state, state["n"]
+    raise RuntimeError(f"components have not converged in {MOST_ROUNDS} rounds")

@@ -5,40 +5,47 @@ reaches a threshold. The join is exact and works in four steps.
 
 1. Every text becomes a set of 64-bit shingle hashes; equal sets form one
    class, so copies are never paired with one another.
-2. Sets are divided by size. If two sets of a size class link, they differ in at
-   most `k` elements. Elements are dealt by hash into parts, and at least one
-   part (or two, of one part more) is untouched by those differences.
-   * Light: of small sets, all subsets of two parts are enumerated; two sets that
-     link have one subset of that fixed size in common.
-   * Heavy: large sets go into inverted lists keyed by the content of one part.
+2. Sets are divided by size, with a boundary where enumeration would begin to cost
+   more than a set share of what the lists cost, by the number of sets of each size.
+   * Light: a small set enumerates all its subsets of the fixed size that its
+     larger partner, of s elements, asks for: two sets link only if they share a subset of
+     the percent * s / 100 elements that the smaller one has at least.
+   * Heavy: large sets go into inverted lists. Elements are dealt by hash into
+     one part more than two sets of a size class can differ in, so that a part at
+     least is untouched if they link, and lists are keyed by the content of a part.
      Lists of single shingles would hold every document with a frequent passage;
      lists of parts hold little but near copies. Frequent shingles, counted over
      all documents, are left out of the parts where enough others are there.
-   The boundary is where enumeration would begin to cost more than a set share
-   of what the lists cost, by the number of sets of each size.
 3. Sets that meet under a key are put in one block (stars to the least set of
    the key, then connected components), never expanded into pairs.
-4. In each block the sets' inverted lists are scanned and overlaps counted
-   exactly. Blocks beyond a fixed size are cut into chunks, and every pair of
-   chunks is a task of its own, so no block needs one task.
+4. In each block the inverted lists of single shingles are scanned for each set, and overlaps
+   counted exactly. Blocks beyond a fixed size are cut into chunks, and every pair
+   of chunks is a task of its own, so no block needs one task. A text goes to
+   as many tasks as its block has chunks; what that costs is less than the
+   counting, which looks at all pairs of a block's different sets, for their links are asked for.
 
 Null and empty texts have an empty set, which links with nothing. Texts with
-fewer words than a shingle have the whole sequence as their one shingle. Rows
-that share a doc_id are one node: their links unite. A null doc_id takes the
-component of its class. Extra columns are not read.
+fewer words than a shingle have the whole sequence as their one shingle; very long
+texts are sets like any other. Rows that share a doc_id are one node: their links unite. Rows without
+doc_id take part, and have the component_id of the documents that they link with,
+null if none of these has an id. Repeated rows are rows of their own, and link. An empty
+table gives an empty result. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WordHashes, as_bytes, checkpointed, mixed, shuffle_partitions, signed, slices
+from ledgerline.llm.common import WordHashes, as_bytes, checkpointed, mixed, shuffle_partitions, signed, slices, text_hashes
 from ledgerline.llm.components import connected_components
 
 #: Sizes of one class differ by this factor at most.
@@ -55,6 +62,8 @@ BLOCK_SHINGLES, UNIT_SHINGLES = 1 << 20, 1 << 19
 CHUNK_BYTES = 2 << 20
 #: Rows of signatures in a reducing task.
 TASK_ROWS = 1 << 20
+#: Subsets' hashes that are made at a time.
+SUBSETS_AT_ONCE = 1 << 20
 #: Bits of the filter that keeps most texts out of the last shuffle.
 FILTER_BITS = 1 << 23
 
@@ -92,19 +101,36 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(mixed(s ^ salt).sum(dtype=np.uint64).view(np.int64)) for salt in _SALTS[:2])
 
 
+class SizeClass(NamedTuple):
+    """Sets of `least` to `most` elements: how many two that link can differ in, the parts of their lists, and the subsets that one may enumerate."""
+
+    least: int
+    most: int
+    differ: int
+    parts: int
+    subsets: int
+
+
+def least_partner(size: int, percent: int) -> int:
+    """The size of the smallest set that can link with one of `size`; they have as many elements in common at least."""
+    return -(-percent * size // 100)
+
+
 def class_bounds(largest: int, percent: int) -> list[int]:
-    """Least size of each class, up to one beyond `largest`. Below the first, sets link only if equal."""
-    first = next(s for s in range(1, 10**6) if 100 * s >= percent * (s + 1))
+    """Least size of each class, up to one beyond `largest`. Below the first, sets link only if equal; at 100 percent all do."""
+    if percent >= 100:
+        return [largest + 1]
+    first = -(-percent // (100 - percent))
     bounds = [first]
     while bounds[-1] <= largest:
         bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] * max(CLASS_RATIO, 100 / percent + 0.01))))
     return bounds
 
 
-def _parts(k: int, least: int, untouched: int) -> int:
-    """Parts of which k differences leave `untouched`, and of which sets of `least` elements nearly always fill more than k."""
-    n = k + untouched
-    while n < 4 * (k + untouched):
+def _parts(k: int, least: int) -> int:
+    """Parts of which k differences leave one untouched, and of which sets of `least` elements nearly always fill more than k."""
+    n = k + 1
+    while n < 4 * (k + 1):
         empty = n * math.exp(-least / n)
         if n - empty - 3 * math.sqrt(empty) >= k + 1:
             break
@@ -112,29 +138,61 @@ def _parts(k: int, least: int, untouched: int) -> int:
     return n
 
 
-def class_plan(bounds: list[int], percent: int) -> list[tuple[int, int, int]]:
-    """Of each class: most differing elements k, parts for the lists, parts for the subsets."""
+def _subsets(size: int, dropped: int) -> int:
+    """Subsets of a set that lack so many elements at most; counted no further than where nobody would enumerate them."""
+    total = 0
+    for i in range(dropped + 1):
+        total += math.comb(size, i)
+        if total > 1 << 40:
+            break
+    return total
+
+
+def class_plan(bounds: list[int], percent: int) -> list[SizeClass]:
     plan = []
     for least, above in zip(bounds[:-1], bounds[1:], strict=True):
         k = 2 * (above - 1) * (100 - percent) // (100 + percent)
         # Sets of the class before, of its greatest sizes, are dealt into these parts too.
-        least = -(-percent * least // 100)
-        plan.append((k, _parts(k, least, 1), _parts(k, least, 2)))
+        parts = _parts(k, least_partner(least, percent))
+        plan.append(SizeClass(least, above - 1, k, parts, _subsets(above - 1, above - 1 - least_partner(above - 1, percent))))
     return plan
 
 
-def light_classes(counts: dict[int, int], plan: list[tuple[int, int, int]]) -> int:
+def light_classes(counts: dict[int, int], plan: list[SizeClass]) -> int:
     """How many of the classes, from the smallest on, are enumerated."""
-    heavy = sum(n * plan[g][1] for g, n in counts.items())
+    heavy = sum(n * plan[g].parts for g, n in counts.items())
     light = 0
-    for g, (_, lists, parts) in enumerate(plan):
-        light += counts.get(g, 0) * math.comb(parts, 2)
-        heavy -= counts.get(g, 0) * lists
+    for g, c in enumerate(plan):
+        light += counts.get(g, 0) * c.subsets
+        heavy -= counts.get(g, 0) * c.parts
         if light > LIGHT_SHARE * heavy:
             return g
     return len(plan)
 
 
+@lru_cache(maxsize=512)
+def _chosen(size: int, dropped: int) -> np.ndarray:
+    """All choices of elements to leave out of a set, one a row."""
+    return np.array(list(combinations(range(size), dropped)), np.intp).reshape(math.comb(size, dropped), dropped)
+
+
+def _subset_keys(sets: list[np.ndarray], nodes: np.ndarray, percent: int, largest: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys of the subsets of small sets, by the sizes that partners of up to `largest` elements ask for; sets of one size."""
+    size = len(sets[0])
+    elements = mixed(np.array(sets) ^ _SALTS[2])
+    whole = elements.sum(1, dtype=np.uint64)
+    keys, out = [], []
+    for asked in sorted({least_partner(s, percent) for s in range(size, min(largest, 100 * size // percent) + 1)}):
+        left_out = _chosen(size, size - asked)
+        step = max(1, SUBSETS_AT_ONCE // (len(left_out) * max(1, size - asked)))
+        for i in range(0, len(sets), step):
+            # A subset's hash depends on its elements alone: their sum.
+            found = whole[i : i + step, None] - elements[i : i + step][:, left_out].sum(2, dtype=np.uint64)
+            keys.append(mixed(found + np.uint64(asked * int(_SALTS[4]) % (1 << 64))).ravel())
+            out.append(np.repeat(nodes[i : i + step], len(left_out)))
+    return keys, out
+
+
 def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
     """Which elements are in a sorted list."""
     if not len(listed):
@@ -142,10 +200,9 @@ def _among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
     return listed[np.minimum(np.searchsorted(listed, x), len(listed) - 1)] == x
 
 
-def _class_keys(sets: list[np.ndarray], g: int, plan: list[tuple[int, int, int]], light: int, realm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of sets in class g, which of them to use, and which sets have too few filled parts."""
-    k, lists, parts = plan[g]
-    n, m = parts if g < light else lists, len(sets)
+def _part_keys(sets: list[np.ndarray], g: int, plan: list[SizeClass], realm: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the parts of sets in class g, which of them to use, and which sets have too few filled parts."""
+    k, n, m = plan[g].differ, plan[g].parts, len(sets)
     elements = mixed(np.concatenate(sets) ^ _SALTS[2])
     doc = np.repeat(np.arange(m), [len(s) for s in sets])
     cell = doc * n + ((elements >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
@@ -156,17 +213,17 @@ def _class_keys(sets: list[np.ndarray], g: int, plan: list[tuple[int, int, int]]
     filled = np.bincount(cell, minlength=m * n).reshape(m, n) > 0
     content = mixed(content + (np.arange(n, dtype=np.uint64) * _SALTS[4] + np.uint64(2 * g + realm)))
     # With more filled parts than differences, an untouched part has content.
-    sparse = filled.sum(1) <= k
-    if g < light:
-        i, j = np.triu_indices(n, 1)
-        return mixed(content[:, i] + (content[:, j] ^ _SALTS[0])), filled[:, i] | filled[:, j], sparse
-    return content, filled, sparse
+    return content, filled, filled.sum(1) <= k
+
 
+def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], plan: list[SizeClass], light: int, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, node) of every set: subsets for its light partners, lists for its heavy ones.
 
-def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], plan: list[tuple[int, int, int]], light: int, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of every set, for its own class and, near the class's end, for the next.
+    A pair is found by the class of its larger set. So a set has keys for its own
+    class and, near the class's end, for the next, which may be a heavy one
+    while its own is light.
 
-    Keys are made of a set's elements that aren't frequent: two sets differ in no
+    Lists' keys are made of a set's elements that aren't frequent: two sets differ in no
     more of those than of all. Of two sets that link, if one fills more than k parts
     with them, an untouched one of these is the other's too. A set that fills fewer
     has keys of all its elements besides, for partners that do as well; and if even
@@ -176,6 +233,12 @@ def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], pl
     own = np.searchsorted(bounds, sizes, side="right") - 1
     keys, out = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     ends = np.array(bounds, np.int64)
+    largest = plan[light - 1].most if light else 0
+    for size in np.unique(sizes[(own >= 0) & (own < light)]):
+        at = np.flatnonzero(sizes == size)
+        found = _subset_keys([sets[i] for i in at], nodes[at], percent, largest)
+        keys += found[0]
+        out += found[1]
     for step in (0, 1):
         goes = own >= 0
         if step:
@@ -183,15 +246,15 @@ def _signatures(sets: list[np.ndarray], nodes: np.ndarray, bounds: list[int], pl
         for g in np.unique(own[goes]):
             at = np.flatnonzero(goes & (own == g))
             g = int(g) + step
-            if g >= len(plan):
+            if not light <= g < len(plan):
                 continue
             rare = [sets[i][~_among(sets[i], frequent)] for i in at]
-            key, use, sparse = _class_keys(rare, g, plan, light, 0)
+            key, use, sparse = _part_keys(rare, g, plan, 0)
             keys.append(key[use])
             out.append(np.repeat(nodes[at], use.sum(1)))
             if sparse.any():
                 at = at[sparse]
-                key, use, sparse = _class_keys([sets[i] for i in at], g, plan, light, 1)
+                key, use, sparse = _part_keys([sets[i] for i in at], g, plan, 1)
                 use |= sparse[:, None]
                 keys.append(key[use])
                 out.append(np.repeat(nodes[at], use.sum(1)))
@@ -213,7 +276,7 @@ def _stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, frequent): size and digest of each document's set; where frequent, a shingle h1 and how many documents of a chunk have it."""
+    """(doc_id, t1, t2, n_shingles, h1, h2, frequent): hashes of each document's text, size and digest of its set; where frequent, a shingle h1 and how many documents of a chunk have it."""
 
     def digests(batches):
         hashes = WordHashes()
@@ -230,7 +293,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     yield often(held)
                     held, total = [], 0
             n, h1, h2 = zip(*rows, strict=True) if rows else ((), (), ())
-            yield batch_of(batch.column("doc_id"), n, h1, h2, False)
+            yield batch_of([batch.column(c) for c in ("doc_id", "t1", "t2")], n, h1, h2, False)
         if held:
             yield often(held)
 
@@ -238,13 +301,15 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         found, counts = np.unique(np.concatenate(sets), return_counts=True)
         frequent = counts >= max(FREQUENT_LEAST, FREQUENT_SHARE * len(sets))
         found, counts = found[frequent].view(np.int64), counts[frequent]
-        return batch_of(pa.nulls(len(found), pa.int64()), counts, found, np.zeros(len(found), np.int64), True)
+        return batch_of([pa.nulls(len(found), pa.int64())] * 3, counts, found, np.zeros(len(found), np.int64), True)
 
-    def batch_of(doc_id, n, h1, h2, frequent: bool) -> pa.RecordBatch:
-        columns = [doc_id, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([frequent] * len(n), pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "frequent"])
+    def batch_of(row: list[pa.Array], n, h1, h2, frequent: bool) -> pa.RecordBatch:
+        columns = [*row, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array([frequent] * len(n), pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "t1", "t2", "n_shingles", "h1", "h2", "frequent"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(digests, "doc_id long, n_shingles long, h1 long, h2 long, frequent boolean")
+    text = F.col("text").cast("string")
+    t1, t2 = text_hashes(text)
+    return docs.select(F.col("doc_id").cast("long"), t1.alias("t1"), t2.alias("t2"), text.alias("text")).mapInArrow(digests, "doc_id long, t1 long, t2 long, n_shingles long, h1 long, h2 long, frequent boolean")
 
 
 def frequent_shingles(sets: DataFrame) -> np.ndarray:
@@ -259,6 +324,15 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int]
     plan = class_plan(bounds, percent)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def signatures(distinct: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of all sets; so many at a time that what is made on the way stays small."""
+        nodes, sets = np.fromiter(distinct, np.int64, len(distinct)), list(distinct.values())
+        of = np.searchsorted(bounds, [len(s) for s in sets], side="right") - 1
+        made = np.cumsum([plan[g].subsets if g < light else 2 * plan[g].parts for g in of]) // SUBSETS_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(made)) + 1), len(sets)]
+        found = [_signatures(sets[i:j], nodes[i:j], bounds, plan, light, percent, shared.value) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
     def postings(batches):
         hashes = WordHashes()
         for batch in slices(batches):
@@ -271,8 +345,7 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int]
                         distinct[_digest(s)[0]] = s
                 if not distinct:
                     continue
-                nodes = np.fromiter(distinct, np.int64, len(distinct))
-                key, node, a, b = _stars(*_signatures(list(distinct.values()), nodes, bounds, plan, light, percent, shared.value))
+                key, node, a, b = _stars(*signatures(distinct))
                 # Sets that met here already go on as pairs with a key of their own,
                 # so a key of many sets costs the shuffle one row for each chunk.
                 pair = mixed(mixed(a.view(np.uint64) ^ _SALTS[0]) + b.view(np.uint64))
@@ -286,21 +359,21 @@ def candidate_edges(docs: DataFrame, width: int, percent: int, bounds: list[int]
             _, _, a, b = _stars(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    posted = docs.where("doc_id is not null").select(F.col("text").cast("string")).mapInArrow(postings, "key long, node long")
+    posted = docs.select(F.col("text").cast("string")).mapInArrow(postings, "key long, node long")
     return posted.repartition(tasks, "key").mapInArrow(meet, "a long, b long")
 
 
 def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
     """Links within the blocks of one task: spanning edges (a, b, 0) and counts (a, null, links).
 
-    A row has doc_id, text, block, copies (rows of its class) and side: 0 and 1
+    A row has node (its class), text, block, copies (rows of its class) and side: 0 and 1
     of a pair of chunks that are counted against one another, null of a chunk
     (or whole block) that is counted against itself.
     """
     hashes = WordHashes()
     block = rows.column("block").to_numpy()
     order = np.argsort(block, kind="stable")
-    ids, copies = rows.column("doc_id").to_numpy()[order], rows.column("copies").to_numpy()[order]
+    copies = rows.column("copies").to_numpy()[order]
     side = rows.column("side").fill_null(-1).to_numpy()[order]
     texts = as_bytes(rows.column("text").combine_chunks())
     cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0, True])
@@ -331,95 +404,141 @@ def block_links(rows: pa.Table, width: int, percent: int) -> pa.Table:
             sides = side[start + x + 1 : end]
             linked &= (sides != side[start + x]) | (sides < 0)
             y = np.flatnonzero(linked) + x + 1
-            y = y[ids[start + y] != ids[start + x]]
             if not len(y):
                 continue
             links[x] += copies[start + y].sum()
             links[y] += copies[start + x]
             for l, one in zip(*np.unique(label[y], return_index=True), strict=True):
                 if l != label[x]:
-                    out_a.append(ids[start + x])
-                    out_b.append(ids[start + y[one]])
+                    out_a.append(order[start + x])
+                    out_b.append(order[start + y[one]])
                     out_links.append(0)
                     label[label == l] = label[x]
         for x in np.flatnonzero(links):
-            out_a.append(ids[start + x])
+            out_a.append(order[start + x])
             out_b.append(None)
             out_links.append(links[x])
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "links": pa.array(out_links, pa.int64())})
+    nodes = rows.column("node").combine_chunks()
+    return pa.table({"a": nodes.take(pa.array(out_a, pa.int64())), "b": nodes.take(pa.array(out_b, pa.int64())), "links": pa.array(out_links, pa.int64())})
+
 
+def _row_hash(doc_id: F.Column, t1: F.Column, t2: F.Column) -> F.Column:
+    return F.xxhash64(doc_id, doc_id.isNull(), t1, t2)
 
-def flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Each row of `docs` whole, as the column doc, and possible: false where its doc_id is not among `ids` (doc_id), true of the others and a few more.
 
-    A filter of fixed size over `ids` is broadcast: 64-bit words, one bit for each id.
+def flagged(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, t1, t2, possible): each row of `docs` whole, its text's hashes, and false where it is not among `rows` (doc_id, t1, t2), true of the others and a few more.
+
+    A filter of fixed size over `rows` is broadcast: 64-bit words, one bit for each row.
     """
-    position = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(FILTER_BITS))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
-    words = ids.select(position("doc_id").alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
-    rows, at = docs.select(F.struct("*").alias("doc")), position("doc.doc_id")
-    probed = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("word"), "left")
-    return probed.select("doc", F.coalesce(F.col("bits").bitwiseAND(bit(at)) != 0, F.lit(False)).alias("possible"))
+    position = lambda *row: F.pmod(_row_hash(*row), F.lit(FILTER_BITS))
+    words = rows.select(position(*map(F.col, ("doc_id", "t1", "t2"))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+    t1, t2 = text_hashes(F.col("doc.text").cast("string"))
+    whole = docs.select(F.struct("*").alias("doc")).select("doc", t1.alias("t1"), t2.alias("t2"))
+    at = position(F.col("doc.doc_id").cast("long"), F.col("t1"), F.col("t2"))
+    probed = whole.join(F.broadcast(words), F.shiftright(at, 6) == F.col("word"), "left")
+    return probed.select("doc", "t1", "t2", F.coalesce(F.col("bits").bitwiseAND(bit(at)) != 0, F.lit(False)).alias("possible"))
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` but for those whose doc_id is among `ids`; only rows that the filter flags are shuffled for the exact test."""
-    probed = flagged(docs, ids)
-    exact = probed.where("possible").join(ids.select(F.col("doc_id").alias("gone")), F.col("doc.doc_id").cast("long") == F.col("gone"), "left_anti")
-    return probed.where("not possible").union(exact).select("doc.*")
+#: Nodes of the graph are doc_ids; classes in which no row has one come after all of them.
+_BEYOND, _NODE = 1 << 63, "decimal(20,0)"
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id and n_links of every document.
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, t1, t2 (hashes of the text), n_shingles, component_id, class_id, n_links, node and component of every row, and whether it is the row that stands for its component.
 
-    Documents link when 100 * |intersection| >= percent * |union| of their sets
-    of `width`-word shingles. component_id is the least doc_id reachable over
-    links, class_id the least with an equal set, n_links the number of other
-    documents that a document links with.
+    A node is a class of rows with equal sets; a component of nodes tells rows
+    apart that have no doc_id too. The row that stands for a component is the first by
+    doc_id, then text, of the class that the component is named for; rows that repeat it do too.
     """
     spark = docs.sparkSession
     counted = checkpointed(shingle_sets(docs, width))
     sets = counted.where("not frequent").drop("frequent")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    largest = sets.agg(F.max("n_shingles")).first()[0] or 0
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
+    node = F.when(F.col("first.no_id"), F.col("h1").cast(_NODE) + F.lit(str(2 * _BEYOND)).cast(_NODE)).otherwise(F.col("first.doc_id")).cast(_NODE)
+    classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(first, F.count("*").alias("copies"))
+    classes = checkpointed(classes.select("n_shingles", "h1", "h2", "copies", "first.doc_id", "first.t1", "first.t2", node.alias("node")))
+    largest = classes.agg(F.max("n_shingles")).first()[0] or 0
     bounds = class_bounds(largest, percent)
     plan = class_plan(bounds, percent)
     # One row for each size class; their number is the logarithm of the largest size.
     group = F.expr("size(filter(array({}), x -> x <= n_shingles)) - 1".format(", ".join(f"{b}L" for b in bounds)))
-    counts = {r["g"]: r["n"] for r in classes.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect() if r["g"] >= 0}
+    counts = {r["g"]: r["n"] for r in classes.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect() if 0 <= r["g"] < len(plan)}
     light = light_classes(counts, plan)
-    rows = sum(n * 1.5 * (math.comb(plan[g][2], 2) if g < light else plan[g][1]) for g, n in counts.items())
+    rows = sum(n * 1.5 * (plan[g].subsets if g < light else plan[g].parts) for g, n in counts.items())
     tasks = max(shuffle_partitions(spark), math.ceil(rows / TASK_ROWS))
 
-    blocks = connected_components(candidate_edges(docs, width, percent, bounds, light, frequent_shingles(counted), tasks))
-    members = classes.join(blocks, F.col("h1") == F.col("node")).select(F.col("rep").alias("doc_id"), "n_shingles", "copies", F.col("component").alias("block"))
-    members = checkpointed(members)
+    blocks = connected_components(candidate_edges(docs, width, percent, bounds, light, frequent_shingles(counted), tasks)).withColumnRenamed("node", "h1")
+    members = checkpointed(classes.join(blocks.withColumnRenamed("component", "block"), "h1"))
     totals = members.groupBy("block").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", F.ceil(F.col("total") / BLOCK_SHINGLES))
     units = max(4 * shuffle_partitions(spark), math.ceil((totals.where("chunks = 1").agg(F.sum("total")).first()[0] or 0) / UNIT_SHINGLES))
-    dealt = members.join(totals, "block").withColumn("chunk", F.expr("pmod(xxhash64(doc_id), chunks)"))
-    small = dealt.where("chunks = 1").select("doc_id", "copies", "block", F.lit(None).cast("int").alias("side"), F.expr(f"pmod(xxhash64(block), {units}L)").alias("unit"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
+    dealt = members.join(totals, "block").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
+    row = ["t1", "t2", "node", "copies", "block"]
+    small = dealt.where("chunks = 1").select(*row, F.lit(None).cast("int").alias("side"), F.expr(f"pmod(xxhash64(block), {units}L)").alias("unit"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"))
     other = F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other")
     large = dealt.where("chunks > 1").select("*", other).select(
-        "doc_id", "copies", "block", F.expr("case when other = chunk then null when chunk < other then 0 else 1 end").cast("int").alias("side"), F.col("block").alias("unit"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
+        *row, F.expr("case when other = chunk then null when chunk < other then 0 else 1 end").cast("int").alias("side"), F.col("block").alias("unit"), F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j")
     )
     work = small.union(large)
-    texts = flagged(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")), members).where("possible").select("doc.*")
+    texts = flagged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), members.select("doc_id", "t1", "t2")).where("possible")
+    # One row for each text: repeated rows are combined before the shuffle, by the key of the join.
+    texts = texts.groupBy("t1", "t2").agg(F.first("doc.text").alias("text"))
 
     def linked(rows: pa.Table) -> pa.Table:
         return block_links(rows, width, percent)
 
-    found = checkpointed(texts.join(work, "doc_id").groupBy("unit", "i", "j").applyInArrow(linked, "a long, b long, links long"))
-    components = connected_components(found.where("b is not null").select("a", "b"))
+    found = checkpointed(texts.join(work, ["t1", "t2"]).groupBy("unit", "i", "j").applyInArrow(linked, f"a {_NODE}, b {_NODE}, links long"))
+    edges = found.where("b is not null").select("a", "b")
+    # Documents whose rows have different sets: their classes are one node.
+    known = sets.where("n_shingles > 0 and doc_id is not null")
+    several = checkpointed(known.groupBy("doc_id").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("doc_id"))
+    if not several.isEmpty():
+        named = known.join(several, "doc_id").join(classes.select("n_shingles", "h1", "h2", "node"), ["n_shingles", "h1", "h2"])
+        edges = edges.union(named.select("node", F.col("doc_id").cast(_NODE)))
+    components = connected_components(edges)
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     of_class = (
-        classes.join(components, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")
-        .select("n_shingles", "h1", "h2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        classes.withColumnRenamed("node", "of").join(components, F.col("of") == F.col("node"), "left").join(links, F.col("of") == F.col("a"), "left")
+        .select("n_shingles", "h1", "h2", F.col("of").alias("node"), F.coalesce("component", "of").alias("component"), F.struct("doc_id", "t1", "t2").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
+    id_of = lambda c: F.when(F.col(c) < F.lit(str(_BEYOND)).cast(_NODE), F.col(c)).cast("long")
+    stands = F.col("component").eqNullSafe(F.col("node")) & F.struct("doc_id", "t1", "t2").eqNullSafe(F.col("first"))
     return sets.join(of_class, ["n_shingles", "h1", "h2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") > 0, id_of("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n_shingles") > 0, id_of("node")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "component", (stands | (F.col("n_shingles") == 0)).alias("stands"),
     )
 
 
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id and n_links of every document.
+
+    Documents link when 100 * |intersection| >= percent * |union| of their sets
+    of `width`-word shingles. component_id is the least doc_id reachable over
+    links, class_id the least with an equal set, n_links the number of other
+    rows that a row links with.
+    """
+    return near_copies(docs, width, percent).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one row of each component: that which stands for it. Rows without words stay.
+
+    Only rows that a filter flags are shuffled for the exact test.
+    """
+    found = checkpointed(near_copies(docs, width, percent).where("n_shingles > 0").select("doc_id", "t1", "t2", "stands"))
+    marks = found.groupBy("doc_id", "t1", "t2").agg(F.max("stands").alias("stands"), F.count("*").alias("rows")).where("not stands or rows > 1")
+    marks = checkpointed(marks.select(F.col("doc_id").alias("_doc_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "stands"))
+    probed = flagged(docs, marks.select(F.col("_doc_id").alias("doc_id"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")))
+    same = (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")) & F.col("doc.doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
+    exact = probed.where("possible").join(marks, same, "left")
+    # Of a row that stands for its component and is repeated, one stays; repeats are combined before the shuffle.
+    kept = probed.where("not possible").select("doc").union(exact.where("stands is null").select("doc"))
+    if not marks.where("stands").isEmpty():
+        kept = kept.union(exact.where("stands").groupBy("_doc_id", "_t1", "_t2").agg(F.first("doc").alias("doc")).select("doc"))
+    return kept.select("doc.*")
+
+
 #: The join of three-word shingles at 90 %, by joining all shingles of all documents with one another.
 ORACLE_SQL = r"""
 with recursive docs as (
