@@ -1,14 +1,16 @@
 """Quality rules: measures of each text, and the frequency of its lines across a host's documents.
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space collapsed) and
-hashed. A line that stands in more than `limit` distinct documents of a host is
-boilerplate there. Copies count once, so that copying a document doesn't make
-boilerplate of it. Where texts are cleaned (`without_lines`), so do depleted
+hashed. A line that stands in more than `limit` different documents of a host is
+boilerplate there. Documents with one text are one document, so that copying it doesn't make
+boilerplate of all its lines. Where texts are cleaned (`without_lines`), so are depleted
 texts that are near copies of one another. A document that loses nearly all its words with its
 boilerplate is depleted and rejected, beside those that fail the base rules.
 
 Null texts have no words and fail; a null host (source) is a host of its own;
-repeated rows are judged alike. Extra columns are not read.
+rows without doc_id are judged like others, and rows that repeat one another alike. An
+empty table gives an empty result. A task holds the measures of a thousand texts at a time,
+whatever their length. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ LINE_LIMIT, LEAST_LEFT, LEAST_LEFT_PERCENT = 20, 20, 10
 #: Base rules: fewest words, highest percent of words in repeated windows, words of a window.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 50, 50, 3
 
+#: Lines with more than this part of all lines of all documents; there are fewer than so many.
+HOT_LINES = 1024
+
 #: Depleted texts with this similarity (percent) of their sets of shingles, or more, count a line once.
 COPY_WIDTH, COPY_PERCENT = 5, 50
 
@@ -68,6 +73,10 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, WHITE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _host(source: F.Column) -> F.Column:
+    return F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source.cast("string")))
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """Measures of each row, a number of its own, its host and text hash, and its lines' hashes and words."""
 
@@ -84,9 +93,8 @@ def _measured(docs: DataFrame) -> DataFrame:
             names = ["doc_id", "host", *(x.split()[0] for x in _MEASURES.split(", ")), "text_hash", "lines"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, batch.column("text_hash"), pa.array(lines, kind)], names)
 
-    host = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), host.alias("host"), text, F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long"), _host(F.col("source")).alias("host"), text, F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(measure, f"doc_id long, host string, {_MEASURES}, text_hash long, lines array<struct<hash: long, words: long>>").withColumn("row", F.monotonically_increasing_id())
 
 
@@ -101,27 +109,45 @@ def _beyond_copies(docs: DataFrame, rows: DataFrame, found: DataFrame, limit: in
     text = F.col("text").cast("string")
     texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).join(depleted.withColumnRenamed("text_hash", "doc_id"), "doc_id", "left_semi")
     groups = ngram_jaccard_join(checkpointed(texts.dropDuplicates(["doc_id"])), COPY_WIDTH, COPY_PERCENT).select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("copies_of"))
-    counted = found.join(groups, "text_hash", "left").groupBy("host", "hash").agg(F.countDistinct(F.coalesce("copies_of", "text_hash")).alias("n"))
+    counted = found.select("host", "hash", "text_hash").distinct().join(groups, "text_hash", "left").groupBy("host", "hash").agg(F.countDistinct(F.coalesce("copies_of", "text_hash")).alias("n"))
     return checkpointed(counted.where(F.col("n") > limit))
 
 
+def _among(lines: DataFrame, frequent: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of `lines` whose (host, hash) is among `frequent`.
+
+    Lines so common that one task would have too many are compared with a
+    broadcast of fewer than `HOT_LINES` rows; the others meet by shuffle.
+    """
+    of_hot = frequent.join(F.broadcast(hot), ["host", "hash"], "left_semi").select("host", "hash", F.lit(True).alias("stays"))
+    told = lines.join(F.broadcast(hot.select("host", "hash", F.lit(True).alias("is_hot"))), ["host", "hash"], "left")
+    rest = told.where("is_hot is null").join(frequent.select("host", "hash"), ["host", "hash"], "left_semi")
+    return told.where("is_hot").join(F.broadcast(of_hot), ["host", "hash"], "left_semi").drop("is_hot").unionByName(rest.drop("is_hot"))
+
+
 def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT, copies_once: bool = False) -> DataFrame:
-    """doc_id, measures, base_failed, kept, n_left_words and the hashes of the lines to remove, for each row.
+    """doc_id, host, measures, base_failed, kept, n_left_words and the hashes of the lines to remove, for each row.
 
     With `copies_once`, depleted texts that are near copies of one another count as one.
     """
     rows = checkpointed(_measured(docs))
     lines = rows.select("row", "host", "text_hash", F.inline("lines"))
-    frequent = lines.groupBy("host", "hash").agg(F.countDistinct("text_hash").alias("n")).where(F.col("n") > limit)
+    # By text, then by host and line: each step is combined before its shuffle.
+    of_text = lines.groupBy("host", "hash", "text_hash").agg(F.count("*").alias("rows"))
+    counted = of_text.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    frequent = checkpointed(counted.where(F.col("n") > limit))
+    total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
+    hot = checkpointed(frequent.where(F.col("rows") * HOT_LINES > total).select("host", "hash"))
+    lines = _among(lines, frequent, hot)
     if copies_once:
-        lines = checkpointed(lines.join(frequent.drop("n"), ["host", "hash"]))
-        frequent = _beyond_copies(docs, rows, lines, limit)
-    removed = lines.join(frequent, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("hash")).alias("removed_lines"))
+        lines = checkpointed(lines)
+        lines = _among(lines, _beyond_copies(docs, rows, lines, limit), hot)
+    removed = lines.groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("hash")).alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     base_failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words")
     depleted = _depleted(left)
     return rows.join(removed, "row", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
         left.alias("n_left_words"), "text_hash", F.coalesce("removed_lines", F.expr("array()").cast("array<long>")).alias("removed_lines"),
     )
 
@@ -129,7 +155,7 @@ def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT, copies_once:
 def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
     """The kept rows of `docs`, all their columns, with frequent lines taken out of text (and n_chars, where there is one).
 
-    Rows are matched by doc_id and text, so repeated rows stay repeated.
+    Verdicts are those of doc_id, host and text, so repeated rows stay repeated.
     """
 
     def strip(batches):
@@ -146,10 +172,10 @@ def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
             doc = pa.StructArray.from_arrays([changed.get(n, rows.field(i)) for i, n in enumerate(names)], names)
             yield pa.RecordBatch.from_arrays([doc], ["doc"])
 
-    verdicts = line_frequency_rules(docs, limit, copies_once=True).where("kept").select("doc_id", "text_hash", "removed_lines").dropDuplicates(["doc_id", "text_hash"])
+    verdicts = line_frequency_rules(docs, limit, copies_once=True).where("kept").select("doc_id", "host", "text_hash", "removed_lines").dropDuplicates(["doc_id", "host", "text_hash"])
     # The row goes whole, as one column, so that no column of it can clash with ours.
     rows = docs.select(F.struct("*").alias("doc"))
-    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_host(F.col("doc.source")) == F.col("host")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
     joined = rows.join(verdicts, same).select("doc", "removed_lines")
     return joined.mapInArrow(strip, rows.schema).select("doc.*")
 

@@ -10,8 +10,9 @@ Keys are drawn from the doc_id by hash, so reruns agree. Keys are sorted and
 summed over ranges of (source, key) of even size; no source needs one task.
 
 A null or empty text has no words and is taken 0 times; a null source is a
-source of its own, last in order; repeated rows count as documents of their own.
-Extra columns are not read.
+source of its own, last in order; repeated rows count as documents of their own; a row
+without doc_id draws its key from its text. Very long texts are taken like others, in part where
+a budget ends within one. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ WEIGHTS, MOST_EPOCHS, SEED = (5, 2, 1), 3, "mix"
 SYMBOLS = "#*$%&|<>"
 #: Sources whose targets are broadcast; more of them are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Repetitions of one row that a task writes.
+AT_ONCE = 256
 
 
 def running_total(df: DataFrame, group: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -45,6 +48,16 @@ def running_total(df: DataFrame, group: list[str], order: list[str], values: lis
     return joined.select(*df.columns, *[(F.col(f"_start_{v}") + F.col(f"_in_{v}")).alias(f"before_{v}") for v in values])
 
 
+def repeats(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`df` with `repeat`: the number of rows with the same key (a long, not null) before a row, in `order`; 0 of most rows.
+
+    Numbers are made over ranges, so a key with a third of all rows is many tasks' work.
+    `df` should be written, for rows are told apart by where they stand.
+    """
+    told = df.withColumns({"_row": F.monotonically_increasing_id(), "_one": F.lit(1)})
+    return running_total(told, [key], [*order, "_row"], ["_one"]).withColumnRenamed("before__one", "repeat").drop("_row", "_one")
+
+
 def source_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(place, source_size, target) of each source (place, source_size); weights go by ascending place."""
     listed = running_total(sources.withColumn("one", F.lit(1)), [], ["place"], ["one"])
@@ -61,8 +74,12 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> D
     return weighed.select("place", "source_size", target.alias("target"))
 
 
+def _place(source: F.Column) -> F.Column:
+    return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, cut: bool = True) -> DataFrame:
-    """doc_id, text_hash, size, source_size, target and taken (words, repeats counted) of each row.
+    """doc_id, place (of its source), text_hash, size, source_size, target and taken (words, repeats counted) of each row.
 
     With `cut`, the document on a budget's edge gives only its first words, and
     sources meet their targets to the word; without, it is taken whole if more
@@ -72,11 +89,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
     size = word_count(text)
     rows = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1")).alias("place"), size.alias("size"), F.coalesce(symbols, F.lit(0)).alias("symbols"), F.xxhash64(text).alias("text_hash")
+        F.col("doc_id").cast("long"), _place(F.col("source")).alias("place"), size.alias("size"), F.coalesce(symbols, F.lit(0)).alias("symbols"), F.xxhash64(text).alias("text_hash"),
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text), F.lit("")).alias("name"),
     )
-    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
+    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("name"))), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
     quality = (F.col("size") + 1) / (F.col("size") + 1 + F.col("symbols"))
     rows = checkpointed(rows.select("doc_id", "place", "size", "text_hash", (-F.log(uniform) / quality).alias("key")))
+    # Rows that repeat one another are told apart, so that ranges can end between them.
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     sources = checkpointed(rows.groupBy("place").agg(F.sum("size").alias("source_size")))
     targets = checkpointed(source_targets(sources, weights, most))
     if targets.count() <= BROADCAST_SOURCES:
@@ -87,25 +107,37 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         more = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before_size")))
     else:
         more = F.when(2 * F.col("before_size") + F.col("size") <= 2 * budget, F.col("size")).otherwise(0)
-    drawn = running_total(rows, ["place"], ["key", "doc_id", "text_hash"], ["size"]).join(targets, "place")
-    return drawn.select("doc_id", "text_hash", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+    drawn = running_total(rows, ["place"], ["key", "doc_id", "text_hash", "row"], ["size"]).join(targets, "place")
+    return drawn.select("doc_id", "place", "text_hash", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """`docs`, each row as many times as the mix takes it whole."""
-    mixed = mix_sources(docs, weights, most, cut=False).where("taken > 0")
-    copies = mixed.groupBy("doc_id", "text_hash").agg(F.max(F.expr("cast(taken div size as int)")).alias("copies"))
+    """`docs`, each row as many times as the mix takes it whole.
+
+    Rows of one doc_id, source and text get what the mix takes of all of them: each the
+    same number of times, and one of them what is left over.
+    """
+    mixed = mix_sources(docs, weights, most, cut=False)
+    takes = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).alias("takes")
+    copies = checkpointed(mixed.groupBy("doc_id", "place", "text_hash").agg(takes, F.count("*").alias("rows")).where("takes > 0"))
     # The row goes whole, as one column, so that no column of it can clash with ours.
-    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_place(F.col("doc.source")) == F.col("place")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
     joined = docs.select(F.struct("*").alias("doc")).join(copies, same)
-    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
+    each = joined.where("takes >= rows").select("doc", F.explode(F.expr("sequence(1L, takes div rows)"))).select("doc")
+    over = copies.where("takes % rows > 0")
+    if not over.isEmpty():
+        # Of rows that repeat one another any will do; they are combined before the shuffle.
+        one = docs.select(F.struct("*").alias("doc")).join(over, same).groupBy("doc_id", "place", "text_hash").agg(F.first("doc").alias("doc"), F.first(F.expr("takes % rows")).alias("n"))
+        dealt = one.select("doc", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {AT_ONCE})")).alias("part")).repartition(shuffle_partitions(docs.sparkSession))
+        each = each.union(dealt.select("doc", F.explode(F.expr(f"sequence(1L, least({AT_ONCE}L, n - part * {AT_ONCE}))"))).select("doc"))
+    return each.select("doc.*")
 
 
 ORACLE_SQL = rf"""
 with docs as (
   select doc_id, coalesce('0' || source, '1') as place, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as symbols,
-    (('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13))::bigint::double + 1) / {1 << 52}.0 as uniform
+    (('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id as varchar), md5(text), '')), 1, 13))::bigint::double + 1) / {1 << 52}.0 as uniform
   from documents
 ), sources as (
   select place, cast(sum(size) as bigint) as source_size, case (row_number() over (order by place) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from docs group by place
