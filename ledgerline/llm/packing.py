@@ -8,10 +8,13 @@ finds the tightest bin without a conflict; failing that, a bin is opened.
 
 Documents longer than a bin are cut into full pieces, a bin each, and a rest
 that is packed. Documents are dealt by hash into groups of about `group_rows`,
-each packed by one task from ids, sizes and hashes alone; a source or cluster with
-a third of all rows is spread over all groups. Null and empty texts are not
-packed: their bin is null. A null source is a source of its own. Extra columns
-are not read.
+each packed by one task from ids, sizes and hashes alone. A source or cluster with
+a third of all rows is spread over all groups, and so are rows without doc_id and rows
+that repeat one another, by a number that each of them has.
+
+Null and empty texts are not packed: their bin is null. A very long text is cut like any other that is
+longer than a bin. A null source is a source of its own. Rows that repeat one another are copies,
+so no two of them share a bin. An empty table has no pieces. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD, checkpointed, word_count
+from ledgerline.llm.mixing import repeats
 
 CAPACITY, GROUP_ROWS = 2048, 8192
 #: Share of a group's documents from which on a source has an index of its own.
@@ -117,7 +121,8 @@ def pack(items: list[tuple[int | None, int, int, int]], capacity: int) -> list[t
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, cluster: F.Column | None = None) -> DataFrame:
     """doc_id, piece, n_words, bin_id and start (words before it in its bin) of every piece of every row.
 
-    `cluster` tells duplicates; unless given, texts that are equal but for case are.
+    `cluster` tells duplicates, such as a component of near copies; unless given, texts
+    that are equal but for case are.
     """
     text = F.col("text").cast("string")
     cluster = F.xxhash64(F.lower(text)) if cluster is None else cluster
@@ -131,8 +136,9 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, group_rows: int
         columns = [*found[:3], [first + b for b in found[3]], found[4]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "piece", "n_words", "bin_id", "start"])
 
-    group = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).alias("group")
-    pieces = rows.where("size > 0").select(group, "doc_id", "size", "source", "cluster").groupBy("group").applyInArrow(packed, "doc_id long, piece long, n_words long, bin_id long, start long")
+    numbered = repeats(rows.where("size > 0").withColumn("key", F.xxhash64("doc_id", "cluster")), "key", ["size", "source"])
+    group = F.pmod(F.xxhash64("key", "repeat"), F.lit(groups)).alias("group")
+    pieces = numbered.select(group, "doc_id", "size", "source", "cluster").groupBy("group").applyInArrow(packed, "doc_id long, piece long, n_words long, bin_id long, start long")
     none = F.lit(None).cast("long")
     return pieces.union(rows.where("size = 0").select("doc_id", F.lit(0).cast("long"), "size", none, none))
 

@@ -5,8 +5,14 @@ each slot. A versioned map says which shard each slot belongs to: version 1
 deals slots in turn, and every later version is an edit that moves the few slots
 which bring the shards' bytes nearest to one another. A record's slot never changes.
 
-Null texts have no bytes; records without doc_id share a slot, as do repeated
-ids. Extra columns are not read.
+Records that repeat a doc_id, or have none, are hashed by that and their number
+among them, so that they spread like others; the first of them has its doc_id's own slot.
+Sizes are what is evened (the law `bytes`), and documents are dealt one by one: equal texts
+are records of their own and may go to different shards.
+
+Null texts have no bytes, and a size of 1. A record isn't divided, so one very long text can
+outweigh a shard's even share. An empty table has no places, and its map
+stays as it was dealt first. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import checkpointed
+from ledgerline.llm.common import checkpointed, shared_folder
+from ledgerline.llm.mixing import repeats
 
 SLOTS, SHARDS = 4096, 8
 #: Part of a shard's even share by which the fullest and the emptiest may differ.
@@ -59,8 +66,12 @@ def edited(sizes: np.ndarray, shard_of: np.ndarray, shards: int, tolerance: floa
     return shard_of
 
 
-def slot_of(doc_id: F.Column, slots: int = SLOTS) -> F.Column:
-    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(slots)).cast("int")
+def slot_of(doc_id: F.Column, slots: int = SLOTS, repeat: F.Column | None = None) -> F.Column:
+    """The virtual slot of a record; `repeat` is its number among those with its doc_id, 0 for the first."""
+    first = F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(slots)).cast("int")
+    if repeat is None:
+        return first
+    return F.when(repeat == 0, first).otherwise(F.pmod(F.xxhash64(doc_id.cast("long"), repeat), F.lit(slots)).cast("int"))
 
 
 def first_map(spark: SparkSession, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
@@ -98,11 +109,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     a folder of the session's checkpoint folder), and documents placed by what is stored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot")))
+    doc_id = F.col("doc_id").cast("long")
+    rows = checkpointed(docs.select(doc_id.alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.coalesce(doc_id, F.lit(0)).alias("key")))
+    # Rows without doc_id have the key 0, and so have those whose doc_id is 0.
+    rows = checkpointed(repeats(rows, "key", ["doc_id", "text_crc32", "size"]))
+    rows = rows.withColumn("virtual_slot", slot_of(F.col("key"), slots, F.col("repeat")))
     per_slot = checkpointed(rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     spark = docs.sparkSession
-    # checkpointed() has seen to it that there is a shared folder.
-    path = map_path or f"{spark.sparkContext.getCheckpointDir()}/slot-map-{uuid.uuid4().hex}"
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     store_map(first_map(spark, shards, slots), path)
     store_map(rebalanced(stored_map(spark, path), per_slot.select(F.col("virtual_slot").alias("slot"), "bytes"), shards), path)
     slot_map = stored_map(spark, path)
@@ -110,7 +124,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     counted = slot_map.withColumnRenamed("slot", "virtual_slot").join(F.broadcast(per_slot), "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
+    place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("key", "repeat")) - 1
     return rows.withColumn("place", place).join(F.broadcast(starts), "virtual_slot").select(
         "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "virtual_slot", F.col("version").alias("map_version")
     )
@@ -119,9 +133,16 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
     """Write the rows of `docs` as Parquet, a folder for each shard of a version of the map.
 
-    Every task writes what it has of each shard; no shard passes one task.
+    Every task writes what it has of each shard; no shard passes one task. Rows that repeat
+    a doc_id, or have none, are numbered here by where they stand in the table.
     """
     where = slot_map.select(F.col("slot").alias("_slot"), "shard")
     rows = docs.select(F.struct("*").alias("doc"))
-    placed = rows.join(F.broadcast(where), slot_of(F.col("doc.doc_id"), slots) == F.col("_slot"))
+    doc_id = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(0))
+    repeated = checkpointed(docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")).count().where("count > 1").select("_id"))
+    number = F.lit(0).cast("long")
+    if not repeated.isEmpty():
+        rows = rows.join(repeated, doc_id == F.col("_id"), "left")
+        number = F.when(F.col("_id").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
+    placed = rows.select("doc", number.alias("_number")).join(F.broadcast(where), slot_of(doc_id, slots, F.col("_number")) == F.col("_slot"))
     placed.select("doc", "shard").write.partitionBy("shard").parquet(path)
