@@ -47,7 +47,7 @@ def test_order_matters_where_the_set_of_kmers_hardly_changes():
 
 
 def successor_table(rows):
-    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    key = lambda r: (r[0] is None, r[0] or 0)
     ordered = sorted(rows, key=key)
     return [(a, ordered[(i + 1) % len(ordered)]) for i, a in enumerate(ordered)]
 
@@ -79,3 +79,25 @@ def test_odd_tables(make_docs):
     one = edit_likeness(make_docs([(5, "only one document here", "a")])).first()
     assert one["near_next"] == 1.0 and one["n_chars"] == 22
     assert edit_likeness(make_docs([(None, "x", "a"), (None, "y", "a")])).count() == 2
+
+
+def test_many_rows_without_an_id_or_with_one_id(make_docs, monkeypatch):
+    """A third has no doc_id, a third one and the same, in different texts and in one; ranges end within them."""
+    monkeypatch.setattr("ledgerline.llm.fingerprints._OUTPUT_ROWS", 16)
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(60))
+    many = text()
+    rows = [(None, text(), "s") for _ in range(100)] + [(7, text(), "s") for _ in range(100)] + [(7, many, "s")] * 150 + [(None, many, "s")] * 90 + [(100 + i, text(), "s") for i in range(60)]
+    found = edit_likeness(make_docs(rows)).collect()
+    assert len(found) == len(rows)
+    minhash = OrderMinHash()
+    assert sorted((r["doc_id"] or -1, r["fingerprint"]) for r in found) == sorted((i or -1, minhash.signature(t).astype(">u4").tobytes().hex()) for i, t, _ in rows)
+    # A chain: each row has the start of one other row's text at its end, and none twice but for repeats.
+    followers = {}
+    for i, t, _ in rows:
+        for _, other, _ in {(0, o, 0) for _, o, _ in rows}:
+            followers.setdefault((i, hashlib.sha256((t[:45] + other[:15]).encode()).hexdigest()), other)
+    after = [followers[r["doc_id"], r["edited_sha256"]] for r in found]
+    assert sorted(after) == sorted(t for _, t, _ in rows)
+    same = hashlib.sha256((many[:45] + many[:15]).encode()).hexdigest()
+    assert sum(r["edited_sha256"] == same for r in found) == 149 + 89
