@@ -8,13 +8,17 @@ rows come from the other half of the rows, so that the trees don't learn to
 trust words which stand in a training text by chance.
 
 Learning uses a sample of at most about `SAMPLE` labelled rows, drawn by hash
-from the rows with crc32(doc_id as text) mod 5 other than 0. Label, language,
-source and id of a text are never its features.
+from the rows with crc32(doc_id as text) mod 5 other than 0; the lexicon has all terms of it
+that pass the thresholds, so it is bounded by the sample. Label, language,
+source and id of a text are never its features. A fifth of each label's rows, and one at least
+of those that are two or more, calibrate the trees. If a label has a single row, it goes to the trees, and
+scores are their own probabilities, not calibrated.
 
 Null and empty texts have features of 0 and a score like any other. With no
 labelled rows, or rows of one label, the score is the share of that label.
 Repeated rows are scored alike; a null doc_id is scored too and never learnt
-from. Columns of the input stay as they are.
+from. A very long text is held by a task as the numbers of its tokens. An empty table gives an empty
+result. Columns of the input stay as they are.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import checkpointed, slices
 
-#: Labelled rows to learn from, and terms of a lexicon.
-SAMPLE, LEXICON = 20_000, 20_000
+#: Labelled rows to learn from.
+SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
+#: One of so many rows of each label calibrates.
+CALIBRATES = 5
 #: Lengths of the beginnings of words that are terms.
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in so many toxic texts at least; log-odds of a hit, and of a strong one.
@@ -137,8 +143,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     bits = F.xxhash64("text", F.lit("half"))
-    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
-    return checkpointed(once.select("text", "toxic", F.pmod(bits, F.lit(2)).cast("int").alias("half"), (F.pmod(F.shiftright(bits, 8), F.lit(5)) == 0).alias("calibrates")))
+    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("bits", bits)
+    # Of the sample, whose size is bounded: by label in order of hash, the second, seventh and so on.
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("bits", "text"))
+    return checkpointed(once.select("text", "toxic", F.pmod("bits", F.lit(2)).cast("int").alias("half"), (place % CALIBRATES == 2).alias("calibrates")))
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
@@ -165,8 +173,8 @@ def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float
         return F.log((both(1) + 0.5) / (all_(1) + 1)) - F.log((both(0) + 0.5) / (all_(0) + 1))
 
     weighed = counted.select("term", *[odds(h).alias(f"w{i}") for i, h in enumerate(((0,), (1,), (0, 1)))], *[F.col(f"n{h}1").alias(f"t{h}") for h in (0, 1)])
-    # The lexicon's size is fixed: the terms with the most evidence.
-    kept = weighed.where("greatest(w0, w1, w2) >= 1").orderBy(F.desc(F.expr("w2 * (t0 + t1)")), "term").limit(LEXICON).collect()
+    # All that pass: each stands in some of the sample's toxic texts, so their number is bounded by the sample.
+    kept = weighed.where("greatest(w0, w1, w2) >= 1").collect()
     half = lambda i: {r["term"]: r[f"w{i}"] for r in kept if r[f"w{i}"] >= 1 and r[f"t{i}"] >= min(2, LEAST_TEXTS)}
     return half(0), half(1), {r["term"]: r["w2"] for r in kept if r["w2"] >= 1}
 

@@ -1,9 +1,12 @@
+import math
 import random
+import re
 import zlib
 
 import pytest
 
-from ledgerline.llm.toxicity import FEATURES, Tokens, labelled_sample, terms, toxic_documents
+from ledgerline.llm import toxicity
+from ledgerline.llm.toxicity import FEATURES, HIT, NEAR, SECOND_PERSON, STRONG, Tokens, labelled_sample, terms, toxic_documents
 from tests.llm.conftest import odd_rows
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -60,6 +63,63 @@ def test_features():
     assert terms("abcdef") == ["abcdef$", "abcd", "abcde"]
 
 
+def recounted(text, lexicon):
+    """The features by their definitions, token by token, for lexicons of whole words."""
+    tokens = text.split()
+    if not tokens:
+        return [0.0] * len(FEATURES)
+    words = [re.sub(r"^\W+|\W+$", "", t).lower() for t in tokens]
+    weight, found = [], []
+    for token, word in zip(tokens, words, strict=True):
+        w = lexicon.get(word, 0.0)
+        odd = word and re.search(r"[^\W\d_][^\w\s'’-]+[^\W\d_]|[^\W\d_]\d+[^\W\d_]|(.)\1\1", token)
+        forms = [re.sub(r"[\W_]+", "", "".join({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}.get(c, c) for c in word)), re.sub(r"[\W_]+", "", word), re.sub(r"(.)\1\1+", r"\1", word)] if odd else []
+        best = max([lexicon.get(f, 0.0) for f in forms if f != word], default=0.0)
+        hidden = best > max(w, HIT)
+        weight.append(best if hidden else w)
+        found.append((bool(odd), hidden))
+    n, hits, you = len(tokens), [i for i, w in enumerate(weight) if w >= HIT], [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    capitals = sum(t.isupper() and sum(c.isalpha() for c in t) > 2 for t in tokens)
+    near = sum(any(abs(i - j) <= NEAR for j in you) for i in hits)
+    strong, log = sum(w >= STRONG for w in weight), math.log1p
+    return [
+        log(n), log(len(hits)), len(hits) / n, log(strong), strong / n, sum(weight) / n, max(weight), log(len({tokens[i] for i in hits})), near / max(1, len(hits)), len(you) / n, capitals / n,
+        (text.count("!") + text.count("?")) / n, sum(o for o, _ in found) / n, log(sum(h for _, h in found)),
+    ]
+
+
+def test_features_by_recounting():
+    rng = random.Random(4)
+    lexicon = {"idiot": 4.0, "moron": 2.0, "mild": 1.0, "fool": 3.5}
+    tokens = Tokens({f"{w}$": v for w, v in lexicon.items()})
+    pool = ["idiot", "IDIOT!", "id1ot", "i.d.i.o.t", "moron", "m0r0n", "fooool", "foool?", "mild", "You", "your", "plain", "WORDS", "A", "x9y", "don't", "«du»", "!!", "—", "aaa", "Ärger"]
+    for _ in range(300):
+        text = rng.choice([" ", "\n", "  "]).join(rng.choice(pool) for _ in range(rng.randrange(0, 40)))
+        assert tokens.features(text) == pytest.approx(recounted(text, lexicon), abs=1e-6)
+
+
+def test_a_fifth_of_each_label_calibrates(spark, make_docs):
+    rows, labels = corpus(300)
+    few = [(i, q, int(i in (1, 2))) for i, q, t in labels]
+    sample = labelled_sample(make_docs(rows), spark.createDataFrame(few, LABELS)).collect()
+    of = lambda toxic: [r["calibrates"] for r in sample if r["toxic"] == toxic]
+    assert sum(of(1)) == 1 and len(of(1)) == 2 and abs(sum(of(0)) - len(of(0)) / 5) < 1
+
+
+def test_a_label_with_one_row_leaves_scores_as_the_trees_give_them(spark, make_docs):
+    rows, labels = corpus(120)
+    only = next(i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    one = [(i, q, int(i == only)) for i, q, _ in labels]
+    found = toxic_documents(make_docs(rows), spark.createDataFrame(one, LABELS)).collect()
+    assert len(found) == 120 and all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_every_term_that_passes_is_in_the_lexicon(spark):
+    many = " ".join(f"toxicword{i}" for i in range(9000))
+    sample = spark.createDataFrame([(f"{many} end{i}", 1, i % 2) for i in range(6)] + [(f"calm words only {i}", 0, i % 2) for i in range(6)], "text string, toxic int, half int")
+    assert sum(t.startswith("toxicword") and t.endswith("$") for t in toxicity.learn_lexicons(sample)[2]) == 9000
+
+
 def test_odd_tables(spark, make_docs):
     rows = odd_rows()
     none = spark.createDataFrame([], LABELS)
