@@ -4,12 +4,13 @@ Everything here is DataFrame operations. The list's URLs set bits in a Bloom
 filter whose blocks are 64-bit words: one hash picks the word, and six groups of
 another hash's bits pick bits in it. A page that finds all its bits is a possible hit, and
 only possible hits go on to an exact hash join with the list, which takes out
-the false ones. The filter's words are broadcast while their number is bounded,
-and joined by shuffle beyond.
+the false ones. The filter's words, and the list's URLs, are broadcast while they are below a
+bound, and joined by shuffle beyond.
 
 Null URLs, and those without `://`, have an empty host and path: no rule fits
-them and no list holds them. Repeated pages are judged alike. Extra columns are
-not read.
+them and no list holds them. Repeated pages, and those without page_id, are judged alike. Very long
+URLs are judged whole. An empty table gives an empty result, and an empty list blocks nothing. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RULES = [
 ]
 #: Bits of the filter for each listed URL, bits set, and words up to which it is broadcast (16 bytes each).
 BITS_PER_URL, BITS_SET, BROADCAST_WORDS = 16, 6, 1 << 20
+#: Bytes of listed URLs up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
@@ -81,7 +84,8 @@ def bloom_words(listed: DataFrame, words: int) -> DataFrame:
 def filter_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of every page; `listed` (canonical) is what no rule has to block."""
     listed = listed.select("canonical").where("canonical is not null").distinct()
-    words = 1 << max(4, math.ceil(math.log2(max(1, listed.count() * BITS_PER_URL / 64))))
+    count, size = listed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("canonical") + 64), F.lit(0))).first()
+    words = 1 << max(4, math.ceil(math.log2(max(1, count * BITS_PER_URL / 64))))
     bloom = bloom_words(listed, words)
     bloom = F.broadcast(bloom) if words <= BROADCAST_WORDS else bloom
     url = F.col("url").cast("string")
@@ -91,6 +95,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
     probed = judged.withColumn("at", F.when(open_, _word(F.col("canonical"), words)).otherwise(-1 - F.pmod(F.xxhash64("page_id"), F.lit(words))))
     probed = probed.join(bloom, F.col("at") == F.col("word"), "left").withColumn("possible", F.coalesce(open_ & (F.col("bits").bitwiseAND(_bits(F.col("canonical"))) == _bits(F.col("canonical"))), F.lit(False)))
     columns = ["page_id", "host", "path", F.col("found.rule").alias("rule")]
+    if size <= BROADCAST_BYTES:
+        exact = listed.select(F.col("canonical").alias("_listed"))
+        hits = probed.join(F.broadcast(exact), F.when(F.col("possible"), F.col("canonical")) == F.col("_listed"), "left")
+        return hits.select(*columns, F.coalesce("found.verdict", F.when(F.col("_listed").isNotNull(), "block"), F.lit("allow")).alias("verdict"))
+    # Pages are read twice, so that only possible hits are shuffled.
     passed = probed.where("not possible").select(*columns, F.coalesce("found.verdict", F.lit("allow")).alias("verdict"))
     exact = listed.withColumn("listed", F.lit(True))
     hits = probed.where("possible").join(exact, "canonical", "left").select(*columns, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"))

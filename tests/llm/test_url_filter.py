@@ -52,3 +52,20 @@ def test_odd_tables(spark):
     assert filter_urls(pages(spark, ["http://a/b"] * 3), listed(spark, ["x"]).limit(0)).count() == 3
     one = spark.range(1).select(canonical(host_of(F.lit("http://m.a.b/c.htm//")), path_of(F.lit("http://m.a.b/c.htm//"))).alias("c")).first()["c"]
     assert one == "a.b/c.htm"
+
+
+def test_a_list_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    urls = [f"http://h{i % 7}.io/p{i}" for i in range(60)] + [None, "x", "http://a.com/en/9"]
+    bad = listed(spark, [f"h{i % 7}.io/p{i}" for i in range(0, 60, 3)])
+    found = []
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(url_filter, "BROADCAST_WORDS", size)
+        found.append(sorted(map(repr, filter_urls(pages(spark, urls), bad).collect())))
+    assert found[0] == found[1] and sum("'block'" in x for x in found[0]) == 21
+
+
+def test_pages_without_an_id_and_very_long_urls(spark):
+    rows = [(None, "http://bad.io/page"), (None, "http://bad.io/page"), (1, "http://bad.io/" + "x" * 100_000)]
+    found = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), listed(spark, ["bad.io/page"])).collect()
+    assert sorted((r["page_id"] or 0, len(r["path"]), r["verdict"]) for r in found) == [(0, 5, "block"), (0, 5, "block"), (1, 100_001, "allow")]
