@@ -12,8 +12,9 @@ nearly all of the page's text, is a wrapper and isn't. Where a page marks its ar
 borders and text outside of it weighs less.
 
 A null or empty page has an empty text; a page without a surge keeps its longest
-span of whatever length. Repeated pages come out alike. Extra columns are not
-read.
+span of whatever length. Repeated pages come out alike, and pages without page_id or url like
+others. Very long pages, of whatever depth, take time in proportion. An empty table gives an
+empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -261,15 +262,11 @@ def _home(lines: list[_Line], containers: list[_Container], first: int, last: in
     return (home, containers[home].end) if home else (0, 0)
 
 
-def main_text(html: str | None) -> str:
-    """The blocks of the span, between surge and dive, that holds the most text, and what belongs to it; joined by empty lines."""
-    lines, containers = page_lines(html or "")
+def surges(lines: list[_Line]) -> list[tuple[int, int]]:
+    """First and last lines of the spans between surge and dive; there is one where any line has a length."""
     lengths = [x.length for x in lines]
-    if not any(lengths):
-        # All text is links; those of an article are all that there is of it.
-        return "\n\n".join(x.words for x in lines if x.article and not x.marked)
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    least = SURGE if max(sums) > SURGE else 0
+    least = SURGE if max(sums, default=0) > SURGE else 0
     spans, begin, last = [], None, 0
     for i, n in enumerate(lengths):
         if begin is not None and lines[i].article != lines[begin].article:
@@ -285,6 +282,17 @@ def main_text(html: str | None) -> str:
             begin = None
     if begin is not None:
         spans.append((begin, last))
+    return spans
+
+
+def main_text(html: str | None) -> str:
+    """The blocks of the span, between surge and dive, that holds the most text, and what belongs to it; joined by empty lines."""
+    lines, containers = page_lines(html or "")
+    lengths = [x.length for x in lines]
+    if not any(lengths):
+        # All text is links; those of an article are all that there is of it.
+        return "\n\n".join(x.words for x in lines if x.article and not x.marked)
+    spans = surges(lines)
     outside = OUTSIDE if any(x.article and x.length for x in lines) else 1
     first, last = max(spans, key=lambda s: sum(lengths[s[0] : s[1] + 1]) * (1 if lines[s[0]].article else outside))
     article = lines[first].article

@@ -139,3 +139,14 @@ def test_noise_of_much_text_stays_noise():
 
 def test_deep_marked_containers_take_no_longer():
     assert main_text("<div class='ad'>" * 50_000 + f"<article>{P1}") == P1
+
+
+def test_the_window_decides_every_page(spark, sf_dir, monkeypatch):
+    """Each page has a surge, and where the window's spans are others, so is the text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert all(html_text.surges(html_text.page_lines(p)[0]) for p in pages)
+    texts = [main_text(p) for p in pages]
+    line = lambda lines: next(i for i, x in enumerate(lines) if x.length and not x.article)
+    monkeypatch.setattr(html_text, "surges", lambda lines: [(line(lines), line(lines))])
+    moved = [main_text(f"<div><p>{P1}</p></div>{p}") for p in pages]
+    assert len(pages) > 0 and not any(a == b for a, b in zip(texts, moved, strict=True))

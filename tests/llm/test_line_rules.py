@@ -58,3 +58,20 @@ def test_odd_tables(make_docs):
     assert line_frequency_rules(make_docs([])).count() == 0
     same = make_docs([(8, page(8, "x"), None)] * 2)
     assert [r["text"] for r in without_lines(same).collect()] == [page(8, "x")] * 2
+
+
+def test_very_common_lines_and_others_are_told_alike(make_docs, monkeypatch):
+    """With all lines taken for very common, none, and some."""
+    rows = [(i, "\n".join(["a line of all of them", f"a line of every third {i % 3}", " ".join(f"w{i}x{j}" for j in range(60))]), "h") for i in range(90)]
+    found = []
+    for parts in (1, 50, 10**9):
+        monkeypatch.setattr(line_rules, "HOT_LINES", parts)
+        found.append(sorted((r["doc_id"], r["kept"], r["n_left_words"]) for r in line_frequency_rules(make_docs(rows)).collect()))
+    assert found[0] == found[1] == found[2] == [(i, True, 60) for i in range(90)]
+
+
+def test_one_text_in_two_hosts_is_cleaned_by_its_own_host(make_docs):
+    banner = "the banner of one host alone"
+    rows = [(i, page(i, banner), "h") for i in range(25)] + [(3, page(3, banner), "other")]
+    found = sorted((r["source"], r["text"].startswith(banner)) for r in without_lines(make_docs(rows)).collect() if r["doc_id"] == 3)
+    assert found == [("h", False), ("other", True)]

@@ -90,3 +90,33 @@ def test_odd_tables(make_docs):
     assert mix_sources(make_docs([])).count() == 0 and repeated(make_docs([])).count() == 0
     assert mix_sources(make_docs([(1, None, None), (2, "", "a")])).count() == 2
     assert repeated(make_docs(rows)).columns == make_docs(rows).columns
+
+
+def test_repeated_rows_keep_to_the_budget(make_docs, monkeypatch):
+    """Rows of one id and text, in one source and in two: what is written is what the mix takes, and near the target."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 7)
+    rows = [(1, "w " * 25, "a")] * 300 + [(2, "w " * 30, "b"), (2, "w " * 30, "a"), (None, "w " * 20, "a"), (None, "w " * 20, "a")] + [(10 + i, "w " * 50, "b") for i in range(200)] + [(300 + i, "w " * 10, "c") for i in range(500)]
+    docs = make_docs(rows, clashing=True)
+    taken, target = {}, {}
+    for r in mix_sources(docs, cut=False).collect():
+        taken[r["place"]] = taken.get(r["place"], 0) + r["taken"]
+        target[r["place"]] = r["target"]
+    out = repeated(docs)
+    assert out.columns == docs.columns
+    written = {}
+    for r in out.collect():
+        place = "0" + r["source"]
+        written[place] = written.get(place, 0) + len(r["text"].split())
+    assert written == taken
+    assert all(abs(taken[p] - target[p]) <= 25.5 for p in target), (taken, target)
+
+
+def test_a_third_of_all_rows_is_one_row(make_docs):
+    rows = [(5, "the same row " * 10, "a")] * 200 + some_docs()[:400]
+    found = mix_sources(make_docs(rows)).collect()
+    assert len(found) == 600
+    by = {}
+    for r in found:
+        by.setdefault(r["place"], []).append(r)
+    for held in by.values():
+        assert 0 <= held[0]["target"] - sum(r["taken"] for r in held) < 1

@@ -79,3 +79,19 @@ def test_odd_tables(make_docs):
     assert sum(r["n_words"] for r in pieces) == sum(len((t or "").split(None)) for _, t, _ in rows)
     assert sum(r["bin_id"] is None for r in pieces) == sum(not (t or "").split() for _, t, _ in rows)
     assert best_fit_packing(make_docs([])).count() == 0
+
+
+def test_rows_without_an_id_and_repeated_rows_are_spread_over_the_groups(make_docs):
+    rows = [(None, "one and the same text", f"s{i % 3}") for i in range(400)] + [(7, "another text that is the same", "t")] * 400 + [(100 + i, f"text of its own {i}", "u") for i in range(400)]
+    pieces = best_fit_packing(make_docs(rows, clashing=True), capacity=64, group_rows=100).collect()
+    assert len(pieces) == 1200
+    groups = {}
+    for r in pieces:
+        groups[r["bin_id"] >> 32] = groups.get(r["bin_id"] >> 32, 0) + 1
+    assert len(groups) == 12 and max(groups.values()) < 200
+    held = {}
+    for r in pieces:
+        held.setdefault(r["bin_id"], []).append(r["doc_id"])
+    assert all(x.count(7) < 2 and x.count(None) < 2 for x in held.values())
+    again = best_fit_packing(make_docs(rows).repartition(5), capacity=64, group_rows=100).collect()
+    assert sorted((r["bin_id"], r["start"], r["n_words"]) for r in again) == sorted((r["bin_id"], r["start"], r["n_words"]) for r in pieces)

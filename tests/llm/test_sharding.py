@@ -80,3 +80,37 @@ def test_odd_tables(make_docs):
     assert len(found) == len(rows)
     assert {r["size"] for r in found if r["doc_id"] in (1, 2)} == {1} and {r["text_crc32"] for r in found if r["doc_id"] == 1} == {0}
     assert shard_documents(make_docs([])).count() == 0
+
+
+def brute(rows, slot_shard, slots):
+    """Contract columns of (doc_id, text) rows by a plain map from slot to shard, slots being those of the records."""
+    found = []
+    for (i, text), slot in zip(rows, slots, strict=True):
+        data = (text or "").encode()
+        found.append((-1 if i is None else i, len(data) + 1, zlib.crc32(data), slot_shard[slot]))
+    return sorted(found)
+
+
+def test_contract_columns_by_brute_force(make_docs):
+    """A third of the rows has no doc_id, a third one and the same; sizes are even all the same."""
+    rng = random.Random(6)
+    text = lambda: "é" * rng.randrange(0, 400)
+    rows = [(None, text()) for _ in range(700)] + [(5, "the same row again and again " * 9)] * 700 + [(100 + i, text()) for i in range(700)] + [(9, None), (10, "")]
+    found = shard_documents(make_docs([(i, t, "s") for i, t in rows], clashing=True)).collect()
+    sizes = np.zeros(4096)
+    for r in found:
+        sizes[r["virtual_slot"]] += r["size"]
+    by_map = edited(sizes, np.arange(4096) % 8, 8)
+    assert all(by_map[r["virtual_slot"]] == r["shard"] for r in found)
+    # Records are told apart by id, size and crc; rows that are alike may stand for one another.
+    keyed = lambda i, size, crc: (-1 if i is None else i, size, crc)
+    slots = {}
+    for r in found:
+        slots.setdefault(keyed(r["doc_id"], r["size"], r["text_crc32"]), []).append(r["virtual_slot"])
+    dealt = [slots[keyed(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))].pop() for i, t in rows]
+    assert brute(rows, by_map, dealt) == sorted((*keyed(r["doc_id"], r["size"], r["text_crc32"]), r["shard"]) for r in found)
+    load = np.bincount([r["shard"] for r in found], [r["size"] for r in found], 8)
+    assert np.ptp(load) < 0.01 * load.mean()
+    for shard in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+    assert max(np.bincount([r["virtual_slot"] for r in found], minlength=4096)) < 12
