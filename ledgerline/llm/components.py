@@ -11,15 +11,20 @@ from ledgerline.llm.common import checkpointed
 MOST_ROUNDS = 60
 #: A node with more than this part of all edges is a hub; there are fewer than `HUBS`.
 HUBS = 1024
+#: Edges up to which the minima of all nodes are broadcast (16 bytes each).
+BROADCAST_EDGES = 1 << 18
 
 
 def _with_least(edges: DataFrame, key: str, other: str, total: int) -> DataFrame:
     """`edges` with the least `other` end of those that share `key`.
 
-    Minima are combined before their shuffle. Those of hubs are broadcast, fewer than
-    `HUBS` rows, so that a hub's edges stay where they are; the others' are joined.
+    Minima are combined before their shuffle. Those of a small graph are broadcast, and
+    of a large one those of hubs, fewer than `HUBS` rows, so that a hub's edges stay
+    where they are; the others' are joined.
     """
     least = edges.groupBy(key).agg(F.min(other).alias("least"), F.count("*").alias("n"))
+    if total <= BROADCAST_EDGES:
+        return edges.select("a", "b").join(F.broadcast(least.select(key, "least")), key).select("a", "b", "least")
     hub = F.col("n") * HUBS > total
     hubs = least.where(hub).select(F.col(key).alias("hub"), F.col("least").alias("of_hub"))
     marked = edges.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left")
@@ -30,8 +35,8 @@ def _with_least(edges: DataFrame, key: str, other: str, total: int) -> DataFrame
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _with_least(both, "a", "b", 2 * total).where("b > a")
-    return least.select(F.least("a", "least").alias("a"), "b").where("a <> b")
+    joined = _with_least(both, "a", "b", 2 * total).where("b > a")
+    return joined.select(F.least("a", "least").alias("a"), "b").where("a <> b")
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
@@ -51,8 +56,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     total, before = stars.count(), None
     for _ in range(MOST_ROUNDS):
         # Stars are the fixed point: every node has one link, to a node without one.
-        large = checkpointed(_large_star(stars, total).distinct())
-        stars = checkpointed(_small_star(large, total).distinct())
+        stars = checkpointed(_small_star(_large_star(stars, total).distinct(), total).distinct())
         state = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
         if state == before:
             return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -62,7 +62,7 @@ def test_odd_tables(make_docs):
 
 def test_very_common_lines_and_others_are_told_alike(make_docs, monkeypatch):
     """With all lines taken for very common, none, and some."""
-    rows = [(i, "\n".join(["a line of all of them", f"a line of every third {i % 3}", " ".join(f"w{i}x{j}" for j in range(60))]), "h") for i in range(90)]
+    rows = [(i, "\n".join(["a line of all of them", "a line of every third " + "abc"[i % 3], " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}w{j}" for j in range(60))]), "h") for i in range(90)]
     found = []
     for parts in (1, 50, 10**9):
         monkeypatch.setattr(line_rules, "HOT_LINES", parts)

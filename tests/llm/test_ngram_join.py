@@ -133,7 +133,9 @@ def test_one_row_of_each_group_stays(make_docs):
     assert one_of_each(make_docs([])).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("broadcast", [1 << 18, 0])
+def test_components(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("ledgerline.llm.components.BROADCAST_EDGES", broadcast)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(500, 500), (None, 3), (7, 41)] + [(rng.randrange(1000, 1040), rng.randrange(1000, 1040)) for _ in range(25)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
