@@ -19,7 +19,7 @@ reaches a threshold. The join is exact and works in four steps.
 3. Sets that meet under a key are put in one block (stars to the least set of
    the key, then connected components), never expanded into pairs.
 4. In each block the inverted lists of single shingles are scanned for each set, and overlaps
-   counted exactly. Blocks beyond a fixed size are cut into chunks, and every pair
+   counted exactly. Blocks beyond a fixed size, or number of sets, are cut into chunks, and every pair
    of chunks is a task of its own, so no block needs one task. A text goes to
    as many tasks as its block has chunks; what that costs is less than the
    counting, which looks at all pairs of a block's different sets, for their links are asked for.
@@ -56,8 +56,8 @@ LIGHT_SHARE = 0.25
 COUNTED_SHINGLES, FREQUENT_SHARE, FREQUENT_LEAST = 1 << 21, 0.001, 8
 #: Frequent shingles that are broadcast at most (8 bytes each). Which they are changes the cost, never the result.
 FREQUENT = 1 << 20
-#: Shingles that a task takes in one block, and in all blocks that it takes together.
-BLOCK_SHINGLES, UNIT_SHINGLES = 1 << 20, 1 << 19
+#: Shingles, and sets, that a task takes in one block or chunk, and shingles in all blocks that it takes together.
+BLOCK_SHINGLES, BLOCK_SETS, UNIT_SHINGLES = 1 << 20, 1 << 8, 1 << 19
 #: Bytes of text that are worked on together in a task.
 CHUNK_BYTES = 2 << 20
 #: Rows of signatures in a reducing task.
@@ -471,7 +471,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     blocks = connected_components(candidate_edges(docs, width, percent, bounds, light, frequent_shingles(counted), tasks)).withColumnRenamed("node", "h1")
     members = checkpointed(classes.join(blocks.withColumnRenamed("component", "block"), "h1"))
-    totals = members.groupBy("block").agg(F.sum("n_shingles").alias("total")).withColumn("chunks", F.ceil(F.col("total") / BLOCK_SHINGLES))
+    totals = members.groupBy("block").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("sets"))
+    totals = totals.withColumn("chunks", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS)))
     units = max(4 * shuffle_partitions(spark), math.ceil((totals.where("chunks = 1").agg(F.sum("total")).first()[0] or 0) / UNIT_SHINGLES))
     dealt = members.join(totals, "block").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
     row = ["t1", "t2", "node", "copies", "block"]
