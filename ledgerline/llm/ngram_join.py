@@ -445,19 +445,29 @@ def flagged(docs: DataFrame, rows: DataFrame) -> DataFrame:
 _BEYOND, _NODE = 1 << 63, "decimal(20,0)"
 
 
-def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
     """doc_id, t1, t2 (hashes of the text), n_shingles, component_id, class_id, n_links, node and component of every row, and whether it is the row that stands for its component.
 
     A node is a class of rows with equal sets; a component of nodes tells rows
     apart that have no doc_id too. The row that stands for a component is the first by
     doc_id, then text, of the class that the component is named for; rows that repeat it do too.
+
+    Rows that share a doc_id are one document with `by_id`, and unite their links; without, only texts
+    count, and a class whose first doc_id has other texts too is named like one without.
     """
     spark = docs.sparkSession
     counted = checkpointed(shingle_sets(docs, width))
     sets = counted.where("not frequent").drop("frequent")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
-    node = F.when(F.col("first.no_id"), F.col("h1").cast(_NODE) + F.lit(str(2 * _BEYOND)).cast(_NODE)).otherwise(F.col("first.doc_id")).cast(_NODE)
+    beyond = F.col("h1").cast(_NODE) + F.lit(str(2 * _BEYOND)).cast(_NODE)
+    node = F.when(F.col("first.no_id"), beyond).otherwise(F.col("first.doc_id")).cast(_NODE)
     classes = sets.where("n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(first, F.count("*").alias("copies"))
+    known = sets.where("n_shingles > 0 and doc_id is not null")
+    several = checkpointed(known.groupBy("doc_id").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("doc_id"))
+    united = not several.isEmpty()
+    if united and not by_id:
+        classes = classes.join(several.select(F.col("doc_id").alias("shared")), F.col("first.doc_id") == F.col("shared"), "left")
+        node = F.when(F.col("shared").isNull(), node).otherwise(beyond).cast(_NODE)
     classes = checkpointed(classes.select("n_shingles", "h1", "h2", "copies", "first.doc_id", "first.t1", "first.t2", node.alias("node")))
     largest = classes.agg(F.max("n_shingles")).first()[0] or 0
     bounds = class_bounds(largest, percent)
@@ -491,10 +501,8 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     found = checkpointed(texts.join(work, ["t1", "t2"]).groupBy("unit", "i", "j").applyInArrow(linked, f"a {_NODE}, b {_NODE}, links long"))
     edges = found.where("b is not null").select("a", "b")
-    # Documents whose rows have different sets: their classes are one node.
-    known = sets.where("n_shingles > 0 and doc_id is not null")
-    several = checkpointed(known.groupBy("doc_id").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("doc_id"))
-    if not several.isEmpty():
+    if united and by_id:
+        # Documents whose rows have different sets: their classes are one node.
         named = known.join(several, "doc_id").join(classes.select("n_shingles", "h1", "h2", "node"), ["n_shingles", "h1", "h2"])
         edges = edges.union(named.select("node", F.col("doc_id").cast(_NODE)))
     components = connected_components(edges)
@@ -523,11 +531,11 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each component: that which stands for it. Rows without words stay.
+    """`docs` with one row of each component of texts: that which stands for it. Rows without words stay.
 
-    Only rows that a filter flags are shuffled for the exact test.
+    A row goes only as a near copy of another text, not for its doc_id. Only rows that a filter flags are shuffled for the exact test.
     """
-    found = checkpointed(near_copies(docs, width, percent).where("n_shingles > 0").select("doc_id", "t1", "t2", "stands"))
+    found = checkpointed(near_copies(docs, width, percent, by_id=False).where("n_shingles > 0").select("doc_id", "t1", "t2", "stands"))
     marks = found.groupBy("doc_id", "t1", "t2").agg(F.max("stands").alias("stands"), F.count("*").alias("rows")).where("not stands or rows > 1")
     marks = checkpointed(marks.select(F.col("doc_id").alias("_doc_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "stands"))
     probed = flagged(docs, marks.select(F.col("_doc_id").alias("doc_id"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2")))

@@ -131,6 +131,11 @@ def test_one_row_of_each_group_stays(make_docs):
     assert found.columns == docs.columns
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in found.collect()) == sorted([(10, near[0][1]), (0, ""), (0, ""), (7, ""), (50, "a text of its own"), (0, "without id and " + text[::-1])])
     assert one_of_each(make_docs([])).count() == 0
+    # Ids with other texts too: what is no copy stays, and of what is, one.
+    other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "xy")
+    rows = [(3, text, "s"), (5, text, "s"), (5, other, "s"), (6, third, "s"), (6, third + " end", "s"), (6, other + " end", "s")]
+    kept = [r["text"] for r in one_of_each(make_docs(rows)).collect()]
+    assert len(kept) == 3 and [sum(t.startswith(x) for t in kept) for x in ("w0", "x0", "y0")] == [1, 1, 1]
 
 
 @pytest.mark.parametrize("broadcast", [1 << 18, 0])
