@@ -46,7 +46,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies stays: that with the least doc_id.
 
     Rows without doc_id, and rows that repeat one another, are copies like
-    any other. Documents without text or words have no copies and stay.
+    any other; rows of one doc_id with different texts are not. Documents without text or words have
+    no copies and stay.
     """
     return one_of_each(docs, NEAR_WIDTH, NEAR_PERCENT)
 
