@@ -10,8 +10,8 @@ trust words which stand in a training text by chance.
 Learning uses a sample of at most about `SAMPLE` labelled rows, drawn by hash
 from the rows with crc32(doc_id as text) mod 5 other than 0; the lexicon has all terms of it
 that pass the thresholds, so it is bounded by the sample. Label, language,
-source and id of a text are never its features. A fifth of each label's rows, and one at least
-of those that are two or more, calibrate the trees. If a label has a single row, it goes to the trees, and
+source and id of a text are never its features. A fifth of the rows, and one at least
+of each label that has two or more, calibrate the trees. If a label has a single row, it goes to the trees, and
 scores are their own probabilities, not calibrated.
 
 Null and empty texts have features of 0 and a score like any other. With no
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +41,7 @@ from ledgerline.llm.common import checkpointed, slices
 #: Labelled rows to learn from.
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
-#: One of so many rows of each label calibrates.
+#: One of so many rows calibrates.
 CALIBRATES = 5
 #: Lengths of the beginnings of words that are terms.
 PREFIXES = (4, 5, 6, 7)
@@ -144,9 +144,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     bits = F.xxhash64("text", F.lit("half"))
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("bits", bits)
-    # Of the sample, whose size is bounded: by label in order of hash, the second, seventh and so on.
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy("bits", "text"))
-    return checkpointed(once.select("text", "toxic", F.pmod("bits", F.lit(2)).cast("int").alias("half"), (place % CALIBRATES == 2).alias("calibrates")))
+    drawn = checkpointed(once.select("text", "toxic", "bits", F.pmod("bits", F.lit(2)).cast("int").alias("half")))
+    fifth = F.pmod(F.shiftright("bits", 8), F.lit(CALIBRATES)) == 0
+    # Of each label one row at least goes to the trees, and one calibrates if there are two.
+    calibrates = fifth
+    for r in drawn.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(fifth.cast("int")).alias("held"), F.min("bits").alias("least"), F.max("bits").alias("most")).collect():
+        here = F.col("toxic") == r["toxic"]
+        if r["held"] == r["n"]:
+            calibrates = F.when(here & (F.col("bits") == r["least"]), False).otherwise(calibrates)
+        elif r["held"] == 0 and r["n"] > 1:
+            calibrates = F.when(here & (F.col("bits") == r["most"]), True).otherwise(calibrates)
+    return drawn.select("text", "toxic", "half", calibrates.alias("calibrates"))
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
