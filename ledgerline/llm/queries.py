@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat_format, html_text, line_rules, mixing, ngram_join, packing, sharding, toxicity, url_filter
+from ledgerline.llm import chat_format, hnsw, html_text, line_rules, mixing, ngram_join, packing, prefix_trie, sharding, toxicity, turn_repair, url_filter
 from ledgerline.llm.common import table
 from ledgerline.llm.fingerprints import edit_likeness
 
@@ -54,6 +54,18 @@ def op10_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_digests(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_line_frequency": op2_line_frequency,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_blocks": op8_line_blocks,
     "op9_virtual_slots": op9_virtual_slots,
     "op10_toxicity_trees": op10_toxicity_trees,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_hnsw": op13_hnsw,
 }
 
 ORACLE_SQL: dict[str, str] = {
