@@ -39,6 +39,8 @@ NEAREST = 20
 KEPT = NEAREST + 1
 #: Links of a node on upper levels (twice as many on the lowest), points that a walk keeps while building and while searching.
 LINKS, WIDTH_BUILD, WIDTH_SEARCH = 16, 96, 256
+#: Results are spread evenly over shards, for vectors are dealt by hash: each of many shards has a few of them, which narrower walks find, of this width at least.
+WIDTH_LEAST = 96
 #: Points whose links a walk follows in one step, and points that walk together.
 AT_ONCE, TOGETHER = 6, 512
 EVERY = 20
@@ -299,10 +301,11 @@ def _best_of_shard(row: dict, queries: pa.Table, nearest: int, width: int) -> pa
     return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["_q", "query_id", "vec_id", "score"])
 
 
-def search_index(index: DataFrame, shards: int, queries: DataFrame, nearest: int = NEAREST, width: int = WIDTH_SEARCH) -> DataFrame:
+def search_index(index: DataFrame, shards: int, queries: DataFrame, nearest: int = NEAREST, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the `nearest` of each row of `queries` (vec_id, embedding); that row itself is no candidate. At most `NEAREST`."""
     if nearest > NEAREST:
         raise ValueError(f"the index keeps ids for {NEAREST} results")
+    width = width or max(WIDTH_LEAST, math.ceil(WIDTH_SEARCH / math.sqrt(shards)))
 
     def search(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
