@@ -10,9 +10,10 @@ trust words which stand in a training text by chance.
 Learning uses a sample of at most about `SAMPLE` labelled rows, drawn by hash
 from the rows with crc32(doc_id as text) mod 5 other than 0; the lexicon has all terms of it
 that pass the thresholds, so it is bounded by the sample. Label, language,
-source and id of a text are never its features. A fifth of the rows, and one at least
-of each label that has two or more, calibrate the trees. If a label has a single row, it goes to the trees, and
-scores are their own probabilities, not calibrated.
+source and id of a text are never its features. Of each label's rows, in order of a hash, the second of every five
+calibrates the trees. Steps of an isotonic curve that stand on a few rows are worse than none: where a label has fewer than
+`LEAST_CALIBRATING` such rows, all go to the trees, and scores are the trees' own probabilities.
+Rows are put in order before the trees see them, so that scores don't depend on the input's partitions.
 
 Null and empty texts have features of 0 and a score like any other. With no
 labelled rows, or rows of one label, the score is the share of that label.
@@ -37,12 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import checkpointed, slices
+from ledgerline.llm.mixing import running_total
 
 #: Labelled rows to learn from.
 SAMPLE = 20_000
 FOLDS, HELD_OUT = 5, 0
-#: One of so many rows calibrates.
-CALIBRATES = 5
+#: One of so many rows calibrates; of either label there have to be so many that do.
+CALIBRATES, LEAST_CALIBRATING = 5, 30
 #: Lengths of the beginnings of words that are terms.
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in so many toxic texts at least; log-odds of a hit, and of a strong one.
@@ -135,26 +137,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, toxic, half, calibrates) of at most about `most` labelled rows with distinct texts, written to the checkpoint folder."""
+    """(text, toxic, half, bits, calibrates) of at most about `most` labelled rows with distinct texts, written to the checkpoint folder."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20))
     drawn = known.where(draw < int((1 << 20) * min(1.0, 0.95 * most / max(1, known.count()))))
     # As many rows as the sample has at most, so their broadcast is bounded.
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    bits = F.xxhash64("text", F.lit("half"))
-    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("bits", bits)
-    drawn = checkpointed(once.select("text", "toxic", "bits", F.pmod("bits", F.lit(2)).cast("int").alias("half")))
-    fifth = F.pmod(F.shiftright("bits", 8), F.lit(CALIBRATES)) == 0
-    # Of each label one row at least goes to the trees, and one calibrates if there are two.
-    calibrates = fifth
-    for r in drawn.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(fifth.cast("int")).alias("held"), F.min("bits").alias("least"), F.max("bits").alias("most")).collect():
-        here = F.col("toxic") == r["toxic"]
-        if r["held"] == r["n"]:
-            calibrates = F.when(here & (F.col("bits") == r["least"]), False).otherwise(calibrates)
-        elif r["held"] == 0 and r["n"] > 1:
-            calibrates = F.when(here & (F.col("bits") == r["most"]), True).otherwise(calibrates)
-    return drawn.select("text", "toxic", "half", calibrates.alias("calibrates"))
+    once = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumns({"bits": F.xxhash64("text", F.lit("half")), "one": F.lit(1)})
+    drawn = checkpointed(once.withColumn("half", F.pmod("bits", F.lit(2)).cast("int")))
+    placed = running_total(drawn.select("toxic", "bits", "one"), ["toxic"], ["bits"], ["one"])
+    # Texts whose 64 bits agree have one place, and so one part; no row is lost or doubled.
+    placed = placed.groupBy("toxic", "bits").agg((F.min("before_one") % CALIBRATES == 1).alias("calibrates"))
+    return drawn.join(placed, ["toxic", "bits"]).select("text", "toxic", "half", "bits", "calibrates")
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
@@ -214,7 +209,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         return whole.select("doc", F.lit(float(rate or 0)).alias("score"))
     *halves, full = learn_lexicons(rows)
     training = rows.select(F.struct("*").alias("doc"), (1 - F.col("half")).alias("lexicon"))
-    learn = checkpointed(_with_features(training, halves).select(F.col("doc.toxic").cast("double").alias("toxic"), "doc.calibrates", "vector").coalesce(4))
+    enough = rows.where("calibrates").agg(F.least(F.sum("toxic"), F.sum(1 - F.col("toxic")))).first()[0] or 0
+    calibrates = F.col("doc.calibrates") & F.lit(enough >= LEAST_CALIBRATING)
+    featured = _with_features(training, halves).select(F.col("doc.toxic").cast("double").alias("toxic"), calibrates.alias("calibrates"), "doc.bits", "doc.text", "vector")
+    # As many rows as the sample has, each of a few numbers, in one order whatever the partitions are.
+    learn = checkpointed(featured.withColumn("tie", F.xxhash64("text")).drop("text").repartition(1).sortWithinPartitions("bits", "tie").select("toxic", "calibrates", "vector"))
     trees = GBTClassifier(featuresCol="vector", labelCol="toxic", predictionCol="prediction", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1)
     model = trees.setRawPredictionCol("raw").setProbabilityCol("probability").fit(learn.where("not calibrates"))
 
@@ -223,7 +222,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     calibration = with_probability(learn.where("calibrates")).select("toxic", "p")
     isotonic = None
-    if calibration.agg(F.countDistinct("toxic")).first()[0] == 2:
+    if enough >= LEAST_CALIBRATING:
         isotonic = IsotonicRegression(featuresCol="p", labelCol="toxic", predictionCol="calibrated").fit(calibration)
     scored = with_probability(_with_features(whole, [full]))
     scored = isotonic.transform(scored) if isotonic else scored.withColumn("calibrated", F.col("p"))

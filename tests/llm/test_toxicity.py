@@ -103,7 +103,7 @@ def test_a_fifth_of_each_label_calibrates(spark, make_docs):
     few = [(i, q, int(i in (1, 2))) for i, q, t in labels]
     sample = labelled_sample(make_docs(rows), spark.createDataFrame(few, LABELS)).collect()
     of = lambda toxic: [r["calibrates"] for r in sample if r["toxic"] == toxic]
-    assert sum(of(1)) == 1 and len(of(1)) == 2 and abs(sum(of(0)) - len(of(0)) / 5) < len(of(0)) / 10
+    assert sum(of(1)) == 1 and len(of(1)) == 2 and abs(sum(of(0)) - len(of(0)) / 5) < 1
 
 
 def test_a_label_with_one_row_leaves_scores_as_the_trees_give_them(spark, make_docs):
@@ -114,6 +114,22 @@ def test_a_label_with_one_row_leaves_scores_as_the_trees_give_them(spark, make_d
     assert len(found) == 120 and all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_labels_with_few_rows_to_calibrate_stay_accurate(spark, make_docs):
+    """Of one label 15 rows, three of which would calibrate."""
+    rows, labels = corpus(400)
+    known = [i for i, _, _ in labels if i % 3 == 0 and zlib.crc32(str(i).encode()) % 5][:15]
+    few = [x for x in labels if x[2] == 0 or x[0] in known]
+    found = toxic_documents(make_docs(rows), spark.createDataFrame(few, LABELS)).collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 3 == 0) for r in found) >= 0.95 * len(found)
+    assert sum(r["predicted"] for r in found if r["doc_id"] % 3) <= 2
+
+
+def test_scores_do_not_depend_on_partitions(spark, make_docs):
+    rows, labels = corpus(300)
+    scores = [{r["doc_id"]: r["score"] for r in toxic_documents(make_docs(rows).repartition(n), spark.createDataFrame(labels, LABELS).repartition(n)).collect()} for n in (1, 7)]
+    assert scores[0] == scores[1]
+
+
 def test_every_term_that_passes_is_in_the_lexicon(spark):
     many = " ".join(f"toxicword{i}" for i in range(9000))
     sample = spark.createDataFrame([(f"{many} end{i}", 1, i % 2) for i in range(6)] + [(f"calm words only {i}", 0, i % 2) for i in range(6)], "text string, toxic int, half int")
