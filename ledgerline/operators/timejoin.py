@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.sources.shared import checkpointed
+
 
 def _seconds(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
@@ -97,6 +99,36 @@ def mutual_nearest(left: DataFrame, right: DataFrame, key: str, seconds: int = 8
     return of_left.join(of_right, ["left_id", "right_id"])
 
 
+def stable_assignment(left: DataFrame, right: DataFrame, key: str, within: int | None = None, seconds: int = 86_400) -> DataFrame:
+    """(left_id, right_id, apart): rows of equal key paired off so that no two that aren't partners are nearer to each other than each is to its own.
+
+    Rounds of deferred acceptance: rows ask for the nearest that is free, and those who ask for one another
+    are settled; the others ask again among what is left, until nobody has anyone to ask. The
+    pair that is nearest of all (ties by left, then right id) settles in every round, so rounds come to an end, and what is
+    settled never has to be undone, for either side goes by the same distance. Partners are at most
+    `within` seconds apart, if that is given. Ids tell a side's rows apart.
+
+    No round makes the pairs of a key: see nearest_join. Each leaves fewer rows, written to the checkpoint folder.
+    """
+    free_left, free_right, settled = left.select(key, "id", "ts"), right.select(key, "id", "ts"), None
+    near = F.lit(True) if within is None else F.col("apart") <= within * 1_000_000
+    while True:
+        of_left = checkpointed(nearest_join(free_left, free_right, key, seconds).where(near))
+        of_right = checkpointed(nearest_join(free_right, free_left, key, seconds).where(near).select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
+        pairs = checkpointed(of_left.join(of_right, ["left_id", "right_id"]))
+        settled = pairs if settled is None else settled.union(pairs)
+        if pairs.isEmpty():
+            return settled
+        # Who has found nobody to ask never will: what is free only becomes less.
+        free_left = checkpointed(_still_free(free_left, of_left, pairs, "left_id"))
+        free_right = checkpointed(_still_free(free_right, of_right, pairs, "right_id"))
+
+
+def _still_free(side: DataFrame, asking: DataFrame, settled: DataFrame, id_: str) -> DataFrame:
+    waits = asking.select(id_).join(settled.select(id_), id_, "left_anti").withColumnRenamed(id_, "id")
+    return side.join(waits, "id", "left_semi")
+
+
 def mutual_best(pairs: DataFrame, distance: str) -> DataFrame:
     """Of candidate pairs (left_id, right_id, distance), those in which each is the other's nearest; ties by id.
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions import canonical, scalars, vectorised
+from ledgerline.functions import canonical, hashtree, scalars, vectorised
 from ledgerline.operators import reconcile as rec
 from ledgerline.operators import summary, timejoin
 from ledgerline.plans import evaluation
 from ledgerline.sources import connector, ingest, profiles
+from ledgerline.sources.shared import checkpointed
 from ledgerline.sources.store import EvaluationStore
 from ledgerline.sources.tables import MONEY, left_records, money, order_records, right_evidence, table
 from ledgerline.streaming import stream
@@ -151,6 +152,17 @@ def mutual_best_assignment(spark, sf_dir):
     return timejoin.mutual_nearest(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id")
 
 
+@query(f"""with recursive p as ({_P}), e as ({_E}), asking(round, left_id, right_id, apart, mutual) as (
+  select 0, p.id, e.id, abs(epoch_us(e.ts) - epoch_us(p.ts)), false from p join e using (user_id)
+  union all
+  select round + 1, left_id, right_id, apart, row_number() over (partition by left_id order by apart, right_id) = 1 and row_number() over (partition by right_id order by apart, left_id) = 1
+  from (select *, max(mutual) over (partition by left_id) as left_gone, max(mutual) over (partition by right_id) as right_gone from asking) where not left_gone and not right_gone
+)
+select left_id, right_id, cast(apart as bigint) as apart from asking where mutual""")
+def stable_assignment(spark, sf_dir):
+    return timejoin.stable_assignment(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id")
+
+
 # Summaries
 
 
@@ -368,7 +380,7 @@ def evaluation_store(spark, sf_dir):
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
     found = evaluation.evaluate(left, right)
     for name, rows in (("a", found), ("b", found.where("class <> 'matched'"))):
-        store.append(name, rows, evaluation.manifest(left, right, rows))
+        store.append(name, rows, lambda stored: evaluation.manifest(left, right, stored))
     return store.results().groupBy(F.col("evaluation").alias("evaluation_id"), "class").agg(F.count("*").alias("n"))
 
 
@@ -407,13 +419,11 @@ def evaluation_manifest(spark, sf_dir):
     return evaluation.manifest(left, right, evaluation.evaluate(left, right))
 
 
-def _stored_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of the reconciled orders, as a store gives it back."""
-    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+def _stored(spark: SparkSession, sf_dir: str, keep_inputs: bool = False) -> EvaluationStore:
+    """A store with the evaluation of the orders, as `orders`."""
     store = EvaluationStore(spark, stream.new_folder(spark, "store"))
-    found = evaluation.evaluate(left, right)
-    store.append("orders", found, evaluation.manifest(left, right, found))
-    return store.manifests("orders")
+    evaluation.store_evaluation(store, "orders", left_records(spark, sf_dir), right_evidence(spark, sf_dir), keep_inputs=keep_inputs)
+    return store
 
 
 @query(f"with a as ({_digests()} select * from {_PARTS}), b as ({_digests(True)} select * from {_PARTS}) select part, a.digest as stored, b.digest as replayed, part = 'left_digest' as reproduced from a join b using (part)")
@@ -421,14 +431,62 @@ def replay_of_changed_evidence(spark, sf_dir):
     """A replay finds that one entry of the evidence has changed since."""
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
     changed = right.withColumn("amount", F.when(F.col("record_id") == 1, F.col("amount") + 1).otherwise(F.col("amount")).cast(MONEY))
-    return evaluation.replay(left, changed, _stored_manifest(spark, sf_dir))
+    return evaluation.replay(left, changed, _stored(spark, sf_dir).manifests("orders"))
 
 
 @query(f"{_digests()} select part, digest as stored, digest as replayed, true as reproduced from {_PARTS}")
 def replay_of_same_evidence(spark, sf_dir):
     """A replay from shuffled inputs comes to the same digests, and the same id, as were stored."""
     left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
-    return evaluation.replay(left.repartition(5, "account"), right.repartition(3, "amount"), _stored_manifest(spark, sf_dir))
+    return evaluation.replay(left.repartition(5, "account"), right.repartition(3, "amount"), _stored(spark, sf_dir).manifests("orders"))
+
+
+@query(f"{_digests()} select part, digest as stored, digest as replayed, true as reproduced from {_PARTS}")
+def replay_offline(spark, sf_dir):
+    """A replay from the inputs that the store has kept."""
+    return evaluation.replay_offline(_stored(spark, sf_dir, keep_inputs=True), "orders")
+
+
+@query(f"""{_SIDES}, h as (select substr(sha256({_text_of("record_id")}), 1, 3) as path, sha256({_SIDE_TEXT}) as h from right_side),
+l3 as (select path, count(*) as n_rows, sha256(count(*) || '|' || sum(('0x' || substr(h, 1, 15))::bigint) || '|' || sum(('0x' || substr(h, 16, 15))::bigint) || '|' || sum(('0x' || substr(h, 31, 15))::bigint) || '|' || sum(('0x' || substr(h, 46, 15))::bigint)) as digest from h group by path),
+l2 as (select substr(path, 1, 2) as path, sum(n_rows) as n_rows, sha256(string_agg(substr(path, 3, 1) || digest, '' order by path)) as digest from l3 group by 1),
+l1 as (select substr(path, 1, 1) as path, sum(n_rows) as n_rows, sha256(string_agg(substr(path, 2, 1) || digest, '' order by path)) as digest from l2 group by 1),
+l0 as (select '' as path, sum(n_rows) as n_rows, sha256(string_agg(path || digest, '' order by path)) as digest from l1)
+select cast(length(path) as integer) as level, path, cast(n_rows as bigint) as n_rows, digest from (select * from l0 union all select * from l1 union all select * from l2 union all select * from l3)""")
+def evidence_tree(spark, sf_dir):
+    """The hash tree of the evidence, by record."""
+    return hashtree.hash_tree(right_evidence(spark, sf_dir), ["record_id"])
+
+
+@query(f"""{_SIDES}, now as (
+  select record_id, account, kind, cast(amount + case when record_id % 1009 = 1 then 1 else 0 end as decimal(18,2)) as amount, event_ts from right_side where record_id % 1013 <> 2
+  union all select * from right_side where record_id % 1019 = 3 union all select -record_id - 1, account, kind, amount, event_ts from right_side where record_id % 1021 = 4
+), keys as (
+  select record_id, count(*) filter (side = 0) as rows_before, count(*) filter (side = 1) as rows_after, list(amount order by amount) filter (side = 0) as a, list(amount order by amount) filter (side = 1) as b
+  from (select record_id, amount, 0 as side from right_side union all select record_id, amount, 1 from now) group by record_id
+)
+select substr(sha256({_text_of("record_id")}), 1, 3) as path, record_id, rows_before, rows_after, case when rows_before = 0 then 'added' when rows_after = 0 then 'removed' else 'changed' end as change from keys where a is distinct from b""")
+def changed_evidence(spark, sf_dir):
+    """Rows of the evidence that were altered, removed, repeated or added since an evaluation, found down its hash tree."""
+    right, k = right_evidence(spark, sf_dir), F.col("record_id")
+    altered = right.where(k % 1013 != 2).withColumn("amount", (F.col("amount") + F.when(k % 1009 == 1, 1).otherwise(0)).cast(MONEY))
+    now = altered.union(right.where(k % 1019 == 3)).union(right.where(k % 1021 == 4).withColumn("record_id", -k - 1))
+    return evaluation.changed_since(_stored(spark, sf_dir, keep_inputs=True), "orders", "right", now)
+
+
+@query(f"""{_digests()}, c as (select left_digest, right_digest, output_digest, output_rows from m)
+select cast(i as bigint) as place, name as evaluation, case when name = 'third' then 'broken before' when name = 'fourth' then 'altered results' end as problem from (values (1, 'first'), (3, 'third'), (4, 'fourth'), (5, 'fifth')) v(i, name), c""")
+def verified_chain(spark, sf_dir):
+    """Five evaluations, of which the second is taken away and the fourth's results lose a row: both are found at their place."""
+    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+    store, kept = (EvaluationStore(spark, stream.new_folder(spark, "store")) for _ in range(2))
+    found = checkpointed(evaluation.evaluate(left, right))
+    for name in ("first", "second", "third", "fourth", "fifth"):
+        store.append(name, found, lambda stored: evaluation.manifest(left, right, stored))
+    # The store as someone might leave it.
+    for part, cut in (("manifests", F.col("evaluation") != "=second"), ("results", (F.col("evaluation") != "=fourth") | (F.col("record_id") != 1))):
+        spark.read.parquet(f"{store.path}/{part}").where(cut).write.partitionBy("evaluation", "attempt").parquet(f"{kept.path}/{part}")
+    return kept.verified()
 
 
 # Extensions
@@ -471,8 +529,8 @@ def net_positions(spark, sf_dir):
 # Streams
 
 
-def _stream(rows: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    return stream.staged(rows, ts, delay)
+def _stream(rows: DataFrame, ts: str = "ts", delay: str = "1 hour", files_at_once: int | None = None) -> DataFrame:
+    return stream.staged(rows, ts, delay, files_at_once)
 
 
 @query(f"with e as ({_EVENTS}) select time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n, cast(sum(amount) as decimal(38,2)) as total from e group by all")
@@ -542,3 +600,13 @@ def stream_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", units.alias("units"), F.col("o_orderdate").alias("ts"))
     with stream.rocksdb_state(spark):
         return stream.run_to_end(stream.closed_positions(_stream(rows), "o_custkey", "ts", idle_seconds=30 * 86_400))
+
+
+@query(f"with e as ({_EVENTS}) select event_type, count(*) as n, cast(sum(amount) as decimal(38,2)) as total from e group by event_type")
+def stream_into_store(spark, sf_dir):
+    """A stream's micro-batches, stored; then the stream begins again without knowing how far it came, and all batches are there once."""
+    store = EvaluationStore(spark, stream.new_folder(spark, "store"))
+    rows = _stream(_valued_events(spark, sf_dir).repartition(3, "event_id"), files_at_once=1)
+    for _ in range(2):
+        stream.into_store(rows.where(stream.before_closing("ts")), store, "events")
+    return store.results().groupBy("event_type").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total"))

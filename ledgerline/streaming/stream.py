@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ledgerline.sources.shared import shared_folder
+from ledgerline.sources.store import EvaluationStore
 
 CLOSING = "2100-01-01 00:00:00"
 #: State that has timers is kept in RocksDB, whose size isn't bounded by the executors' heaps.
@@ -128,6 +129,17 @@ def run_to_end(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def into_store(stream: DataFrame, store: EvaluationStore, name: str, state: str | None = None) -> None:
+    """Add all that a stream has now to a store, each micro-batch as an evaluation of its own that its manifest completes.
+
+    A batch that comes again, because the stream failed before it could note it in `state`, or
+    lost that folder, is stored once: it is known by its number.
+    """
+    folder = state or new_folder(stream.sparkSession, "stream-state")
+    writer = stream.writeStream.foreachBatch(lambda batch, n: store.append_batch(name, batch, n) and None)
+    writer.option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+
+
 def windowed_totals(stream: DataFrame, ts: str, width: str, by: str) -> DataFrame:
     """Counts and sums by tumbling windows of event time; late rows count until the watermark passes their window."""
     grouped = stream.groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,2)").alias("total"))

@@ -5,7 +5,6 @@ from ledgerline.functions.vectorised import Instalments, drawdowns
 from ledgerline.plans import evaluation
 from ledgerline.sources import connector, ingest, profiles
 from ledgerline.sources.shared import shared_folder
-from ledgerline.sources.store import EvaluationStore
 from ledgerline.sources.tables import left_records, right_evidence
 
 FIELDS = "record_id long, amount decimal(18,2)"
@@ -40,24 +39,6 @@ def test_connector_splits_its_ledgers(spark):
     assert spark.read.format("ledger_pages").options(ledgers="0").load().count() == 0
 
 
-def test_store_appends_and_prunes(spark, sf_dir, tmp_path):
-    store = EvaluationStore(spark, str(tmp_path / "store"))
-    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
-    found = evaluation.evaluate(left, right)
-    manifest = evaluation.manifest(left, right, found)
-    assert not store.has("one")
-    store.append("one", found, manifest)
-    store.append("2", found.limit(5), manifest)
-    assert store.results("one").count() == found.count() and store.results("2").count() == 5
-    assert {r["reproduced"] for r in evaluation.replay(left, right, store.manifests("one")).collect()} == {True}
-    with pytest.raises(ValueError):
-        store.append("one", found, manifest)
-    # What an attempt that failed has left of a name is written over.
-    found.limit(7).withColumn("evaluation", F.lit("three")).write.mode("append").partitionBy("evaluation").parquet(f"{tmp_path}/store/results")
-    store.append("three", found.limit(3), manifest)
-    assert store.results("three").count() == 3 and store.results().count() == found.count() + 8
-
-
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Context:
         master = "spark://somewhere:7077"

@@ -1,0 +1,139 @@
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerline.functions import canonical, hashtree
+from ledgerline.plans import evaluation
+from ledgerline.sources.store import EvaluationStore
+from ledgerline.sources.tables import left_records, right_evidence
+
+ROW = "record_id long, amount decimal(18,2), note string"
+
+
+def described(stored):
+    return canonical.table_digest(stored).select(F.col("n_rows").alias("output_rows"), F.col("digest").alias("output_digest"))
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return EvaluationStore(spark, str(tmp_path / "store"))
+
+
+@pytest.fixture
+def rows(spark):
+    return spark.createDataFrame([(i, None, f"n{i}") for i in range(9)], ROW)
+
+
+@pytest.mark.parametrize("names", [["001", "1", "01"], ["1e3", "1000"], ["2024-01-01", "2024-01-01 00:00:00"], ["null", "__HIVE_DEFAULT_PARTITION__", ""], ["a/b", "a=b", "A", "a b%20é"]])
+def test_names_are_text(store, rows, names):
+    for n, name in enumerate(names):
+        assert not store.has(name)
+        store.append(name, rows.limit(n + 1), described)
+    for n, name in enumerate(names):
+        assert store.has(name) and store.results(name).count() == n + 1
+        assert [r["evaluation"] for r in store.manifests(name).collect()] == [name]
+        with pytest.raises(ValueError):
+            store.append(name, rows, described)
+    assert {r["evaluation"] for r in store.results().collect()} == set(names) == {r["evaluation"] for r in store.manifests().collect()}
+
+
+def test_what_has_no_manifest_is_not_seen(store, rows):
+    def fails(stored):
+        raise RuntimeError("lost")
+
+    store.append("whole", rows, described)
+    with pytest.raises(RuntimeError):
+        store.append("half", rows.limit(7), fails)
+    assert not store.has("half") and {r["evaluation"] for r in store.results().collect()} == {"whole"}
+    with pytest.raises(KeyError):
+        store.results("half")
+    store.append("half", rows.limit(3), described)
+    assert store.results("half").count() == 3 and store.results().count() == 12
+
+
+def test_the_result_is_evaluated_once_and_its_manifest_is_of_what_is_stored(spark, store, rows):
+    drawn = rows.withColumn("note", F.uuid())  # another text whenever it is evaluated
+    store.append("drawn", drawn, described)
+    assert store.manifests("drawn").first()["output_digest"] == described(store.results("drawn").drop("evaluation")).first()["output_digest"]
+    assert [r["problem"] for r in store.verified().collect()] == [None]
+
+
+def rewritten(spark, store, to, part, change):
+    """A copy of the store in which one part's rows are changed."""
+    for p in ("manifests", "results"):
+        df = spark.read.parquet(f"{store.path}/{p}")
+        (change(df) if p == part else df).write.partitionBy("evaluation", "attempt").parquet(f"{to}/{p}")
+    return {r["place"]: r["problem"] for r in EvaluationStore(spark, str(to)).verified().collect()}
+
+
+def test_the_chain_tells_what_was_altered(spark, store, rows, tmp_path):
+    for n in range(4):
+        store.append(f"e{n}", rows.limit(n), described)  # the first has no rows
+    head = store.manifests("e3").first()["manifest_digest"]
+    assert {r["problem"] for r in store.verified(head).collect()} == {None}
+    second = F.col("evaluation") == "=e1"
+    assert rewritten(spark, store, tmp_path / "a", "manifests", lambda m: m.where(~second)) == {1: None, 3: "broken before", 4: None}
+    assert rewritten(spark, store, tmp_path / "b", "manifests", lambda m: m.withColumn("output_rows", F.when(second, 99).otherwise(F.col("output_rows")))) == {1: None, 2: "altered manifest", 3: None, 4: None}
+    assert rewritten(spark, store, tmp_path / "c", "results", lambda r: r.withColumn("note", F.when(second, "other").otherwise(F.col("note")))) == {1: None, 2: "altered results", 3: None, 4: None}
+    # Of the newest only its digest, as somebody has noted it, tells.
+    assert rewritten(spark, store, tmp_path / "d", "manifests", lambda m: m.where("evaluation <> '=e3'")) == {1: None, 2: None, 3: None}
+    assert [(r["place"], r["problem"]) for r in EvaluationStore(spark, str(tmp_path / "d")).verified(head).where("problem is not null").collect()] == [(4, "newest missing")]
+    # Two appends that didn't know of each other.
+    other = spark.read.parquet(f"{store.path}/manifests").where("evaluation = '=e3'").withColumn("evaluation", F.lit("=fork"))
+    other.write.mode("append").partitionBy("evaluation", "attempt").parquet(f"{store.path}/manifests")
+    assert {r["place"]: r["problem"] for r in store.verified().collect()}[4] in ("shared place", "altered manifest")
+
+
+def test_an_evaluation_is_reproduced_after_its_sources_changed(spark, sf_dir, store):
+    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+    evaluation.store_evaluation(store, "orders", left, right)
+    changed = right.where("record_id <> 7").withColumn("amount", F.when(F.col("record_id") == 5, F.lit(1)).otherwise(F.col("amount")).cast("decimal(18,2)"))
+    assert not all(r["reproduced"] for r in evaluation.replay(left, changed, store.manifests("orders")).collect())
+    assert all(r["reproduced"] for r in evaluation.replay_offline(store, "orders").collect())
+    found = {r["record_id"]: (r["change"], r["rows_before"], r["rows_after"]) for r in evaluation.changed_since(store, "orders", "right", changed).collect()}
+    assert found == {5: ("changed", 1, 1), 7: ("removed", 1, 0)}
+    assert evaluation.changed_since(store, "orders", "right", right.repartition(7)).count() == 0
+
+
+def test_only_differing_branches_are_read(spark, sf_dir, store):
+    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+    evaluation.store_evaluation(store, "orders", left, right)
+    files = lambda df: len(df.inputFiles())
+    some = store.inputs("orders", "right", ["a"])
+    assert 0 < files(some.select("record_id")) <= files(store.inputs("orders", "right").select("record_id"))
+    assert "PartitionFilters: [" in some._jdf.queryExecution().toString() and {r[0][0] for r in some.select("path").distinct().collect()} == {"a"}
+
+
+def test_trees_of_hot_keys_nulls_and_nothing(spark):
+    rows = [(None, None, None)] * 3 + [(7, None, "x")] * 500 + [(i, None, "y") for i in range(300)]
+    df = spark.createDataFrame(rows, ROW)
+    tree = {(r["level"], r["path"]): (r["n_rows"], r["digest"]) for r in hashtree.hash_tree(df, ["record_id"]).collect()}
+    assert tree[0, ""][0] == len(rows) and all(sum(n for (m, _), (n, _) in tree.items() if m == level) == len(rows) for level in range(4))
+    shuffled = hashtree.hash_tree(df.repartition(5), ["record_id"])
+    assert {(r["level"], r["path"]): (r["n_rows"], r["digest"]) for r in shuffled.collect()} == tree
+    fewer = df.where("record_id is null or record_id <> 7").union(df.where("record_id = 7").limit(499))
+    steps = hashtree.differing(hashtree.hash_tree(df, ["record_id"]), hashtree.hash_tree(fewer, ["record_id"])).collect()
+    assert sorted(r["level"] for r in steps) == [0, 1, 2, 3]
+    none = df.limit(0)
+    assert hashtree.hash_tree(none, ["record_id"]).count() == 0
+    assert hashtree.differing(hashtree.hash_tree(none, ["record_id"]), hashtree.hash_tree(df, ["record_id"])).where("before is not null").count() == 0
+    assert [tuple(r) for r in hashtree.changed_rows(df, fewer, ["record_id"]).collect()] == [(7, 501, 499, "changed")]
+
+
+def test_results_of_one_store_have_the_same_columns(store, rows):
+    store.append("a", rows, described)
+    with pytest.raises(ValueError):
+        store.append("b", rows.drop("note"), described)
+    assert not store.has("b")
+
+
+def test_inputs_without_rows(spark, sf_dir, store):
+    left, right = left_records(spark, sf_dir).limit(0), right_evidence(spark, sf_dir).limit(0)
+    evaluation.store_evaluation(store, "empty", left, right)
+    assert store.inputs("empty", "left").count() == 0 and all(r["reproduced"] for r in evaluation.replay_offline(store, "empty").collect())
+    assert evaluation.changed_since(store, "empty", "right", right_evidence(spark, sf_dir)).where("change = 'added'").count() == right_evidence(spark, sf_dir).select("record_id").distinct().count()
+
+
+def test_a_batch_is_stored_once(store, rows):
+    assert store.append_batch("s", rows, 0) and store.append_batch("s", rows.limit(2), 1)
+    assert not store.append_batch("s", rows.limit(5), 1)
+    assert store.results().count() == 11
