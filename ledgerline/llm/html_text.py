@@ -30,7 +30,7 @@ from ledgerline.llm.common import slices
 
 #: Lines of a window, and what a window's characters have to exceed in a surge.
 WINDOW, SURGE = 3, 60
-#: Lines without length that a span of text may bridge.
+#: Lines without length that a surge may bridge before it dives, and lines from a linked heading to its text.
 BRIDGE = 4
 #: What a character outside of a page's article weighs when the longest span is chosen.
 OUTSIDE = 0.25
@@ -301,19 +301,19 @@ def main_text(html: str | None) -> str:
     # What surges in the same article or container is the same text.
     joined = [s for s in spans if here[s[0]]]
     first, last = min([first, *(s[0] for s in joined)]), max([last, *(s[1] for s in joined)])
-    # Short blocks before a surge, or after the last of several, belong to it; those of the same container over a gap too.
+    # Short blocks before a surge, or after the last of several, belong to it; those of the same article or container at any distance.
     for step in (-1, 1):
-        at, gap = (first if step < 0 else last) + step, 0
-        while 0 <= at < len(lines) and lines[at].article == article and gap < BRIDGE and (lengths[at] or here[at]):
-            gap = 0 if lengths[at] else gap + 1
+        at = (first if step < 0 else last) + step
+        while 0 <= at < len(lines) and lines[at].article == article and (lengths[at] or here[at]):
             if lengths[at]:
                 first, last = min(first, at), max(last, at)
             at += step
-    # A headline may be a link.
-    for at in range(first - 1, max(-1, first - 1 - BRIDGE), -1):
-        if lines[at].article != article or not (here[at] or at == first - 1):
+    # A headline may be a link: the nearest beside the text, or the title of the same article or container.
+    begins = first
+    for at in range(begins - 1, -1, -1):
+        if lines[at].article != article or not (here[at] or at == begins - 1):
             break
-        if lines[at].heading and not lines[at].marked:
+        if not lines[at].marked and (lines[at].title or (lines[at].heading and begins - at <= BRIDGE)):
             first = at
             break
     return "\n\n".join(x.words for x in lines[first : last + 1] if not x.marked)

@@ -107,6 +107,16 @@ def test_surge_and_dive_choose_the_span(tag):
     assert main_text(f"<div>Site</div>{LINKS}<{tag}>{inside}</{tag}>{LINKS}<div>{P1}</div>") == "\n\n".join(["Headline", "By me", "At ten", "Now", P1, *links, P2, P1, "More", "End."])
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("n", [3, 6, 40])
+def test_no_block_of_the_text_is_lost_at_any_distance(tag, n):
+    captions = [f"A caption with a link number {i}" for i in range(n)]
+    linked = "".join(f"<p><a href='/{i}'>{c}</a></p>" for i, c in enumerate(captions))
+    asides = "".join(f"<aside>Beside the text {i}</aside>" for i in range(n))
+    page = f"<div>Site</div>{LINKS}<{tag}><h1><a href='/'>Headline</a></h1>{linked}<p>Lead.</p>{linked}<p>{P1}</p><p>{P2}</p>{asides}<p>End.</p>{asides}</{tag}>{LINKS}"
+    assert main_text(page) == "\n\n".join(["Headline", *captions, "Lead.", *captions, P1, P2, "End."])
+
+
 def test_an_article_mark_is_a_weight():
     text = [f"{P2} {i}" for i in range(20)]
     body = "".join(f"<p>{x}</p>" for x in text)
