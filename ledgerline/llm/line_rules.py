@@ -1,11 +1,11 @@
 """Quality rules: measures of each text, and the frequency of its lines across a host's documents.
 
 Lines are normalised (A-Z lower-cased, digits as 0, white space collapsed) and
-hashed. A line that stands in more than `limit` different documents of a host is
-boilerplate there. Documents with one text are one document, so that copying it doesn't make
-boilerplate of all its lines. Where texts are cleaned (`without_lines`), so are depleted
-texts that are near copies of one another. A document that loses nearly all its words with its
-boilerplate is depleted and rejected, beside those that fail the base rules.
+hashed. A line that stands in more than `limit` documents of a host is
+boilerplate there. A document that loses nearly all its words with its
+boilerplate is depleted and rejected, beside those that fail the base rules. But copying a document doesn't make
+boilerplate of all its lines: documents that would be depleted and are copies, or near copies, of one another
+count as one, and lines that are then within the limit stay.
 
 Null texts have no words and fail; a null host (source) is a host of its own;
 rows without doc_id are judged like others, and rows that repeat one another alike. An
@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WHITE, checkpointed, slices
-from ledgerline.llm.ngram_join import ngram_jaccard_join
+from ledgerline.llm.common import WHITE, checkpointed, slices, text_hashes
+from ledgerline.llm.ngram_join import flagged, ngram_jaccard_join
 
 #: Documents of a host that a line may stand in; words that have to be left, and percent of all words.
 LINE_LIMIT, LEAST_LEFT, LEAST_LEFT_PERCENT = 20, 20, 10
@@ -34,6 +34,8 @@ HOT_LINES = 1024
 
 #: Depleted texts with this similarity (percent) of their sets of shingles, or more, count a line once.
 COPY_WIDTH, COPY_PERCENT = 5, 50
+#: Depleted texts whose hashes are broadcast (16 bytes each); more of them are joined, a text's copies in so many parts.
+BROADCAST_TEXTS, PARTS = 1 << 18, 16
 
 SYMBOLS = "#*$%&|<>"
 _ZERO = bytes.maketrans(b"123456789", b"0" * 9)
@@ -86,30 +88,45 @@ def _measured(docs: DataFrame) -> DataFrame:
             rows = [measures(t) for t in texts]
             lines = []
             for t in texts:
-                found = [(line_hash(x), len(x.split())) for x in (t or "").encode().split(b"\n")]
-                lines.append([{"hash": h, "words": n} for h, n in found if n])
+                found, seen = [(line_hash(x), len(x.split())) for x in (t or "").encode().split(b"\n")], set()
+                lines.append([{"hash": h, "words": n, "first": not (h in seen or seen.add(h))} for h, n in found if n])
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
-            kind = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))
-            names = ["doc_id", "host", *(x.split()[0] for x in _MEASURES.split(", ")), "text_hash", "lines"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, batch.column("text_hash"), pa.array(lines, kind)], names)
+            kind = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64()), ("first", pa.bool_())]))
+            names = ["doc_id", "host", *(x.split()[0] for x in _MEASURES.split(", ")), "t1", "t2", "lines"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *columns, batch.column("t1"), batch.column("t2"), pa.array(lines, kind)], names)
 
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long"), _host(F.col("source")).alias("host"), text, F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(measure, f"doc_id long, host string, {_MEASURES}, text_hash long, lines array<struct<hash: long, words: long>>").withColumn("row", F.monotonically_increasing_id())
+    t1, t2 = text_hashes(text)
+    rows = docs.select(F.col("doc_id").cast("long"), _host(F.col("source")).alias("host"), text, t1.alias("t1"), t2.alias("t2"))
+    return rows.mapInArrow(measure, f"doc_id long, host string, {_MEASURES}, t1 long, t2 long, lines array<struct<hash: long, words: long, first: boolean>>").withColumn("row", F.monotonically_increasing_id())
 
 
 def _depleted(left: F.Column) -> F.Column:
     return (left < LEAST_LEFT) | (100 * left < LEAST_LEFT_PERCENT * F.col("n_words"))
 
 
+def _copies(docs: DataFrame, depleted: DataFrame) -> DataFrame:
+    """(t1, copies_of) of the texts that are depleted: those that are near copies of one another have one copies_of."""
+    t1, t2 = text_hashes(F.col("text").cast("string"))
+    texts = docs.select(t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string"))
+    if depleted.count() <= BROADCAST_TEXTS:
+        texts = texts.join(F.broadcast(depleted), ["t1", "t2"], "left_semi")
+    else:
+        # A text's copies meet the text's hashes in several tasks, and are combined before they meet one another.
+        salted = depleted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        texts = texts.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).join(salted, ["t1", "t2", "_part"], "left_semi")
+    once = checkpointed(texts.groupBy("t1", "t2").agg(F.first("text").alias("text")))
+    groups = ngram_jaccard_join(once.select(F.col("t1").alias("doc_id"), "text"), COPY_WIDTH, COPY_PERCENT)
+    return groups.select(F.col("doc_id").alias("t1"), F.col("component_id").alias("copies_of"))
+
+
 def _beyond_copies(docs: DataFrame, rows: DataFrame, found: DataFrame, limit: int) -> DataFrame:
     """The lines of `found`, which are frequent, that stay so when depleted texts that are near copies count once."""
     lost = found.groupBy("row").agg(F.sum("words").alias("lost"))
-    depleted = checkpointed(rows.join(lost, "row").where(_depleted(F.col("n_words") - F.col("lost"))).select("text_hash").distinct())
-    text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).join(depleted.withColumnRenamed("text_hash", "doc_id"), "doc_id", "left_semi")
-    groups = ngram_jaccard_join(checkpointed(texts.dropDuplicates(["doc_id"])), COPY_WIDTH, COPY_PERCENT).select(F.col("doc_id").alias("text_hash"), F.col("component_id").alias("copies_of"))
-    counted = found.select("host", "hash", "text_hash").distinct().join(groups, "text_hash", "left").groupBy("host", "hash").agg(F.countDistinct(F.coalesce("copies_of", "text_hash")).alias("n"))
+    depleted = checkpointed(rows.join(lost, "row").where(_depleted(F.col("n_words") - F.col("lost"))).select("t1", "t2").distinct())
+    by_text = found.where("first").groupBy("host", "hash", "t1").agg(F.count("*").alias("docs")).join(checkpointed(_copies(docs, depleted)), "t1", "left")
+    by_group = by_text.groupBy("host", "hash", "copies_of").agg(F.sum("docs").alias("docs"))
+    counted = by_group.groupBy("host", "hash").agg(F.sum(F.when(F.col("copies_of").isNull(), F.col("docs")).otherwise(1)).alias("n"))
     return checkpointed(counted.where(F.col("n") > limit))
 
 
@@ -125,30 +142,24 @@ def _among(lines: DataFrame, frequent: DataFrame, hot: DataFrame) -> DataFrame:
     return told.where("is_hot").join(F.broadcast(of_hot), ["host", "hash"], "left_semi").drop("is_hot").unionByName(rest.drop("is_hot"))
 
 
-def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT, copies_once: bool = False) -> DataFrame:
-    """doc_id, host, measures, base_failed, kept, n_left_words and the hashes of the lines to remove, for each row.
-
-    With `copies_once`, depleted texts that are near copies of one another count as one.
-    """
+def line_frequency_rules(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
+    """doc_id, host, measures, base_failed, kept, n_left_words, hashes of the text and of the lines to remove, for each row."""
     rows = checkpointed(_measured(docs))
-    lines = rows.select("row", "host", "text_hash", F.inline("lines"))
-    # By text, then by host and line: each step is combined before its shuffle.
-    of_text = lines.groupBy("host", "hash", "text_hash").agg(F.count("*").alias("rows"))
-    counted = of_text.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+    lines = rows.select("row", "host", "t1", F.inline("lines"))
+    # Combined before its shuffle.
+    counted = lines.groupBy("host", "hash").agg(F.count(F.when(F.col("first"), 1)).alias("n"), F.count("*").alias("rows"))
     frequent = checkpointed(counted.where(F.col("n") > limit))
     total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
     hot = checkpointed(frequent.where(F.col("rows") * HOT_LINES > total).select("host", "hash"))
-    lines = _among(lines, frequent, hot)
-    if copies_once:
-        lines = checkpointed(lines)
-        lines = _among(lines, _beyond_copies(docs, rows, lines, limit), hot)
+    lines = checkpointed(_among(lines, frequent, hot))
+    lines = _among(lines, _beyond_copies(docs, rows, lines, limit), hot)
     removed = lines.groupBy("row").agg(F.sum("words").alias("lost"), F.array_sort(F.collect_set("hash")).alias("removed_lines"))
     left = F.col("n_words") - F.coalesce("lost", F.lit(0))
     base_failed = F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words")
     depleted = _depleted(left)
     return rows.join(removed, "row", "left").select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
-        left.alias("n_left_words"), "text_hash", F.coalesce("removed_lines", F.expr("array()").cast("array<long>")).alias("removed_lines"),
+        left.alias("n_left_words"), "t1", "t2", F.coalesce("removed_lines", F.expr("array()").cast("array<long>")).alias("removed_lines"),
     )
 
 
@@ -172,18 +183,22 @@ def without_lines(docs: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
             doc = pa.StructArray.from_arrays([changed.get(n, rows.field(i)) for i, n in enumerate(names)], names)
             yield pa.RecordBatch.from_arrays([doc], ["doc"])
 
-    verdicts = line_frequency_rules(docs, limit, copies_once=True).where("kept").select("doc_id", "host", "text_hash", "removed_lines").dropDuplicates(["doc_id", "host", "text_hash"])
-    # The row goes whole, as one column, so that no column of it can clash with ours.
-    rows = docs.select(F.struct("*").alias("doc"))
-    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_host(F.col("doc.source")) == F.col("host")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
-    joined = rows.join(verdicts, same).select("doc", "removed_lines")
-    return joined.mapInArrow(strip, rows.schema).select("doc.*")
+    verdicts = line_frequency_rules(docs, limit).where("not kept or size(removed_lines) > 0")
+    changed = checkpointed(verdicts.groupBy("doc_id", "host", "t1", "t2").agg(F.first("kept").alias("kept"), F.first("removed_lines").alias("removed_lines")))
+    # Rows that stay as they are, nearly all but those that go or lose lines, aren't shuffled; of the others each goes
+    # whole, as one column, so that no column of it can clash with ours.
+    told = flagged(docs, changed.select("doc_id", "t1", "t2"))
+    verdict = changed.select("doc_id", "host", F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "kept", "removed_lines")
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_host(F.col("doc.source")) == F.col("host")) & (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))
+    joined = told.where("possible").join(verdict, same, "left").where("coalesce(kept, true)").select("doc", "removed_lines")
+    stripped = joined.mapInArrow(strip, told.select("doc").schema)
+    return told.where("not possible").select("doc").union(stripped).select("doc.*")
 
 
 _N = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = rf"""
-with docs as (
+with recursive docs as (
   select row_number() over () as row_no, doc_id, coalesce(text, '') as text, coalesce('+' || source, '-') as host from documents
 ), words as (
   select row_no, unnest(regexp_extract_all(text, '{_N}')) as word, generate_subscripts(regexp_extract_all(text, '{_N}'), 1) as i from docs
@@ -199,8 +214,28 @@ with docs as (
   select row_no, host, text, line, len(regexp_extract_all(line, '{_N}')) as n,
     regexp_replace(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g')), '^ | $', '', 'g') as norm
   from lines where regexp_matches(line, '{_N}')
+), often as (
+  select host, norm from full_lines group by host, norm having count(distinct row_no) > {LINE_LIMIT}
+), sizes as (
+  select row_no, text, len(regexp_extract_all(text, '{_N}')) as n_words from docs
+), hollow as (
+  select distinct text, md5(text) as t from (select row_no, sum(n) as lost from full_lines join often using (host, norm) group by row_no) join sizes using (row_no)
+  where n_words - lost < {LEAST_LEFT} or 100 * (n_words - lost) < {LEAST_LEFT_PERCENT} * n_words
+), hollow_words as (
+  select t, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_N}') as w from hollow
+), shingles as (
+  select distinct t, unnest(list_transform(range(1, greatest(1, len(w) - {COPY_WIDTH - 1}) + 1), lambda i: array_to_string(w[i:i + {COPY_WIDTH - 1}], ' '))) as s from hollow_words
+), set_sizes as (
+  select t, count(*) as n from shingles group by t
+), alike as (
+  select x.t as a, y.t as b from shingles x join shingles y on x.s = y.s and x.t <> y.t join set_sizes p on p.t = x.t join set_sizes q on q.t = y.t
+  group by x.t, y.t, p.n, q.n having 100 * count(*) >= {COPY_PERCENT} * (p.n + q.n - count(*))
+), reached as (
+  select t, t as other from hollow union select r.t, b from reached r join alike on r.other = a
+), copies as (
+  select t, min(other) as copies_of from reached group by t
 ), frequent as (
-  select host, norm from full_lines group by host, norm having count(distinct text) > {LINE_LIMIT}
+  select host, norm from full_lines join often using (host, norm) left join copies on md5(text) = copies.t group by host, norm having count(distinct coalesce(copies_of, cast(row_no as varchar))) > {LINE_LIMIT}
 ), lost as (
   select row_no, sum(n) as n from full_lines join frequent using (host, norm) group by row_no
 ), dups as (

@@ -17,7 +17,7 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.line_frequency_rules(table(spark, sf_dir, "documents")).drop("host", "text_hash", "removed_lines")
+    return line_rules.line_frequency_rules(table(spark, sf_dir, "documents")).drop("host", "t1", "t2", "removed_lines")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

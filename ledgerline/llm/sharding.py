@@ -29,6 +29,8 @@ from ledgerline.llm.mixing import repeats
 SLOTS, SHARDS = 4096, 8
 #: Part of a shard's even share by which the fullest and the emptiest may differ.
 TOLERANCE = 1e-4
+#: Ids that repeat, up to which writing shards broadcasts them (8 bytes each).
+BROADCAST_IDS = 1 << 18
 _MAP = "version int, slot int, shard int"
 
 
@@ -131,18 +133,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
-    """Write the rows of `docs` as Parquet, a folder for each shard of a version of the map.
+    """Write the rows of `docs` as Parquet, a folder for each shard of a version of the map, as `shard_documents` places them.
 
     Every task writes what it has of each shard; no shard passes one task. Rows that repeat
-    a doc_id, or have none, are numbered here by where they stand in the table.
+    a doc_id, or have none, are numbered in the same order as there; those alike in doc_id, size and
+    checksum may stand for one another. Only they are shuffled, unless ids that repeat are too many to broadcast.
     """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    told = {"doc_id": doc_id, "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "key": F.coalesce(doc_id, F.lit(0))}
+    rows = docs.select(F.struct("*").alias("doc"), *[c.alias(name) for name, c in told.items()])
+    repeated = checkpointed(rows.groupBy("key").count().where("count > 1").select("key"))
+    if repeated.count() <= BROADCAST_IDS:
+        repeated = F.broadcast(repeated)
+    alone = rows.join(repeated, "key", "left_anti").withColumn("repeat", F.lit(0).cast("long"))
+    several = repeats(checkpointed(rows.join(repeated, "key", "left_semi")), "key", ["doc_id", "text_crc32", "size"])
+    both = alone.select("doc", "key", "repeat").union(several.select("doc", "key", "repeat"))
     where = slot_map.select(F.col("slot").alias("_slot"), "shard")
-    rows = docs.select(F.struct("*").alias("doc"))
-    doc_id = F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(0))
-    repeated = checkpointed(docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")).count().where("count > 1").select("_id"))
-    number = F.lit(0).cast("long")
-    if not repeated.isEmpty():
-        rows = rows.join(repeated, doc_id == F.col("_id"), "left")
-        number = F.when(F.col("_id").isNotNull(), F.monotonically_increasing_id()).otherwise(0)
-    placed = rows.select("doc", number.alias("_number")).join(F.broadcast(where), slot_of(doc_id, slots, F.col("_number")) == F.col("_slot"))
+    placed = both.join(F.broadcast(where), slot_of(F.col("key"), slots, F.col("repeat")) == F.col("_slot"))
     placed.select("doc", "shard").write.partitionBy("shard").parquet(path)

@@ -45,6 +45,34 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(make_docs):
     assert kept[101]["text"] == rows[26][1]
 
 
+def test_the_verdict_of_the_method_decides(spark, make_docs, duck, tmp_path):
+    """Documents made of a host's stock lines are rejected, its articles and copies of a whole document are not; as by the SQL."""
+    letters = "abcdefghijklmnopqrst"
+    stock = ["\n".join(" ".join(f"stock{c}{letters[k]}{letters[j]}" for j in range(9)) for k in range(12)) for c in "xyz"]
+    own = lambda i, n: " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    rows = [(i, f"{stock[i % 3]}\n{own(i, 3)}", "h") for i in range(90)]  # near copies of one another: each of three counts once
+    rows += [(100 + i, "\n".join([*(x for k, x in enumerate("\n".join(stock).split("\n")) if (k * 7 + i) % 5 == 0), own(i, 2)]), "h") for i in range(60)]
+    rows += [(200 + i, f"{stock[0].split(chr(10))[i % 12]}\n{own(i, 70)}", "h") for i in range(300)]
+    rows += [(600 + i, own(399, 80), "h") for i in range(50)] + [(700, stock[1], "other")]
+    found = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in line_frequency_rules(make_docs(rows)).collect()}
+    assert all(found[i] == (True, False) for i in [*range(200, 500), *range(600, 650), 700])
+    # The first stock's lines stand in articles too; the others' only in what counts as a copy of one document.
+    assert {i for i, (kept, failed) in found.items() if not kept and not failed} == set(range(0, 90, 3))
+    import duckdb
+
+    make_docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    same_rows(QUERIES["op2_line_frequency"](spark, str(tmp_path)), con, line_rules.ORACLE_SQL)
+
+
+def test_rows_that_stay_as_they_are_are_not_shuffled(spark, make_docs):
+    plan = without_lines(make_docs([(i, page(i, "a banner of all"), "h") for i in range(30)]))._jdf.queryExecution().executedPlan().toString()
+    kept = plan.split("Union")[1].split("MapInArrow")[0]
+    # What is shuffled are the words of the filter over those that change.
+    assert kept.count("Exchange hashpartitioning") == kept.count("Exchange hashpartitioning(_groupingexpression") and "SortMergeJoin" not in kept
+
+
 def test_copies_make_no_boilerplate(make_docs):
     rows = [(i, page(1, "a line that is copied"), "h") for i in range(60)]
     assert all(r["kept"] for r in line_frequency_rules(make_docs(rows)).collect())

@@ -37,20 +37,20 @@ def brute_quality(docs):
 
     def frequent(name):
         seen = {}
-        for _, t, host in docs:
+        for row, (_, t, host) in enumerate(docs):
             for x, _ in lines[t]:
-                seen.setdefault((host, x), set()).add(name(t))
+                seen.setdefault((host, x), set()).add(name(row, t))
         return {k for k, names in seen.items() if len(names) > 20}
 
     def left(t, host, gone):
         return sum(n for x, n in lines[t] if (host, x) not in gone)
 
     depleted = lambda t, host, gone: left(t, host, gone) < 20 or 100 * left(t, host, gone) < 10 * len(word.findall(t))
-    first = frequent(lambda t: t)
+    first = frequent(lambda row, t: row)
     flagged = sorted({t for _, t, host in docs if any((host, x) in first for x, _ in lines[t]) and depleted(t, host, first)})
     group = groups_of(list(enumerate(flagged)), 5, 50)
     copies = {t: group[i] for i, t in enumerate(flagged)}
-    gone = first & frequent(lambda t: copies.get(t, t))
+    gone = first & frequent(lambda row, t: ("copies", copies[t]) if t in copies else row)
     kept = []
     for i, t, host in docs:
         words = word.findall(t)

@@ -74,6 +74,18 @@ def test_shards_are_written_whole(spark, make_docs, tmp_path):
     assert sorted(r[0] for r in written.select("shard").distinct().collect()) == list(range(8))
 
 
+def test_rows_of_a_repeated_id_are_written_where_they_are_placed(spark, make_docs, tmp_path):
+    """A third of the rows have one id, some of them alike; others none, or 0."""
+    rows = [(7 if i % 3 == 0 else None if i % 20 == 1 else 0 if i % 20 == 2 else i, f"text {i % 50}", "s") for i in range(300)]
+    docs = make_docs(rows)
+    placed = shard_documents(docs, map_path=str(tmp_path / "map"))
+    expect = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"], r["shard"]) for r in placed.collect())
+    write_shards(docs, stored_map(spark, str(tmp_path / "map")), str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out")).collect()
+    found = [((t := (r["doc"]["text"] or "").encode()), r["doc"]["doc_id"], r["shard"]) for r in written]
+    assert sorted((i is None, i or 0, len(t) + 1, zlib.crc32(t), s) for t, i, s in found) == expect
+
+
 def test_odd_tables(make_docs):
     rows = odd_rows()
     found = shard_documents(make_docs(rows)).collect()
