@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: In order of precedence: the first that holds is a row's class.
@@ -101,7 +101,62 @@ def with_evidence(side: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def tolerance_matches(left: DataFrame, right: DataFrame, key: str, tolerance: str) -> DataFrame:
-    """Pairs with an equal key and amounts that are at most `tolerance` apart."""
-    r = right.select(F.col(key), F.col("amount").alias("right_amount"))
-    apart = F.abs(F.col("right_amount") - F.col("amount"))
-    return left.join(r, key).where(apart <= F.lit(tolerance).cast("decimal(18,2)")).select(key, "amount", "right_amount")
+    """Pairs with an equal key and amounts that are at most `tolerance` apart.
+
+    Amounts fall into buckets twice as wide as the tolerance, and a left row looks into the one or two that it
+    reaches, so that key and bucket are an equality: of a repeated key, rows meet
+    those of nearby amounts alone.
+    """
+    width = F.greatest(2 * F.lit(tolerance).cast("decimal(18,2)"), F.lit("0.01").cast("decimal(18,2)"))
+    bucket = lambda amount: F.floor(amount / width)
+    within = F.lit(tolerance).cast("decimal(18,2)")
+    r = right.select(F.col(key), F.col("amount").alias("right_amount"), bucket(F.col("amount")).alias("_bucket")).where("_bucket is not null")
+    reached = F.array_distinct(F.array(bucket(F.col("amount") - within), bucket(F.col("amount") + within)))
+    pairs = left.where("amount is not null").withColumn("_bucket", F.explode(reached)).join(r, [key, "_bucket"])
+    return pairs.where(F.abs(F.col("right_amount") - F.col("amount")) <= within).select(key, "amount", "right_amount")
+
+
+#: Entries of a key and period up to which sets of them are tried.
+MOST_ENTRIES = 12
+
+
+def split_settlements(records: DataFrame, entries: DataFrame, key: str, days: int, tolerance: str = "0.00", most: int = MOST_ENTRIES, largest: int | None = None) -> DataFrame:
+    """Records (key, id, amount, ts) with the entries (key, id, amount, ts) that pay each together.
+
+    Of each record: how many entries its key has in the same period of so many days (n_entries), its class, and
+    the ids that pay it (paid_by). It is `settled` if the amounts of some, of `largest` at most, add up to its own, give or take the tolerance:
+    of all such sets the smallest, and of those that whose sorted ids come first. It is `unsettled` if none do, and
+    `inconclusive` if there are more than `most` entries, whose sets aren't tried, and no single one pays it.
+
+    Key and period, and for single entries the amount's bucket, are equalities. Of a period's entries `most` and one more are
+    kept, in one row, so no join gives the pairs of a key. An entry may pay several records: whose it is, is for an assignment to say.
+    Records without amount or time are inconclusive; entries without are left out. Null keys equal no key.
+    """
+    within = F.lit(tolerance).cast("decimal(18,2)")
+    period = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (days * 86_400_000_000))
+    due = records.select(key, "id", "amount", period.alias("_period"))
+    paid = entries.where("amount is not null and ts is not null").select(key, F.col("id").alias("entry"), F.col("amount").alias("part"), period.alias("_period"))
+    counted = paid.groupBy(key, "_period").agg(F.count("*").alias("n_entries"))
+    # Limits of a window are applied before its shuffle, too.
+    few = paid.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_period").orderBy("entry"))).where(F.col("_n") <= most + 1)
+    listed = few.groupBy(key, "_period").agg(F.array_sort(F.collect_list(F.struct("entry", "part"))).alias("listed"))
+    width = F.greatest(2 * within, F.lit("0.01").cast("decimal(18,2)"))
+    reached = F.array_distinct(F.array(F.floor((F.col("amount") - within) / width), F.floor((F.col("amount") + within) / width)))
+    # Of entries with one amount the first stands for all.
+    alike = paid.groupBy(key, "_period", "part").agg(F.min("entry").alias("entry")).withColumn("_at", F.floor(F.col("part") / width))
+    asked = due.where("amount is not null").withColumn("_at", F.explode(reached))
+    singles = asked.join(alike, [key, "_period", "_at"]).where(F.abs(F.col("part") - F.col("amount")) <= within).groupBy("id").agg(F.array(F.min("entry")).alias("single"))
+    # Sets are numbers whose bits choose entries.
+    bit = lambda bits, i: F.call_function("shiftright", bits, i).bitwiseAND(F.lit(1)) == 1
+    places = F.sequence(F.lit(0), F.size("listed") - 1)
+    part = lambda i: F.element_at("listed", i + 1)
+    total = lambda bits: F.aggregate(places, F.lit(0).cast("decimal(38,2)"), lambda a, i: (a + F.when(bit(bits, i), part(i)["part"]).otherwise(0)).cast("decimal(38,2)"))
+    all_sets = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("listed")) - 1)
+    fitting = F.filter(all_sets, lambda bits: (F.bit_count(bits) <= (largest or most)) & (F.abs(total(bits) - F.col("amount")) <= within))
+    best = F.array_min(F.transform(fitting, lambda bits: F.struct(F.bit_count(bits).alias("n"), F.transform(F.filter(places, lambda i: bit(bits, i)), lambda i: part(i)["entry"]).alias("ids"))))["ids"]
+    joined = due.join(counted, [key, "_period"], "left").join(listed, [key, "_period"], "left").join(singles, "id", "left")
+    n = F.coalesce("n_entries", F.lit(0))
+    by = F.coalesce("single", F.when(F.size("listed") <= most, best))
+    told = joined.select(key, "id", "amount", n.alias("n_entries"), F.col("amount").isNull() | F.col("_period").isNull() | (n > most), by.alias("paid_by")).toDF(key, "id", "amount", "n_entries", "_unclear", "paid_by")
+    cls = F.when(F.col("paid_by").isNotNull(), "settled").when(F.col("_unclear"), "inconclusive").otherwise("unsettled")
+    return told.select(key, "id", "amount", "n_entries", cls.alias("class"), "paid_by")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,35 @@ def listed(rows: DataFrame, key: str, value: str, separator: str = ",") -> DataF
 
 
 def duplicates(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows whose key others have too, numbered within it."""
-    same = Window.partitionBy(*key)
-    numbered = rows.withColumns({"copies": F.count("*").over(same), "copy_no": F.row_number().over(same.orderBy(*order)).cast("int")})
-    return numbered.where("copies > 1")
+    """Rows whose key others have too, with how many there are and their number among them, by `order`.
+
+    Keys are counted first, so that only rows of repeated ones are put in order: by ranges of (key,
+    order), so that a key with a third of all rows is many tasks' work. Null keys are alike.
+    """
+    counts = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.count("*").alias("copies")).where("copies > 1")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)])
+    repeated = rows.join(counts, same).drop(*[f"_k{i}" for i in range(len(key))])
+    placed = numbered(repeated, key, order)
+    return placed.select(*rows.columns, "copies", F.col("place").cast("int").alias("copy_no"))
+
+
+def numbered(rows: DataFrame, key: list[str], order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """`rows` with their place within their key, from 1, by `order`; and of columns `sums`, the sum up to and with a row (sum_<column>).
+
+    Rows are dealt by ranges of (key, order) and numbered within each; one row for each range
+    and key tells what came before. Written to the checkpoint folder.
+    """
+    parts = checkpointed(rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *key, *order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parts.withColumns({"place": F.count("*").over(within), **{f"sum_{c}": F.sum(c).over(within) for c in sums}})
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(key))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = parts.groupBy(F.col("_part").alias("_p"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)]).agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    starts = ranges.select("_p", *[f"_k{i}" for i in range(len(key))], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), *[F.sum(f"_s_{c}").over(before).alias(f"_from_{c}") for c in sums])
+    same = reduce(lambda a, b: a & b, [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]])
+    joined = inside.join(starts, same)
+    # A sum of nothing is null, on either side.
+    total = lambda c: F.coalesce(F.col(f"_from_{c}") + F.col(f"sum_{c}"), f"_from_{c}", f"sum_{c}")
+    return joined.select(*rows.columns, (F.col("_start") + F.col("place")).alias("place"), *[total(c).alias(f"sum_{c}") for c in sums])
 
 
 def ranked(rows: DataFrame, key: str, order: str, ties: str) -> DataFrame:
@@ -115,3 +142,24 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
 def together(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both by column name; columns that one lacks are null."""
     return a.unionByName(b, allowMissingColumns=True)
+
+
+#: log2 of the hashes that a sketch keeps. Up to so many distinct values it is exact, beyond its relative standard error is one over the root of their number.
+LG_KEPT = 12
+
+
+def distinct_sketches(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, rows, sketch): of each group a sketch of its distinct values, of bounded size, which can be stored and merged."""
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), F.theta_sketch_agg(value, LG_KEPT).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows, sketch) over groups of stored sketches; as good as a sketch made in one pass over all their rows."""
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), F.theta_union_agg("sketch", LG_KEPT).alias("sketch"))
+
+
+def estimated(sketches: DataFrame, errors: float = 3) -> DataFrame:
+    """`sketches` with the estimate of their distinct values, and by how many it may be off: so many standard errors, or 0 where the sketch has kept all hashes."""
+    estimate, kept = F.theta_sketch_estimate("sketch"), 1 << LG_KEPT
+    bound = F.when(estimate <= kept, 0).otherwise(F.ceil(estimate * (errors / kept**0.5)))
+    return sketches.withColumns({"estimate": estimate, "off_by_at_most": bound.cast("long")})

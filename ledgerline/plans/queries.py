@@ -122,6 +122,32 @@ def tolerance_matches(spark, sf_dir):
     return rec.tolerance_matches(left_records(spark, sf_dir), right_evidence(spark, sf_dir), "record_id", "0.01")
 
 
+_SPLIT_DAYS, _SPLIT_MOST, _SPLIT_LARGEST = 730, 12, 3
+
+
+@query(f"""with o as ({_ORDERS}), due as (select account, record_id as id, amount, epoch_us(event_ts) // {_SPLIT_DAYS * 86_400_000_000} as period, event_ts from o),
+paid as (
+  select account, id * 4 + i as entry, period, cast(case when i = 0 then amount - (id % 3) * cast(floor(amount / 4) as decimal(18,2)) else cast(floor(amount / 4) as decimal(18,2)) end as decimal(18,2)) as part
+  from due, range(3) r(i) where i <= id % 3 and not (id % 7 = 0 and i = 0)
+), counted as (select account, period, count(*) as n from paid group by account, period),
+sets as (
+  select d.id, 1 as size, [a.entry] as ids from due d join paid a using (account, period) where a.part = d.amount
+  union all select d.id, 2, [a.entry, b.entry] from due d join counted using (account, period) join paid a using (account, period) join paid b using (account, period) where n <= {_SPLIT_MOST} and a.entry < b.entry and a.part + b.part = d.amount
+  union all select d.id, 3, [a.entry, b.entry, c.entry] from due d join counted using (account, period) join paid a using (account, period) join paid b using (account, period) join paid c using (account, period)
+    where n <= {_SPLIT_MOST} and a.entry < b.entry and b.entry < c.entry and a.part + b.part + c.part = d.amount
+), best as (select id, ids from (select *, row_number() over (partition by id order by size, ids) as i from sets) where i = 1)
+select account, id, amount, coalesce(n, 0) as n_entries, case when ids is not null then 'settled' when n > {_SPLIT_MOST} then 'inconclusive' else 'unsettled' end as class, coalesce(array_to_string(ids, ','), '') as paid_by
+from due left join counted using (account, period) left join best using (id)""")
+def split_settlements(spark, sf_dir):
+    """Orders paid in up to three parts, of some of which the first is missing."""
+    due = order_records(spark, sf_dir).select("account", F.col("record_id").alias("id"), "amount", F.col("event_ts").alias("ts"))
+    fourth, parts = F.floor(F.col("amount") / 4).cast(MONEY), F.col("id") % 3
+    each = due.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), parts))).where("not (id % 7 = 0 and i = 0)")
+    paid = each.select("account", (F.col("id") * 4 + F.col("i")).alias("id"), F.when(F.col("i") == 0, F.col("amount") - parts.cast("int") * fourth).otherwise(fourth).cast(MONEY).alias("amount"), "ts")
+    found = rec.split_settlements(due, paid, "account", _SPLIT_DAYS, most=_SPLIT_MOST, largest=_SPLIT_LARGEST)
+    return found.withColumn("paid_by", F.coalesce(F.array_join("paid_by", ","), F.lit("")))
+
+
 # Time
 
 
@@ -204,6 +230,19 @@ def approximate_distinct(spark, sf_dir):
     return counts.select("kind", "accounts", (F.abs(F.col("a") - F.col("accounts")) <= 3 * error * F.col("accounts")).alias("close"))
 
 
+@query("""select o_orderstatus as kind, cast(extract(year from o_orderdate) as integer) as year, count(distinct o_custkey) as accounts, count(distinct o_custkey) as estimate, cast(0 as bigint) as off_by_at_most, count(*) as n, count(distinct o_custkey) as of_one_pass
+from orders group by 1, 2""")
+def stored_sketches(spark, sf_dir):
+    """Sketches of accounts kept by month, merged by year, beside the exact number and a sketch of one pass. As long as a year has fewer accounts than a sketch keeps, all three are equal and the bound is 0."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("kind"), F.date_trunc("month", "o_orderdate").alias("month"), F.year("o_orderdate").alias("year"), "o_custkey")
+    path = stream.new_folder(spark, "sketches")
+    summary.distinct_sketches(orders, ["kind", "year", "month"], "o_custkey").write.partitionBy("year").parquet(path)
+    merged = summary.estimated(summary.merged_sketches(spark.read.parquet(path), ["kind", "year"]))
+    once = summary.estimated(summary.distinct_sketches(orders, ["kind", "year"], "o_custkey")).select("kind", "year", F.col("estimate").alias("of_one_pass"))
+    exact = orders.groupBy("kind", "year").agg(F.countDistinct("o_custkey").alias("accounts"))
+    return merged.join(once, ["kind", "year"]).join(exact, ["kind", "year"]).select("kind", "year", "accounts", "estimate", "off_by_at_most", F.col("rows").alias("n"), "of_one_pass")
+
+
 @query(f"{_reconciled()} select class, string_agg(distinct flags, ';' order by flags) as listed from result group by class")
 def flags_listed(spark, sf_dir):
     rows = _result(spark, sf_dir).select("class", F.array_join("flags", ",").alias("flags"))

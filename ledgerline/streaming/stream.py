@@ -196,12 +196,10 @@ def closed_positions(stream: DataFrame, key: str, ts: str, idle_seconds: int) ->
     """A keyed state machine with timers: of each key, when it has been idle for so long, its rows, units, and whether it is overdrawn.
 
     State goes with the timer that ends it, so what is kept are the keys of late;
-    a key that comes back begins anew. Rows of a null key are left out. Start it within `rocksdb_state`.
+    a key that comes back begins anew. Rows of a null key are one key's. Start it within `rocksdb_state`.
     """
     kind = stream.schema[key].dataType.simpleString()
-    # One condition that has to see the time, so that no part of it is pushed below the watermark, which the closing row moves.
-    told = F.when(before_closing(ts), F.col(key).isNotNull()).otherwise(False)
-    return stream.where(told).groupBy(key).transformWithStateInPandas(_Positions(key, ts, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
+    return stream.where(before_closing(ts)).groupBy(key).transformWithStateInPandas(_Positions(key, ts, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
 
 
 @contextmanager

@@ -1,8 +1,12 @@
+import random
+from datetime import datetime, timedelta, timezone
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.canonical import row_hash, table_digest
-from ledgerline.operators.reconcile import Profile, reconcile, reconcile_by_kind
+from ledgerline.operators.reconcile import Profile, reconcile, reconcile_by_kind, split_settlements, tolerance_matches
 from ledgerline.plans import evaluation
 from ledgerline.sources.tables import left_records, right_evidence
 
@@ -82,3 +86,29 @@ def test_evaluation_ids_depend_on_the_profile(spark, sf_dir):
     for p in (Profile(), Profile(amount_tolerance="0.00"), Profile()):
         ids.add(evaluation.manifest(left, right, evaluation.evaluate(left, right, p), p).first()["evaluation_id"])
     assert len(ids) == 2
+
+
+def test_tolerance_matches_by_trying_all_pairs(spark):
+    rng = random.Random(3)
+    side = lambda n: [(None if rng.random() < 0.05 else "hot" if rng.random() < 0.4 else rng.choice("ab"), None if rng.random() < 0.05 else rng.randrange(-300, 300)) for _ in range(n)]
+    for cents in (0, 1, 7):
+        left, right = side(60), side(50)
+        of = lambda x: spark.createDataFrame(x, "k string, c int").selectExpr("k", "cast(c / 100.0 as decimal(18,2)) as amount")
+        found = sorted((r["k"], round(r["amount"] * 100), round(r["right_amount"] * 100)) for r in tolerance_matches(of(left), of(right), "k", f"{cents / 100:.2f}").collect())
+        assert found == sorted((k, a, b) for k, a in left for j, b in right if None not in (k, a, b) and k == j and abs(a - b) <= cents)
+
+
+def test_settlements_by_trying_all_sets(spark):
+    rng = random.Random(4)
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    due = [(rng.choice("abc"), i, rng.choice([None, *range(1, 40)]), day(rng.randrange(0, 30))) for i in range(40)] + [("hot", 100, 9, day(1)), ("hot", 101, 77, day(1)), (None, 102, 5, day(1))]
+    paid = [(rng.choice("abc"), i, rng.choice([None, *range(-3, 20)]), day(rng.randrange(0, 30))) for i in range(30)] + [("hot", 200 + i, 9, day(1)) for i in range(20)] + [(None, 300, 5, day(1))]
+    of = lambda x: spark.createDataFrame(x, "k string, id long, a int, ts timestamp").selectExpr("k", "id", "cast(a as decimal(18,2)) as amount", "ts")
+    found = {r["id"]: (r["n_entries"], r["class"], r["paid_by"]) for r in split_settlements(of(due), of(paid), "k", 10, "1.00", most=8).collect()}
+    period = lambda t: int(t.replace(tzinfo=timezone.utc).timestamp()) // (10 * 86_400)
+    for k, i, amount, ts in due:
+        own = sorted((j, p) for c, j, p, t in paid if k is not None and c == k and period(t) == period(ts) and p is not None)
+        sets = [(n, [j for j, _ in x]) for n in range(1, (1 if len(own) > 8 else len(own)) + 1) for x in combinations(own, n) if amount is not None and abs(sum(p for _, p in x) - amount) <= 1]
+        expect = ("settled", min(sets)[1]) if sets else ("inconclusive" if amount is None or len(own) > 8 else "unsettled", None)
+        assert found[i] == (len(own), *expect), i
+    assert len(found) == len(due)

@@ -20,3 +20,25 @@ def test_ranks_over_ranges_are_those_of_windows(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert summary.ranked(df.limit(0), "kind", "amount", "id").count() == 0
+
+
+def test_duplicates_and_sums_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "a", None, f"k{rng.randrange(40)}"]), rng.choice([None, rng.randrange(9)]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "kind string, amount long, id long").repartition(5)
+    w = Window.partitionBy("kind").orderBy("id")
+    expected = df.withColumns({"copies": F.count("*").over(Window.partitionBy("kind")), "copy_no": F.row_number().over(w)}).where("copies > 1")
+    assert sorted(map(repr, summary.duplicates(df, ["kind"], ["id"]).collect())) == sorted(map(repr, expected.collect()))
+    running = df.withColumns({"place": F.row_number().over(w).cast("long"), "sum_amount": F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    assert sorted(map(repr, summary.numbered(df, ["kind"], ["id"], ("amount",)).collect())) == sorted(map(repr, running.collect()))
+    assert summary.duplicates(df.limit(0), ["kind"], ["id"]).count() == 0
+
+
+def test_merged_sketches_are_as_good_as_one_pass(spark):
+    for distinct in (4000, 20_000):
+        df = spark.range(60_000).selectExpr("id % 7 as part", f"xxhash64(id % {distinct}) as value")
+        merged = summary.estimated(summary.merged_sketches(summary.distinct_sketches(df, ["part"], "value"), [])).first()
+        once = summary.estimated(summary.distinct_sketches(df, [], "value")).first()
+        assert merged["rows"] == once["rows"] == 60_000 and abs(merged["estimate"] - distinct) <= merged["off_by_at_most"] < distinct / 18
+        assert abs(merged["estimate"] - once["estimate"]) <= merged["off_by_at_most"]
+    assert len(merged["sketch"]) < 16 * 4096
