@@ -200,3 +200,36 @@ def prefix_trie(rebuilt: DataFrame) -> DataFrame:
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of the conversations (conv_id, turn, role, text) after turns are shared within groups of ids."""
     return prefix_trie(with_shared_turns(numbered_turns(conversations)))
+
+
+#: SQL without message passing: every node meets its ancestors. crc32 is made bit by bit.
+ORACLE_SQL = f"""
+with bits as (
+  select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, {0xEDB88320}) else c >> 1 end) as v from range(256) r(i))
+), turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k, strlen(coalesce(text, '')) as bytes
+  from conversations where conv_id is not null
+), ids as (
+  select conv_id as c, conv_id - conv_id % {GROUP} as donor,
+    xor({0xFFFFFFFF}, list_reduce(list_concat([{0xFFFFFFFF}], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % {MOST_SHARED} as h
+  from (select distinct conv_id from turns), bits
+), rebuilt as (
+  select c, 1 as part, pos, k, bytes from ids join turns on conv_id = donor where pos <= h union all select c, 2, pos, k, bytes from ids join turns on conv_id = c where pos > h
+), placed as (
+  select c, row_number() over (partition by c order by part, pos) as d, k, bytes from rebuilt
+), members as (
+  select c, d, string_agg(k, '') over (partition by c order by d) as path, bytes from placed union all select c, 0, '', 0 from ids
+), last_turns as (
+  select c, max(d) as d from members group by c
+), nodes as (
+  select path, m.d as depth, min(m.c) as conv_id, count(*) as n_convs, any_value(bytes) as bytes, coalesce(string_agg(cast(m.c as varchar), ',' order by m.c) filter (m.d = l.d), '') as ends
+  from members m join last_turns l on m.c = l.c group by path, m.d
+), children as (
+  select left(path, 32 * (depth - 1)) as path, count(*) as n from nodes where depth > 0 group by 1
+), sums as (
+  select left(b.path, 32 * up.i) as path, sum(case when x.n is null then 1 else 0 end) as n_leaves, sum((b.n_convs - 1) * b.bytes) as saved
+  from (select *, unnest(range(depth + 1)) as i from nodes) up join nodes b on b.path = up.path left join children x on x.path = b.path group by 1
+)
+select a.conv_id, a.depth, p.conv_id as parent_conv_id, a.n_convs, coalesce(x.n, 0) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, sha256(a.ends) as ends_sha256
+from nodes a join sums on sums.path = a.path left join children x on x.path = a.path left join nodes p on a.depth > 0 and p.path = left(a.path, 32 * (a.depth - 1))
+"""

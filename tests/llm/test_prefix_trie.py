@@ -5,7 +5,9 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.prefix_trie import conversation_trie, numbered_turns, prefix_trie
+from ledgerline.llm.prefix_trie import ORACLE_SQL, conversation_trie, numbered_turns, prefix_trie
+from ledgerline.llm.queries import QUERIES
+from tests.conftest import same_rows
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -86,3 +88,7 @@ def test_odd_tables(spark):
     assert conversation_trie(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, 1, "user", "x"), (7, None, None, None), (7, None, None, None), (9, 0, "user", "y" * 300_000)]
     assert told(conversation_trie(spark.createDataFrame(rows, SCHEMA))) == brute_trie(rebuilt(rows))
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck):
+    same_rows(QUERIES["op12_prefix_trie"](spark, sf_dir), duck, ORACLE_SQL)
