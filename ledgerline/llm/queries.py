@@ -89,5 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_url_bloom": url_filter.ORACLE_SQL,
     "op7_chat_round_trip": chat_format.ORACLE_SQL,
     "op8_line_blocks": html_text.ORACLE_SQL,
+    "op11_turn_repair": turn_repair.ORACLE_SQL,
     "op12_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -247,3 +247,63 @@ def repair_digests(turns: DataFrame) -> DataFrame:
 
     # The edits arrive in the order in which the partition was sorted.
     return edits(turns).mapInArrow(digest, _REPORT)
+
+
+_N, _BITS = 1_000_000_000, "[0, 0, 0, 0, 0, 0, 0, 0]"
+
+
+def _stays_sql(kept: str, reroled: str) -> str:
+    return f"case when fault in ('b', 'd') then {_N} else more + least({kept}, 1 + {reroled}) end"
+
+
+#: The same recursions in SQL, row by row; crc32 is made bit by bit.
+ORACLE_SQL = rf"""
+with recursive bits as (
+  select list(v order by i) as t from (select i, list_reduce(list_concat([i], {_BITS}), lambda c, k: case when c & 1 = 1 then xor(c >> 1, {0xEDB88320}) else c >> 1 end) as v from range(256) r(i))
+), base as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor({0xFFFFFFFF}, list_reduce(list_concat([{0xFFFFFFFF}], list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as f
+  from conversations, bits
+), damaged as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role, case when f = 1 then '' when f = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from base, range(2) r(i) where f <> 0 and (i = 0 or f = 3)
+), told as (
+  select *, row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as again, left(role, 1) as c0, regexp_replace(text, '[ 	-]+$', '') as body from damaged
+), placed as (
+  select *, row_number() over w as i, count(*) over (partition by conv_id) as n, lag(c0) over w as before from told window w as (partition by conv_id order by turn nulls first, role, text, again)
+), judged as (
+  select *, case when body = '' then 'b' when again then 'd' when right(body, 1) not in ('.', '!', '?') then 't' else '' end as fault from placed
+), rows_ as (
+  select conv_id, i, n, role, text, c0, fault, case when fault = 't' then {TRUNCATED_STAYS} else 0 end as more from judged
+), back(conv_id, i, a0, a1, a2, a3) as (
+  select conv_id, n + 1, 0, 10, 5, 0 from rows_ where i = 1
+  union all
+  select conv_id, i, least(v0, 5 + least(v2, 5 + v3)), least(v1, 5 + least(v2, 5 + v3)), least(v2, 5 + v3), least(v3, 5 + v2) from (
+    select r.conv_id, r.i, least(2 + a0, {_stays_sql(f"case c0 when 's' then a1 when 'u' then a2 else {_N} end", "a2")}) as v0, least(2 + a1, {_stays_sql(f"case c0 when 'u' then a2 else {_N} end", "a2")}) as v1,
+      least(2 + a2, {_stays_sql(f"case c0 when 'a' then a3 else {_N} end", "a3")}) as v2, least(2 + a3, {_stays_sql(f"case c0 when 'u' then a2 else {_N} end", "a2")}) as v3
+    from back b join rows_ r on r.conv_id = b.conv_id and r.i = b.i - 1)
+), costs as (
+  select conv_id, i, [a0, a1, a2, a3] as a from back
+), walk(conv_id, i, s, audit, turns, cost) as (
+  select conv_id, cast(1 as bigint), 0, '', '', 0 from rows_ where i = 1
+  union all
+  select conv_id, i + case when e = 'I' then 0 else 1 end, case e when 'D' then s when 'K' then kept else asked end, audit || e,
+    turns || case e when 'D' then '' when 'K' then chr(10) || role || ':' || text when 'R' then chr(10) || asked_role || ':' || text else chr(10) || asked_role || ':' end,
+    cost + case e when 'D' then 2 when 'I' then 5 when 'K' then more else 1 + more end
+  from (
+    select *, case when role is not null and here = 2 + after[s + 1] then 'D' when here = 5 + a[asked + 1] then 'I' when fault not in ('b', 'd') and here = more + after[kept + 1] then 'K' else 'R' end as e
+    from (
+      select w.*, h.a, h.a[w.s + 1] as here, x.a as after, r.role, r.text, r.fault, r.more, case when w.s = 2 then 3 else 2 end as asked, case when w.s = 2 then 'assistant' else 'user' end as asked_role,
+        case when w.s = 0 and c0 = 's' then 1 when w.s <> 2 and c0 = 'u' then 2 when w.s = 2 and c0 = 'a' then 3 end as kept
+      from walk w join costs h on h.conv_id = w.conv_id and h.i = w.i left join costs x on x.conv_id = w.conv_id and x.i = w.i + 1 left join rows_ r on r.conv_id = w.conv_id and r.i = w.i
+      where r.i is not null or w.s not in (0, 3)))
+), ended as (
+  select conv_id, arg_max(audit, length(audit)) as audit, arg_max(turns, length(audit)) as turns, arg_max(cost, length(audit)) as cost from walk group by conv_id
+), counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+    count(*) filter (before is not null and before || c0 not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(cost, 0) as bigint) as cost, coalesce(audit, '') as audit,
+  sha256(coalesce(substr(turns, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join counted on c.conv_id = counted.conv_id left join ended on c.conv_id = ended.conv_id
+"""

@@ -6,7 +6,9 @@ from itertools import product
 
 import pytest
 
-from ledgerline.llm.turn_repair import AT_END, damaged, edits, repair_digests, repaired_turns
+from ledgerline.llm.queries import QUERIES
+from ledgerline.llm.turn_repair import AT_END, ORACLE_SQL, damaged, edits, repair_digests, repaired_turns
+from tests.conftest import same_rows
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
@@ -124,3 +126,7 @@ def test_nothing_and_what_is_all_gone(spark):
     (r,) = repair_digests(damaged(spark.createDataFrame([(gone, 0, "user", "Hi.")], SCHEMA))).collect()
     assert [r[c] for c in COUNTS] == [0] * 6 and r["audit"] == "" and r["repaired_sha256"] == sha256(b"").hexdigest()
     assert AT_END == (0, 10, 5, 0)
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck):
+    same_rows(QUERIES["op11_turn_repair"](spark, sf_dir), duck, ORACLE_SQL)
