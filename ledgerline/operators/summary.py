@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ledgerline.sources.shared import checkpointed, shuffle_partitions
@@ -105,17 +105,47 @@ def ranked(rows: DataFrame, key: str, order: str, ties: str) -> DataFrame:
     return joined.select(*rows.columns, *[c.cast("int").alias(name) for name, c in (("place", place), ("rank", rank), ("dense_rank", F.col("dense") + F.col("_dense")), ("quarter", quarter))])
 
 
-def movements(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Running balance, the amounts before and after, the total of three rows and of a day's range."""
-    w = Window.partitionBy(key).orderBy(*order)
+def blocks(placed: DataFrame, key: list[str], before: int, after: int, size: int = 1 << 16) -> tuple[DataFrame, WindowSpec]:
+    """Rows with their `place`, dealt to _block by `size` of a key's places, and a window over a block in order of them.
+
+    A block has the last rows of the block before it and the first of that after it too (_own is
+    false there), as many as `before` and `after` say: what frames of so many rows need.
+    """
+    at = F.col("place") - 1
+    block, within = F.floor(at / size), at % size
+    home = F.array(
+        F.struct(block.alias("_block"), F.lit(True).alias("_own")),
+        F.when(within >= size - before, F.struct((block + 1).alias("_block"), F.lit(False).alias("_own"))),
+        F.when((within < after) & (block > 0), F.struct((block - 1).alias("_block"), F.lit(False).alias("_own"))),
+    )
+    return placed.select("*", F.inline(F.array_compact(home))), Window.partitionBy(*key, "_block").orderBy("place")
+
+
+def until_next(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """`rows` with `start`, their time (the first of `order`), and `end`, that of the next row of their key; null in the last."""
+    dealt, w = blocks(numbered(rows, [key], order), [key], 0, 1)
+    return dealt.withColumns({"start": F.col(order[0]), "end": F.lead(order[0]).over(w)}).where("_own").select(*rows.columns, "start", "end")
+
+
+def movements(rows: DataFrame, key: str, order: list[str], block_rows: int = 1 << 16) -> DataFrame:
+    """Running balance, the amounts before and after, the total of three rows and how many rows fall into the day up to each.
+
+    Rows of a key are numbered over ranges and dealt to blocks of `block_rows` with their neighbours, so
+    that a key with a third of all rows is many tasks' work. The rows of a day are those up to its end less those
+    up to its start, both running counts over ranges. Null keys are one key; rows without a time come first, and their day is all of them.
+    """
     money = "decimal(38,2)"
-    day = Window.partitionBy(key).orderBy(F.unix_micros(F.col(order[0]).cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
-    return rows.withColumns({
-        "balance": F.sum("amount").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast(money),
-        "previous": F.lag("amount").over(w), "following": F.lead("amount").over(w),
-        "last_three": F.sum("amount").over(w.rowsBetween(-2, 0)).cast(money),
-        "within_day": F.count("*").over(day),
-    })
+    placed = checkpointed(numbered(rows, [key], order, ("amount",)))
+    dealt, w = blocks(placed, [key], 2, 1, block_rows)
+    beside = dealt.withColumns({"previous": F.lag("amount").over(w), "following": F.lead("amount").over(w), "last_three": F.sum("amount").over(w.rowsBetween(-2, 0)).cast(money)}).where("_own")
+    at = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    rows_at = placed.select(key, at.alias("at"), F.col("place").alias("_row"))
+    marks = F.inline(F.array(*[F.struct(when.alias("at"), F.lit(side).alias("side"), F.lit(int(side == 1)).alias("one")) for side, when in enumerate((F.col("at") - 86_400_000_000, F.col("at"), F.col("at")))]))
+    counted = numbered(rows_at.select(key, "_row", marks), [key], ["at", "side", "_row"], ("one",))
+    upto = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("sum_one"))), F.lit(0))
+    days = counted.groupBy(F.col(key).alias("_k"), "_row").agg((upto(2) - upto(0)).alias("within_day"))
+    joined = beside.join(days, F.col(key).eqNullSafe(F.col("_k")) & (F.col("place") == F.col("_row")))
+    return joined.select(*rows.columns, F.col("sum_amount").cast(money).alias("balance"), "previous", "following", "last_three", "within_day")
 
 
 def bucketed(rows: DataFrame, ts: str, width: str, slide: str | None, by: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import canonical, hashtree, scalars, vectorised
 from ledgerline.operators import reconcile as rec
-from ledgerline.operators import summary, timejoin
+from ledgerline.operators import overlaps, summary, timejoin
 from ledgerline.plans import evaluation
 from ledgerline.sources import connector, ingest, profiles
 from ledgerline.sources.shared import checkpointed
@@ -189,6 +189,31 @@ def stable_assignment(spark, sf_dir):
     return timejoin.stable_assignment(_events(spark, sf_dir, "purchase"), _events(spark, sf_dir, "error"), "user_id")
 
 
+def _until(types: str) -> str:
+    return f"select user_id, id, ts as start, stop from (select user_id, event_id as id, ts, event_type, lead(ts) over (partition by user_id order by ts, event_id) as stop from events where event_type in ({types})) where event_type in ('purchase', 'error') and ts < stop"
+
+
+@query(f"""with p as ({_until("'purchase'")}), e as ({_until("'error', 'view', 'click', 'signup'")})
+select user_id, p.id as left_id, e.id as right_id, greatest(p.start, e.start) as common_start, least(p.stop, e.stop) as common_end from p join e using (user_id) where p.start < e.stop and e.start < p.stop""")
+def overlapping_intervals(spark, sf_dir):
+    """The time from a purchase to the user's next, and from an error to what the user does next."""
+    purchases = summary.until_next(_events(spark, sf_dir, "purchase"), "user_id", ["ts", "id"])
+    others = table(spark, sf_dir, "events").where("event_type <> 'purchase'").select("user_id", F.col("event_id").alias("id"), "ts", "event_type")
+    errors = summary.until_next(others, "user_id", ["ts", "id"]).where("event_type = 'error'")
+    found = overlaps.overlap_join(purchases, errors, "user_id", granule=26)
+    return found.withColumnsRenamed({"start": "common_start", "end": "common_end"})
+
+
+@query("""with u as (select o_custkey, o_orderkey, o_orderdate, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) * case when o_orderstatus = 'F' then -1 else 1 end as units from orders),
+r as (select *, abs(units) as size, sum(abs(units)) over (partition by o_custkey, units > 0 order by o_orderdate, o_orderkey) as upto from u where units <> 0)
+select a.o_custkey, a.o_orderkey as lot_id, d.o_orderkey as disposal_id, cast(least(a.upto, d.upto) - greatest(a.upto - a.size, d.upto - d.size) as bigint) as units
+from r a join r d on a.o_custkey = d.o_custkey and a.units > 0 and d.units < 0 and a.upto - a.size < d.upto and d.upto - d.size < a.upto""")
+def fifo_lots(spark, sf_dir):
+    units = _cents("o_totalprice") * F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), "o_orderdate", units.alias("units"))
+    return overlaps.fifo_lots(rows, "o_custkey", ["o_orderdate", "id"], "units", granule=20)
+
+
 # Summaries
 
 

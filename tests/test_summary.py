@@ -1,4 +1,5 @@
 import random
+from datetime import datetime, timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -42,3 +43,23 @@ def test_merged_sketches_are_as_good_as_one_pass(spark):
         assert merged["rows"] == once["rows"] == 60_000 and abs(merged["estimate"] - distinct) <= merged["off_by_at_most"] < distinct / 18
         assert abs(merged["estimate"] - once["estimate"]) <= merged["off_by_at_most"]
     assert len(merged["sketch"]) < 16 * 4096
+
+
+def test_movements_over_blocks_are_those_of_windows(spark):
+    """A hot account, times that tie and are missing, amounts that are null, and blocks of three rows."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 1, 1, 2, None, 3 + rng.randrange(5)]), i, rng.choice([None, start + timedelta(hours=12 * rng.randrange(20))]), rng.choice([None, rng.randrange(100)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "account int, id long, ts timestamp_ntz, amount long").withColumn("amount", F.col("amount").cast("decimal(18,2)")).repartition(5)
+    w = Window.partitionBy("account").orderBy("ts", "id")
+    day = Window.partitionBy("account").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
+    total = lambda frame: F.sum("amount").over(frame).cast("decimal(38,2)")
+    expected = df.withColumns({
+        "balance": total(w.rowsBetween(Window.unboundedPreceding, 0)), "previous": F.lag("amount").over(w), "following": F.lead("amount").over(w),
+        "last_three": total(w.rowsBetween(-2, 0)), "within_day": F.count("*").over(day),
+    })
+    for block_rows in (3, 1 << 16):
+        assert sorted(map(repr, summary.movements(df, "account", ["ts", "id"], block_rows).collect())) == sorted(map(repr, expected.collect()))
+    assert summary.movements(df.limit(0), "account", ["ts", "id"]).count() == 0
+    ends = {r["id"]: r["end"] for r in summary.until_next(df.select("account", "id", "ts"), "account", ["ts", "id"]).collect()}
+    assert ends == {r["id"]: r["next"] for r in df.select("id", F.lead("ts").over(w).alias("next")).collect()}
