@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions import canonical, hashtree, scalars, vectorised
+from ledgerline.functions import canonical, hashtree, quantiles, scalars, vectorised
 from ledgerline.operators import reconcile as rec
 from ledgerline.operators import overlaps, summary, timejoin
 from ledgerline.plans import evaluation
@@ -590,6 +590,18 @@ def net_positions(spark, sf_dir):
     return counted.groupBy("l_suppkey").agg(vectorised.net_position("q", "n").alias("net"))
 
 
+@query("""with c as (select l_returnflag, l_quantity as v, count(*) as n from lineitem group by all),
+r as (select *, sum(n) over (partition by l_returnflag order by v) as upto, sum(n) over (partition by l_returnflag) as total from c)
+select l_returnflag, cast(max(total) as bigint) as rows, cast(0 as bigint) as off_by_at_most, min(case when upto * 1000 >= total * 100 then v end) as p10, min(case when upto * 1000 >= total * 500 then v end) as p50, min(case when upto * 1000 >= total * 990 then v end) as p99
+from r group by l_returnflag""")
+def quantity_quantiles(spark, sf_dir):
+    """Summaries by month, stored, and merged: exact, for there are fewer quantities than a summary has points."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.concat_ws(";", "l_returnflag", F.date_trunc("month", "l_shipdate").cast("string")).alias("of"))
+    monthly = quantiles.quantile_states(rows, "of", "l_quantity").withColumn("l_returnflag", F.substring_index("of", ";", 1))
+    merged = quantiles.merged_quantile_states(monthly, "l_returnflag")
+    return merged.select("l_returnflag", "rows", "off_by_at_most", *[quantiles.quantile(p).alias(f"p{p // 10}") for p in (100, 500, 990)])
+
+
 # Streams
 
 
@@ -666,6 +678,16 @@ def stream_positions(spark, sf_dir):
         return stream.run_to_end(stream.closed_positions(_stream(rows), "o_custkey", "ts", idle_seconds=30 * 86_400))
 
 
+@query("select o_custkey, o_orderstatus as kind, count(*) as rows, cast(sum(cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint)) as bigint) as units from orders group by o_custkey, o_orderstatus")
+def stream_state_audit(spark, sf_dir):
+    """What a stream has in its state after several batches, read back from its state store."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", _cents("o_totalprice").alias("units"), F.col("o_orderdate").alias("ts"))
+    folder = stream.new_folder(spark, "stream-state")
+    with stream.rocksdb_state(spark):
+        stream.run_keeping(stream.kept_balances(_stream(rows.repartition(3, "ts"), files_at_once=2), "o_custkey", "o_orderstatus", "ts"), folder)
+        return stream.state_rows(spark, folder, "balances")
+
+
 @query(f"with e as ({_EVENTS}) select event_type, count(*) as n, cast(sum(amount) as decimal(38,2)) as total from e group by event_type")
 def stream_into_store(spark, sf_dir):
     """A stream's micro-batches, stored; then the stream begins again without knowing how far it came, and all batches are there once."""

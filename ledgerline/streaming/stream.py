@@ -202,6 +202,50 @@ def closed_positions(stream: DataFrame, key: str, ts: str, idle_seconds: int) ->
     return stream.where(before_closing(ts)).groupBy(key).transformWithStateInPandas(_Positions(key, ts, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
 
 
+class _Balances(StatefulProcessor):
+    """A key's state: a map from kind to how many rows it has had and their units."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balances = handle.getMapState("balances", "kind string", "rows long, units long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for kind, of_kind in batch.groupby("kind", dropna=False):
+                at = (None if pd.isna(kind) else kind,)
+                n, units = self.balances.getValue(at) if self.balances.containsKey(at) else (0, 0)
+                self.balances.updateValue(at, (n + len(of_kind), units + int(of_kind["units"].sum())))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def kept_balances(stream: DataFrame, key: str, kind: str, ts: str) -> DataFrame:
+    """A keyed state machine that gives no rows, and keeps of each key and kind, as text, how many rows it has had and their units.
+
+    `state_rows` reads what it keeps. Null keys are one key and null kinds one kind. Start it within `rocksdb_state`.
+    """
+    # Whole numbers beside nulls would be floats in pandas.
+    rows = stream.where(before_closing(ts)).select(key, F.col(kind).cast("string").alias("kind"), F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"))
+    return rows.groupBy(key).transformWithStateInPandas(_Balances(), f"{key} {stream.schema[key].dataType.simpleString()}", "append", "none")
+
+
+def run_keeping(stream: DataFrame, folder: str) -> None:
+    """Process all that a stream has now, with its state and progress in `folder`; a later run goes on from there."""
+    stream.writeStream.outputMode("append").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+
+
+def state_rows(spark: SparkSession, folder: str, variable: str, batch: int | None = None) -> DataFrame:
+    """What a stream keeps in a map variable of its state, one row for each entry: its key's columns, the entry's and its value's.
+
+    It is the state after the last batch, or after `batch`, as long as the stream's folder has that. Each partition of the state is a task's work.
+    """
+    reader = spark.read.format("statestore").option("stateVarName", variable)
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    return reader.load(folder).select("key.*", "user_map_key.*", "user_map_value.*")
+
+
 @contextmanager
 def rocksdb_state(spark: SparkSession):
     """Queries that start within keep their state in RocksDB, as state with timers has to."""

@@ -25,3 +25,15 @@ def test_late_rows_are_counted_over_more_batches_than_a_query_remembers(spark):
         assert late == 8 - counted
     finally:
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_state_read_back_is_the_totals_of_all_batches(spark, tmp_path):
+    rows = [(k, kind, u, START + timedelta(hours=i)) for i, (k, kind, u) in enumerate([(1, "a", 5), (1, "a", -2), (1, "b", None), (None, "a", 7), (2, None, 3), (1, "a", 2**53 + 1), (None, None, 1)])]
+    df = spark.createDataFrame(rows, "key long, kind string, units long, ts timestamp_ntz").repartitionByRange(7, "ts")
+    folder = str(tmp_path / "state")
+    with stream.rocksdb_state(spark):
+        stream.run_keeping(stream.kept_balances(stream.staged(df, "ts", "1 hour", files_at_once=2), "key", "kind", "ts"), folder)
+        found = sorted((tuple(r) for r in stream.state_rows(spark, folder, "balances").collect()), key=repr)
+        first = stream.state_rows(spark, folder, "balances", batch=0).groupBy().sum("rows").first()[0]
+    assert found == sorted([(1, "a", 3, 2**53 + 4), (1, "b", 1, 0), (None, "a", 1, 7), (2, None, 1, 3), (None, None, 1, 1)], key=repr)
+    assert first <= 2
