@@ -24,8 +24,8 @@ from ledgerline.llm.common import checkpointed, shuffle_partitions, word_count
 
 WEIGHTS, MOST_EPOCHS, SEED = (5, 2, 1), 3, "mix"
 SYMBOLS = "#*$%&|<>"
-#: Sources whose targets are broadcast; more of them are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+#: Sources whose targets are broadcast; more of them are joined by shuffle, the rows of each in so many parts.
+BROADCAST_SOURCES, PARTS = 10_000, 16
 #: Repetitions of one row that a task writes.
 AT_ONCE = 256
 
@@ -78,6 +78,41 @@ def _place(source: F.Column) -> F.Column:
     return F.coalesce(F.concat(F.lit("0"), source.cast("string")), F.lit("1"))
 
 
+def _drawing(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """doc_id, place (of its source), size, text_hash and the exponential key of each row, and `more` columns."""
+    text = F.col("text").cast("string")
+    doc_id = F.col("doc_id").cast("long")
+    size = word_count(text)
+    symbols = F.coalesce(F.length(text) - F.length(F.translate(text, SYMBOLS, "")), F.lit(0))
+    name = F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(""))
+    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), name)), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
+    quality = (size + 1) / (size + 1 + symbols)
+    return docs.select(*more, doc_id.alias("doc_id"), _place(F.col("source")).alias("place"), size.alias("size"), F.xxhash64(text).alias("text_hash"), (-F.log(uniform) / quality).alias("key"))
+
+
+def _with_place(rows: DataFrame, by_place: DataFrame) -> DataFrame:
+    """`rows` with the row of `by_place` (written, one for each source) of their place; a source's rows are not brought together."""
+    if by_place.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(by_place), "place")
+    salted = by_place.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).join(salted, ["place", "_part"]).drop("_part")
+
+
+def _drawn(docs: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """Each row with its source's size and target, complete epochs and the words left for its sample, and the words drawn before it."""
+    # Rows that repeat one another are told apart, so that ranges can end between them.
+    rows = checkpointed(_drawing(docs)).withColumn("row", F.monotonically_increasing_id())
+    sources = checkpointed(rows.groupBy("place").agg(F.sum("size").alias("source_size")))
+    targets = checkpointed(source_targets(sources, weights, most))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    drawn = _with_place(running_total(rows, ["place"], ["key", "doc_id", "text_hash", "row"], ["size"]), targets).withColumn("epochs", epochs)
+    return drawn.withColumn("budget", F.floor("target") - F.col("epochs") * F.col("source_size"))
+
+
+#: Of a document taken whole if more than half of it is within the budget: true for those before the edge, false after it.
+_WITHIN = "2 * before_size + size <= 2 * budget"
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, cut: bool = True) -> DataFrame:
     """doc_id, place (of its source), text_hash, size, source_size, target and taken (words, repeats counted) of each row.
 
@@ -85,49 +120,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     sources meet their targets to the word; without, it is taken whole if more
     than half of it is within.
     """
-    text = F.col("text").cast("string")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    size = word_count(text)
-    rows = docs.select(
-        F.col("doc_id").cast("long"), _place(F.col("source")).alias("place"), size.alias("size"), F.coalesce(symbols, F.lit(0)).alias("symbols"), F.xxhash64(text).alias("text_hash"),
-        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.md5(text), F.lit("")).alias("name"),
-    )
-    uniform = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), F.col("name"))), 1, 13), 16, 10).cast("double") + 1) / float(1 << 52)
-    quality = (F.col("size") + 1) / (F.col("size") + 1 + F.col("symbols"))
-    rows = checkpointed(rows.select("doc_id", "place", "size", "text_hash", (-F.log(uniform) / quality).alias("key")))
-    # Rows that repeat one another are told apart, so that ranges can end between them.
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    sources = checkpointed(rows.groupBy("place").agg(F.sum("size").alias("source_size")))
-    targets = checkpointed(source_targets(sources, weights, most))
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    budget = F.floor("target") - epochs * F.col("source_size")
     if cut:
-        more = F.greatest(F.lit(0), F.least(F.col("size"), budget - F.col("before_size")))
+        more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before_size")))
     else:
-        more = F.when(2 * F.col("before_size") + F.col("size") <= 2 * budget, F.col("size")).otherwise(0)
-    drawn = running_total(rows, ["place"], ["key", "doc_id", "text_hash", "row"], ["size"]).join(targets, "place")
-    return drawn.select("doc_id", "place", "text_hash", "size", "source_size", "target", (epochs * F.col("size") + more).cast("long").alias("taken"))
+        more = F.when(F.expr(_WITHIN), F.col("size")).otherwise(0)
+    return _drawn(docs, weights, most).select("doc_id", "place", "text_hash", "size", "source_size", "target", (F.col("epochs") * F.col("size") + more).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """`docs`, each row as many times as the mix takes it whole.
 
-    Rows of one doc_id, source and text get what the mix takes of all of them: each the
-    same number of times, and one of them what is left over.
+    A source's sample ends at one place in the order of keys, and a row draws its key from itself: so texts are
+    compared with their source's edge where they are read, and not shuffled. Of rows that repeat
+    one another on the edge, some of which are within, one stands for all that are.
     """
-    mixed = mix_sources(docs, weights, most, cut=False)
-    takes = F.sum(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(0)).alias("takes")
-    copies = checkpointed(mixed.groupBy("doc_id", "place", "text_hash").agg(takes, F.count("*").alias("rows")).where("takes > 0"))
-    # The row goes whole, as one column, so that no column of it can clash with ours.
-    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (_place(F.col("doc.source")) == F.col("place")) & (F.xxhash64(F.col("doc.text").cast("string")) == F.col("text_hash"))
-    joined = docs.select(F.struct("*").alias("doc")).join(copies, same)
-    each = joined.where("takes >= rows").select("doc", F.explode(F.expr("sequence(1L, takes div rows)"))).select("doc")
-    over = copies.where("takes % rows > 0")
-    if not over.isEmpty():
-        # Of rows that repeat one another any will do; they are combined before the shuffle.
-        one = docs.select(F.struct("*").alias("doc")).join(over, same).groupBy("doc_id", "place", "text_hash").agg(F.first("doc").alias("doc"), F.first(F.expr("takes % rows")).alias("n"))
+    drawn = _drawn(docs, weights, most).where("size > 0")
+    order = F.struct("key", "doc_id", "text_hash")
+    within = F.expr(_WITHIN)
+    edges = checkpointed(drawn.groupBy("place").agg(F.first("epochs").cast("long").alias("epochs"), F.max(F.when(within, order)).alias("last"), F.min(F.when(~within, order)).alias("next")))
+    on_edge = F.col("last") == F.col("next")
+    rows = _with_place(_drawing(docs, F.struct("*").alias("doc")).where("size > 0").withColumn("at", order), edges)
+    more = F.coalesce(F.when(on_edge, F.col("at") < F.col("last")).otherwise(F.col("at") <= F.col("last")), F.lit(False))
+    takes = F.col("epochs") + more.cast("long")
+    each = rows.withColumn("takes", takes).where("takes > 0").select("doc", F.explode(F.expr("sequence(1L, takes)"))).select("doc")
+    ends = checkpointed(edges.where(on_edge).select("place", F.col("last").alias("edge")))
+    if not ends.isEmpty():
+        split = checkpointed(_with_place(drawn.withColumn("at", order), ends).where((F.col("at") == F.col("edge")) & within).groupBy("place", "edge").agg(F.count("*").alias("n")))
+        # Any of the rows will do; they are combined before the shuffle.
+        one = _with_place(rows.select("doc", "place", "at"), split).where(F.col("at") == F.col("edge")).groupBy("place").agg(F.first("doc").alias("doc"), F.first("n").alias("n"))
         dealt = one.select("doc", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {AT_ONCE})")).alias("part")).repartition(shuffle_partitions(docs.sparkSession))
         each = each.union(dealt.select("doc", F.explode(F.expr(f"sequence(1L, least({AT_ONCE}L, n - part * {AT_ONCE}))"))).select("doc"))
     return each.select("doc.*")

@@ -76,6 +76,36 @@ def test_whole_documents_are_repeated(make_docs):
     assert found == {k: v for k, v in taken.items() if v}
 
 
+def test_no_text_is_shuffled(make_docs):
+    """Exchanges before the last one are of numbers; that of the result, if any, is a broadcast of edges."""
+    plan = repeated(make_docs(some_docs()))._jdf.queryExecution().executedPlan().toString()
+    made = make_docs(some_docs())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange rangepartitioning") == plan.count("SortMergeJoin") == 0
+    assert plan.count("Exchange RoundRobinPartitioning") == made.count("Exchange RoundRobinPartitioning")
+
+
+def test_sources_beyond_the_broadcast(make_docs, monkeypatch):
+    docs = make_docs(some_docs() + [(5, "the same row " * 10, "a")] * 100, clashing=True)
+    count = lambda: sorted((r["doc_id"], r["text"], r["source"] or "") for r in repeated(docs).collect())
+    want = count()
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert count() == want
+
+
+def test_rows_alike_on_the_edge(make_docs):
+    """All of a source is one row many times, so its edge lies among them; other sources' edges among rows of null ids."""
+    rows = [(1, "w " * 25, "a")] * 300 + [(None, "v " * 10, "b")] * 40 + [(7, "u " * 4, None)] * 5 + [(3, "", "a")] * 9
+    docs = make_docs(rows)
+    taken = {}
+    for r in mix_sources(docs, cut=False).collect():
+        taken[r["place"]] = taken.get(r["place"], 0) + r["taken"]
+    written = {}
+    for r in repeated(docs).collect():
+        place = "1" if r["source"] is None else "0" + r["source"]
+        written[place] = written.get(place, 0) + len(r["text"].split())
+    assert written == {p: n for p, n in taken.items() if n}
+
+
 def test_good_documents_come_first(make_docs):
     rows = [(i, "w " * 20 if i % 2 else "w### " * 20, "b") for i in range(400)] + [(1000 + i, "w " * 20, "a") for i in range(150)]
     taken = [(r["doc_id"] % 2, r["taken"]) for r in mix_sources(make_docs(rows)).collect() if r["doc_id"] < 1000]
