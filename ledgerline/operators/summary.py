@@ -193,3 +193,23 @@ def estimated(sketches: DataFrame, errors: float = 3) -> DataFrame:
     estimate, kept = F.theta_sketch_estimate("sketch"), 1 << LG_KEPT
     bound = F.when(estimate <= kept, 0).otherwise(F.ceil(estimate * (errors / kept**0.5)))
     return sketches.withColumns({"estimate": estimate, "off_by_at_most": bound.cast("long")})
+
+
+#: Distinct values for which a part of a group's sketch is meant: half of what it can keep, so that hashes that fall unevenly don't fill it.
+PART_VALUES = 1 << (LG_KEPT - 1)
+
+
+def sketch_parts(rows: DataFrame, value: str) -> int:
+    """Parts to which values are dealt by hash so that the sketch of a part keeps the hashes of all its values: in proportion to all distinct ones."""
+    distinct = rows.agg(F.approx_count_distinct(value)).first()[0]
+    return -(-distinct // PART_VALUES) or 1
+
+
+def dealt_sketches(rows: DataFrame, by: list[str], value: str, parts: int) -> DataFrame:
+    """(by, part, rows, sketch): as distinct_sketches, a sketch for each of so many parts of the values, each of bounded size. Sketches of the same parts merge by (by, part)."""
+    return distinct_sketches(rows.withColumn("part", F.pmod(F.xxhash64(value), F.lit(parts))), [*by, "part"], value)
+
+
+def estimated_parts(dealt: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rows, estimate, off_by_at_most) over a group's parts, which share no value: exact, with a bound of 0, as long as each has kept all its hashes."""
+    return estimated(dealt).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("rows", "estimate", "off_by_at_most")])

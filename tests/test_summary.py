@@ -45,6 +45,17 @@ def test_merged_sketches_are_as_good_as_one_pass(spark):
     assert len(merged["sketch"]) < 16 * 4096
 
 
+def test_dealt_sketches_are_exact_beyond_what_one_keeps(spark):
+    """20,000 values, one group without any, nulls: a single sketch estimates, sketches of parts count."""
+    df = spark.range(60_000).selectExpr("id % 7 as month", "if(id % 5 = 0, 'none', 'some') as kind", "if(id % 5 = 0 or id % 11 = 0, null, id % 20000) as value")
+    parts = summary.sketch_parts(df, "value")
+    assert parts > 4 and summary.sketch_parts(df.where("value is null"), "value") == 1
+    stored = summary.dealt_sketches(df, ["kind", "month"], "value", parts)
+    for dealt in (summary.merged_sketches(stored, ["kind", "part"]), summary.dealt_sketches(df, ["kind"], "value", parts)):
+        found = {r["kind"]: (r["rows"], r["estimate"], r["off_by_at_most"]) for r in summary.estimated_parts(dealt, ["kind"]).collect()}
+        assert found == {r["kind"]: (r["n"], r["d"], 0) for r in df.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("value").alias("d")).collect()}
+
+
 def test_movements_over_blocks_are_those_of_windows(spark):
     """A hot account, times that tie and are missing, amounts that are null, and blocks of three rows."""
     rng = random.Random(3)
