@@ -15,6 +15,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ledgerline.sources.shared import shared_folder
@@ -160,74 +161,119 @@ def interval_joined(left: DataFrame, right: DataFrame, key: str, within: str, ho
     return left.join(right, near, how)
 
 
+#: Slots to which keys are dealt by hash. A slot's keys have one state, of rows: a call for each slot and batch reads it and
+#: one writes it, where a state for each key would take several calls for each key. What is rewritten are the slots that a batch has rows of.
+SLOTS = 1024
+
+
+def _slotted(stream: DataFrame, key: str, slots: int, *columns: Column):
+    """The stream's rows by `slot`: (slot, known, key, *columns), `known` telling whether there is a key."""
+    whole = isinstance(stream.schema[key].dataType, T.IntegralType)
+    # Whole numbers beside nulls would be floats in pandas.
+    filled = F.coalesce(key, F.lit(0).cast(stream.schema[key].dataType)).alias(key) if whole else F.col(key)
+    slot = F.pmod(F.xxhash64(key), F.lit(slots)).cast("int").alias("slot")
+    return stream.select(slot, F.col(key).isNotNull().alias("known"), filled, *columns).groupBy("slot")
+
+
 class _Positions(StatefulProcessor):
-    """A key's state: how many rows it has had, their units, and when it will have been idle for too long."""
+    """A slot's state: of each of its keys, how many rows it has had, their units, and when it will have been idle for too long."""
 
-    def __init__(self, key: str, ts: str, idle_ms: int):
-        self.key, self.ts, self.idle_ms = key, ts, idle_ms
+    def __init__(self, key: str, kind: str, idle_ms: int):
+        self.key, self.kind, self.idle_ms = key, kind, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("position", "rows long, units long, ends long")
+        self.state = handle.getListState("positions", f"{self.key} {self.kind}, rows long, units long, ends long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, units, ends = self.state.get() if self.state.exists() else (0, 0, 0)
-        last = ends - self.idle_ms
+        held = {k: (n, units, ends) for k, n, units, ends in self.state.get()}
+        timer = min((ends for _, _, ends in held.values()), default=None)
+        last: dict = {}
         for batch in rows:
-            n, units = n + len(batch), units + int(batch["units"].fillna(0).sum())
-            last = max(last, int(batch[self.ts].max().value // 1_000_000))
-        if ends:
-            self.handle.deleteTimer(ends)
-        ends = max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(ends)
-        self.state.update((n, units, ends))
+            for k, known, units, at in zip(*(batch[c].tolist() for c in (self.key, "known", "units", "at")), strict=True):
+                k = k if known else None
+                n, total, ends = held.get(k, (0, 0, 0))
+                held[k] = n + 1, total + units, ends
+                last[k] = max(last.get(k, ends - self.idle_ms), at)
+        soonest = timerValues.getCurrentWatermarkInMs() + 1
+        for k, at in last.items():
+            held[k] = *held[k][:2], max(at + self.idle_ms, soonest)
+        self._keep(held, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, units, _ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame({self.key: [key[0]], "rows": [n], "units": [units], "position": ["overdrawn" if units < 0 else "covered"]})
+        # The timer is the slot's first; others that are over by now go with it.
+        over = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        closed, held = [], {}
+        for k, n, units, ends in self.state.get():
+            if ends <= over:
+                closed.append((k, n, units, "overdrawn" if units < 0 else "covered"))
+            else:
+                held[k] = n, units, ends
+        self._keep(held, None)
+        if closed:
+            # As objects: whole numbers beside nulls would be floats.
+            yield pd.DataFrame(closed, columns=[self.key, "rows", "units", "position"], dtype=object)
+
+    def _keep(self, held: dict, timer: int | None) -> None:
+        """Keep a slot's keys, and one timer for the first that will be over."""
+        if held:
+            self.state.put([(k, *of_key) for k, of_key in held.items()])
+        else:
+            self.state.clear()
+        first = min((ends for _, _, ends in held.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass
 
 
-def closed_positions(stream: DataFrame, key: str, ts: str, idle_seconds: int) -> DataFrame:
+def closed_positions(stream: DataFrame, key: str, ts: str, idle_seconds: int, slots: int = SLOTS) -> DataFrame:
     """A keyed state machine with timers: of each key, when it has been idle for so long, its rows, units, and whether it is overdrawn.
 
     State goes with the timer that ends it, so what is kept are the keys of late;
     a key that comes back begins anew. Rows of a null key are one key's. Start it within `rocksdb_state`.
     """
     kind = stream.schema[key].dataType.simpleString()
-    return stream.where(before_closing(ts)).groupBy(key).transformWithStateInPandas(_Positions(key, ts, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
+    rows = _slotted(stream.where(before_closing(ts)), key, slots, F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"), F.unix_millis(ts).alias("at"), F.col(ts))
+    return rows.transformWithStateInPandas(_Positions(key, kind, idle_seconds * 1000), f"{key} {kind}, rows long, units long, position string", "append", "eventTime")
 
 
 class _Balances(StatefulProcessor):
-    """A key's state: a map from kind to how many rows it has had and their units."""
+    """A slot's state: of each of its keys and kinds, how many rows it has had and their units."""
+
+    def __init__(self, key: str, key_kind: str):
+        self.key, self.key_kind = key, key_kind
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balances = handle.getMapState("balances", "kind string", "rows long, units long")
+        self.balances = handle.getListState("balances", f"{self.key} {self.key_kind}, kind string, rows long, units long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = {(k, kind): (n, units) for k, kind, n, units in self.balances.get()}
         for batch in rows:
-            for kind, of_kind in batch.groupby("kind", dropna=False):
-                at = (None if pd.isna(kind) else kind,)
-                n, units = self.balances.getValue(at) if self.balances.containsKey(at) else (0, 0)
-                self.balances.updateValue(at, (n + len(of_kind), units + int(of_kind["units"].sum())))
+            for k, known, kind, units in zip(*(batch[c].tolist() for c in (self.key, "known", "kind", "units")), strict=True):
+                at = k if known else None, None if pd.isna(kind) else kind
+                n, total = held.get(at, (0, 0))
+                held[at] = n + 1, total + units
+        self.balances.put([(*at, *of_kind) for at, of_kind in held.items()])
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def kept_balances(stream: DataFrame, key: str, kind: str, ts: str) -> DataFrame:
+def kept_balances(stream: DataFrame, key: str, kind: str, ts: str, slots: int = SLOTS) -> DataFrame:
     """A keyed state machine that gives no rows, and keeps of each key and kind, as text, how many rows it has had and their units.
 
     `state_rows` reads what it keeps. Null keys are one key and null kinds one kind. Start it within `rocksdb_state`.
     """
-    # Whole numbers beside nulls would be floats in pandas.
-    rows = stream.where(before_closing(ts)).select(key, F.col(kind).cast("string").alias("kind"), F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"))
-    return rows.groupBy(key).transformWithStateInPandas(_Balances(), f"{key} {stream.schema[key].dataType.simpleString()}", "append", "none")
+    key_kind = stream.schema[key].dataType.simpleString()
+    rows = _slotted(stream.where(before_closing(ts)), key, slots, F.col(kind).cast("string").alias("kind"), F.coalesce(F.col("units").cast("long"), F.lit(0)).alias("units"))
+    return rows.transformWithStateInPandas(_Balances(key, key_kind), f"{key} {key_kind}", "append", "none")
 
 
 def run_keeping(stream: DataFrame, folder: str) -> None:
@@ -236,14 +282,14 @@ def run_keeping(stream: DataFrame, folder: str) -> None:
 
 
 def state_rows(spark: SparkSession, folder: str, variable: str, batch: int | None = None) -> DataFrame:
-    """What a stream keeps in a map variable of its state, one row for each entry: its key's columns, the entry's and its value's.
+    """What a stream keeps in a list variable of its state, one row for each element.
 
     It is the state after the last batch, or after `batch`, as long as the stream's folder has that. Each partition of the state is a task's work.
     """
     reader = spark.read.format("statestore").option("stateVarName", variable)
     if batch is not None:
         reader = reader.option("batchId", batch)
-    return reader.load(folder).select("key.*", "user_map_key.*", "user_map_value.*")
+    return reader.load(folder).select("list_element.*")
 
 
 @contextmanager

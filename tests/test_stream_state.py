@@ -37,3 +37,25 @@ def test_state_read_back_is_the_totals_of_all_batches(spark, tmp_path):
         first = stream.state_rows(spark, folder, "balances", batch=0).groupBy().sum("rows").first()[0]
     assert found == sorted([(1, "a", 3, 2**53 + 4), (1, "b", 1, 0), (None, "a", 1, 7), (2, None, 1, 3), (None, None, 1, 1)], key=repr)
     assert first <= 2
+
+
+def test_keys_of_a_slot_close_each_in_its_time(spark):
+    """One slot for all keys: timers of several keys, one that comes back while others wait, keys beyond 53 bits, and a null beside them."""
+    big = 2**53 + 1
+    rows = lambda values: spark.createDataFrame([(k, u, START + timedelta(hours=h)) for k, u, h in values], "key long, units long, ts timestamp_ntz")
+    arrivals = [rows([(big, 5, 0), (big - 1, -9, 1), (2, 4, 30), (0, 3, 0), (None, 7, 0), (3, None, 40)]), rows([(2, 1, 50), (big, 2**53, 50)]), rows([(4, 1, 200)])]
+    with stream.rocksdb_state(spark):
+        found = stream.run_arrivals(arrivals, "ts", "1 hour", lambda s: stream.closed_positions(s, "key", "ts", 24 * 3600, slots=1))
+    expected = [(None, 1, 7, "covered"), (0, 1, 3, "covered"), (2, 2, 5, "covered"), (3, 1, 0, "covered"), (4, 1, 1, "covered"), (big - 1, 1, -9, "overdrawn"), (big, 1, 5, "covered"), (big, 1, 2**53, "covered")]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_many_keys_share_few_states(spark, tmp_path):
+    """5,000 keys are kept in as many states as there are slots, at most: calls to the state store don't grow with the keys."""
+    df = spark.range(10_000).selectExpr("id % 5000 as key", "'a' as kind", "id as units", "timestamp_ntz'2024-01-01 00:00:00' as ts")
+    folder = str(tmp_path / "state")
+    with stream.rocksdb_state(spark):
+        stream.run_keeping(stream.kept_balances(stream.staged(df, "ts", "1 hour"), "key", "kind", "ts", slots=16), folder)
+        found = stream.state_rows(spark, folder, "balances")
+        assert sorted(map(tuple, found.collect())) == [(k, "a", 2, 2 * k + 5000) for k in range(5000)]
+        assert spark.read.format("statestore").option("stateVarName", "balances").load(folder).select("key").distinct().count() == 16
