@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.canonical import row_hash, table_digest
-from ledgerline.operators.reconcile import Profile, reconcile, reconcile_by_kind, split_settlements, tolerance_matches
+from ledgerline.operators.reconcile import Profile, _sets, reconcile, reconcile_by_kind, split_settlements, tolerance_matches
 from ledgerline.plans import evaluation
 from ledgerline.sources.tables import left_records, right_evidence
 
@@ -112,3 +112,22 @@ def test_settlements_by_trying_all_sets(spark):
         expect = ("settled", min(sets)[1]) if sets else ("inconclusive" if amount is None or len(own) > 8 else "unsettled", None)
         assert found[i] == (len(own), *expect), i
     assert len(found) == len(due)
+
+
+def test_sets_of_large_amounts_and_the_first_of_several(spark):
+    """Amounts of 18 digits whose sums pass 64 bits; of sets alike the one whose ids come first; and no set is tried that is larger than asked for."""
+    top = "9999999999999999.99"
+    due = spark.createDataFrame([("a", 1, "30.00"), ("b", 2, "6.00"), ("c", 3, "0.01"), ("d", 4, top)], "k string, id long, a string")
+    paid = [("a", i, "10.00") for i in range(20, 12, -1)] + [("b", i, str(i)) for i in (1, 2, 3)] + [("c", i, top) for i in range(10)] + [("d", 1, top[:-1] + "8"), ("d", 2, "0.01")]
+    of = lambda df: df.selectExpr("k", "id", "cast(a as decimal(18,2)) as amount", "timestamp_ntz'2024-01-01 00:00:00' as ts")
+    entries = of(spark.createDataFrame(paid, "k string, id long, a string"))
+    for largest, three in ((None, [1, 2, 3]), (2, None)):
+        found = {r["id"]: r["paid_by"] for r in split_settlements(of(due), entries, "k", 10, largest=largest).collect()}
+        assert found == {1: three and [13, 14, 15], 2: three, 3: None, 4: [1, 2]}
+
+
+def test_sets_are_tried_by_arrays_not_row_by_row(spark):
+    """Of 12 entries with sets of up to 3, no expression goes through the 4,095 sets of any size."""
+    rows = spark.range(1).selectExpr("'a' as k", "id", "cast(id as decimal(18,2)) as amount", "timestamp_ntz'2024-01-01 00:00:00' as ts")
+    assert len(_sets(12, 3)[0]) == 12 + 66 + 220
+    assert "ArrowEvalPython" in split_settlements(rows, rows, "k", 10)._jdf.queryExecution().executedPlan().toString()
