@@ -20,12 +20,19 @@ def evaluate(left: DataFrame, right: DataFrame, profile: Profile = Profile()) ->
     return reconcile(left, right, profile).select(*RESULT)
 
 
-def manifest(left: DataFrame, right: DataFrame, results: DataFrame, profile: Profile = Profile()) -> DataFrame:
+def input_digests(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The digests of both inputs, kept, for the manifests of several evaluations of the same inputs."""
+    return checkpointed(table_digests({"left": left, "right": right}))
+
+
+def manifest(left: DataFrame, right: DataFrame, results: DataFrame, profile: Profile = Profile(), inputs: DataFrame | None = None) -> DataFrame:
     """One row: the digests of both inputs and the output, the profile, and the version that made it.
 
-    Lazy: whoever reads it more than once should keep it, as the store does.
+    Lazy: whoever reads it more than once should keep it, as the store does. With `inputs`, their
+    digests as `input_digests` has them, only the output is read.
     """
-    digests = table_digests(dict(zip(PARTS, (left, right, results), strict=True)))
+    tables = dict(zip(PARTS, (left, right, results), strict=True))
+    digests = table_digests(tables) if inputs is None else table_digests({"output": results}).unionByName(inputs)
     of = lambda part, column: F.max(F.when(F.col("part") == part, F.col(column))).alias(f"{part}_{column.removeprefix('n_')}")
     # Three rows, one for each part.
     row = digests.groupBy().agg(*[of(p, c) for p in PARTS for c in ("n_rows", "digest")])

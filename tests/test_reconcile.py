@@ -131,3 +131,12 @@ def test_sets_are_tried_by_arrays_not_row_by_row(spark):
     rows = spark.range(1).selectExpr("'a' as k", "id", "cast(id as decimal(18,2)) as amount", "timestamp_ntz'2024-01-01 00:00:00' as ts")
     assert len(_sets(12, 3)[0]) == 12 + 66 + 220
     assert "ArrowEvalPython" in split_settlements(rows, rows, "k", 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_manifests_of_the_same_inputs_share_their_digests(spark, sf_dir):
+    left, right = left_records(spark, sf_dir), right_evidence(spark, sf_dir)
+    results, inputs = evaluation.evaluate(left, right), evaluation.input_digests(left, right)
+    shared = evaluation.manifest(left, right, results, inputs=inputs)
+    assert shared.collect() == evaluation.manifest(left, right, results).collect()
+    reads = evaluation.manifest(left, right, left, inputs=inputs)._jdf.queryExecution().executedPlan().toString()
+    assert reads.count("FileScan") == 1
