@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import checkpointed, slices
 from ledgerline.llm.mixing import running_total
 
-#: Labelled rows to learn from.
-SAMPLE = 20_000
+#: Labelled rows to learn from, and in a task.
+SAMPLE, TASK_ROWS = 20_000, 1024
 FOLDS, HELD_OUT = 5, 0
 #: One of so many rows calibrates; of either label there have to be so many that do.
 CALIBRATES, LEAST_CALIBRATING = 5, 30
@@ -145,11 +145,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     once = rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumns({"bits": F.xxhash64("text", F.lit("half")), "one": F.lit(1)})
-    drawn = checkpointed(once.withColumn("half", F.pmod("bits", F.lit(2)).cast("int")))
+    drawn = checkpointed(once.withColumn("half", F.pmod("bits", F.lit(2)).cast("int")).coalesce(math.ceil(most / TASK_ROWS)))
     placed = running_total(drawn.select("toxic", "bits", "one"), ["toxic"], ["bits"], ["one"])
     # Texts whose 64 bits agree have one place, and so one part; no row is lost or doubled.
-    placed = placed.groupBy("toxic", "bits").agg((F.min("before_one") % CALIBRATES == 1).alias("calibrates"))
-    return drawn.join(placed, ["toxic", "bits"]).select("text", "toxic", "half", "bits", "calibrates")
+    placed = checkpointed(placed.groupBy("toxic", "bits").agg((F.min("before_one") % CALIBRATES == 1).alias("calibrates")).coalesce(1))
+    # Few numbers of each row of the sample: broadcast, so that its texts aren't shuffled each time that it is read.
+    return drawn.join(F.broadcast(placed), ["toxic", "bits"]).select("text", "toxic", "half", "bits", "calibrates")
 
 
 def learn_lexicons(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
