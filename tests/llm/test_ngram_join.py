@@ -195,6 +195,22 @@ def test_sets_that_link_share_a_key_whatever_is_frequent(percent, light):
         assert keys[0] & keys[1] or (larger == other).all()
 
 
+def test_phrases_in_common_bring_no_sets_together():
+    """Long sets that have some common shingles each, and a near copy each: the copies meet, and nearly nothing else does."""
+    rng = np.random.default_rng(4)
+    bounds = class_bounds(3000, 80)
+    plan = class_plan(bounds, 80)
+    phrases = rng.integers(0, 1 << 63, 40, np.uint64)
+    sets = []
+    for _ in range(300):
+        own = rng.integers(0, 1 << 63, int(rng.integers(900, 1100)), np.uint64)
+        with_phrases = np.concatenate([own, rng.choice(phrases, 8, replace=False)])
+        sets += [np.unique(with_phrases), np.unique(np.concatenate([with_phrases[60:], own[:50] + np.uint64(1)]))]
+    a, b = ngram_join._stars(*ngram_join._signatures(sets, np.arange(len(sets)), bounds, plan, 0, 80, np.empty(0, np.uint64)))[2:]
+    met = set(zip(a.tolist(), b.tolist(), strict=True))
+    assert {(i, i + 1) for i in range(0, len(sets), 2)} <= met and len(met) < 1.1 * len(sets) / 2
+
+
 def test_components_that_don_t_converge_are_an_error(spark, monkeypatch):
     monkeypatch.setattr("ledgerline.llm.components.MOST_ROUNDS", 1)
     with pytest.raises(RuntimeError):
